@@ -26,11 +26,30 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import toxicity as op
+
+    out = op.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("p_junk", 6).alias("p_junk"), F.round("p_toxic", 6).alias("p_toxic"), "toxic")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import jaccard_join as op
 
     return op.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op4_jaccard_join)}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import decontaminate as op
+
+    return op.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import repetition as op
+
+    return op.rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "n_covered")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op7_decontaminate, op8_repetition_rules)}
 ORACLE_SQL: dict[str, str] = {}

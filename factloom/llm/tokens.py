@@ -7,9 +7,13 @@ white-space-separated words in turn; each distinct word is encoded once per work
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
+
+import numpy as np
 
 #: Words that a worker remembers at most; beyond it the memory starts again (same ids, more work).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -19,32 +23,73 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How the vocabulary cuts a normalised word (fixed by its file); pieces are encoded apart.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
     """text -> little-endian uint32 ids as bytes (no special tokens added)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.cut = regex.compile(PIECES).findall
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
+        if whole.isascii() or (unicodedata.is_normalized("NFC", whole) and "\u03a3" not in whole and "\u0130" not in whole):
+            text = whole.lower().encode()
         words = text.split()  # of bytes: ASCII white space only
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [w for w in set(words) if w not in cache]
-        import numpy as np
-
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        known = self.words
+        unknown = set(words).difference(known)
+        if not unknown:
+            return b"".join(map(known.__getitem__, words))
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            unknown = set(words)
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        pieces, lists, lacking, odd = self.pieces, {}, {}, []
+        for w in unknown:
+            s = w.decode("utf-8", "replace")
+            if not s.isascii() and not (unicodedata.is_normalized("NFC", s) and "\u03a3" not in s and "\u0130" not in s and len(s.split()) == 1):
+                # where case or composition could depend on neighbours, the whole word is encoded as it is
+                odd.append(w)
+                continue
+            s = s.lower()
+            core = s.rstrip(".,!?")
+            if core.isalpha():
+                own = [core] if len(core) == len(s) else [core, s[len(core) :]]
+            else:
+                own = self.cut(s)
+            lists[w] = own
+            for p in own:
+                if p not in pieces:
+                    lacking[p] = None
+        if lacking:
+            new = list(lacking)
+            groups = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+            ids = np.array([x for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for x in e.ids], dtype="<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            if len(cuts) != len(new) + 1:
+                raise ValueError("the vocabulary doesn't end each word with a word-end token")
+            for k, p in enumerate(new):
+                pieces[p] = data[cuts[k] : cuts[k + 1]]
+        for w in odd:
+            known[w] = array("I", self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        for w, own in lists.items():
+            known[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+        return b"".join(map(known.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
