@@ -1,0 +1,4 @@
+"""The query catalogue: Spark queries and their ANSI SQL twins."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
