@@ -143,7 +143,7 @@ def labelled_pages(n: int = 500, seed: int = 7):
             inner = "<ul data-state=boilerplate>" + "".join(f'<li data-state="boilerplate"><a href="/">{words(1, 4)}</a></li>' for _ in range(r.randint(1, 8))) + "</ul>"
             inner = inner.replace("<ul data-state=boilerplate>", '<ul data-state="boilerplate">')
         elif kind < 0.7:
-            inner = "".join(f'<{t} data-state="boilerplate">{words(2, 30)}</{t}>' for t in (r.choice(["p", "div", "h3", "li", "h2", "label"]) for _ in range(r.randint(1, 4))))
+            inner = "".join(f'<{t} data-state="boilerplate">{words(2, 30)}</{t}>' for t in (r.choice(["p", "div", "h3", "li", "h2", "h1", "label"]) for _ in range(r.randint(1, 4))))
         else:
             inner = words(1, 25)
         return f'<{tag}{named} data-state="boilerplate">{inner}</{tag}>'

@@ -39,6 +39,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import recompression as op
+
+    return op.dedup(table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import suffix_blocks as op
+
+    return op.dedup(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import decontaminate as op
 
@@ -57,5 +69,5 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op7_decontaminate, op8_repetition_rules, op10_html_tree)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op10_html_tree)}
 ORACLE_SQL: dict[str, str] = {}
