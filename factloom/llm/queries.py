@@ -63,11 +63,17 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "n_covered")
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import training_order as op
+
+    return op.materialise(table(spark, sf_dir, "documents"))
+
+
 def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import html_tree as op
 
     return op.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op10_html_tree)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree)}
 ORACLE_SQL: dict[str, str] = {}
