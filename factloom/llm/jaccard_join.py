@@ -7,8 +7,9 @@ part is equal. A document with more than ``k_i`` parts that hold a shingle has a
 its empty parts out; only documents with fewer send the empty ones too. A part's bits travel as a 64-bit XOR of bit
 codes (equal parts have equal codes). Parts meet per size band, each meeting is verified exactly on the shingle sets.
 
-Groups never emit all pairs: members are verified against the least member; what stays apart after components is
-verified against further hubs, and once the pairs across components are few (linear in the members) all of them are.
+Groups never emit all pairs: members are verified against the least member, then against further hubs. For groups that
+still lie in several components the folded sketches decide: blocks of at most ``BLOCK`` members are compared in a task,
+and only pairs across components whose Hamming distance allows a link go on to the exact check.
 
 Defined cases: null or empty text has no shingles and links with nothing (its component is itself); fewer words than
 the shingle length make one shingle of the whole sequence; equal rows collapse to one class before any join; repeated
@@ -27,6 +28,8 @@ from factloom.llm.components import components
 
 KEY = np.dtype([("key", "<u8"), ("cls", "<i8")])
 SEED = 11
+#: Members of a group that one task compares with as many others.
+BLOCK = 1024
 
 
 def shingle_sets(batches, size: int):
@@ -173,13 +176,57 @@ def met(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "gid long, cls long, hub long, n long")
 
 
+def folded(h: np.ndarray) -> bytes:
+    """The whole parity sketch, folded to a power of two of bits, at least four for each shingle (512 to 32768)."""
+    bits = min(1 << 15, max(512, 1 << (4 * max(1, len(h)) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def stored_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for _, cuts, hashes in shingle_sets(batches, size):
             cls = class_ids(cuts, hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([hashes[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(cls))], pa.binary())], ["cls", "shingles"])
-
-    return docs.mapInArrow(run, "cls long, shingles binary")
+            sets = [hashes[cuts[i] : cuts[i + 1]] for i in range(len(cls))]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array([folded(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "size", "sketch", "shingles"])
+
+    return docs.mapInArrow(run, "cls long, size long, sketch binary, shingles binary")
+
+
+def near_in_blocks(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of open groups in different components whose sketches allow a link.
+
+    member: gid, cls, label, n. Groups of over BLOCK members are dealt to blocks; each pair of blocks is one row group.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    dealt_out = member.select("gid", "cls", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = dealt_out.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label")
+    rows = rows.join(sets.select("cls", "size", "sketch"), "cls")
+
+    def run(key, frame):
+        i, j = key[1].as_py(), key[2].as_py()
+        own = frame.column("own").to_numpy()
+        cls, label, size = (frame.column(c).to_numpy() for c in ("cls", "label", "size"))
+        sketch = frame.column("sketch").to_pylist()
+        width = min(len(s) for s in sketch) // 8
+        bits = np.empty((len(sketch), width), dtype=np.uint64)
+        for k, s in enumerate(sketch):
+            bits[k] = np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, width), axis=0)
+        right = np.flatnonzero(own == j)
+        a, b = [], []
+        for x in np.flatnonzero(own == i):
+            y = right[(right > x) | (i != j)]
+            y = y[(label[y] != label[x]) & (np.minimum(size[y], size[x]) * den >= num * np.maximum(size[y], size[x]))]
+            if len(y):
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+                y = y[apart * (den + num) <= (size[y] + size[x]) * (den - num)]
+                a.append(np.full(len(y), cls[x]))
+                b.append(cls[y])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -204,13 +251,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, hubs: int = 6) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, hubs: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num/den)."""
     spark = docs.sparkSession
     docs = keyed_text(docs).where("doc_id is not null")
     prof = cut(profiles(docs, size))
     classes = prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
-    groups = cut(met(dealt(key_rows(docs, size, num, den))))
+    groups = cut(met(dealt(key_rows(docs, size, num, den))).distinct())
     release(spark)
     wanted = groups.select("cls").distinct().join(classes, "cls").select(F.col("first_doc").alias("doc_id"))
     sets = cut(stored_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["cls"]))
@@ -218,25 +265,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     labels = components(links)
     for turn in range(hubs + 1):
         # what one key holds in several components is still open
-        member = groups.select("gid", "cls").distinct().join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("gid", "cls", F.coalesce("label", "cls").alias("label"))
+        member = groups.select("gid", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("gid", "cls", F.coalesce("label", "cls").alias("label"))
         split = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        open_ = split.where("low <> high").select("gid", "n")
-        member = cut(member.join(open_, "gid"))
-        by_label = member.groupBy("gid", "label").agg(F.count("*").alias("k"))
-        cost = by_label.groupBy("gid").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("c"), F.sum("k").alias("n")).agg(F.sum("c").alias("c"), F.sum("n").alias("n")).first()
-        if not cost["c"]:
-            break
-        last = turn == hubs or cost["c"] <= 40 * cost["n"]
-        if last:
-            other = member.select("gid", F.col("cls").alias("b"), F.col("label").alias("other"))
-            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(other, "gid").where("label <> other and a < b")
+        member = cut(member.join(split.where("low <> high").select("gid", "n"), "gid"))
+        if turn == hubs:
+            pairs = near_in_blocks(member, sets, num, den)
         else:
             hub = member.groupBy("gid").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("cls", F.lit(turn))).alias("h")).select("gid", F.col("h.cls").alias("b"), F.col("h.label").alias("other"))
-            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other")
-        links = cut(links.union(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den)))
+            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = cut(links.union(verified(pairs, sets, num, den)))
         labels = components(links)
-        if last:
-            break
+        release(spark)
     # from classes to documents
     named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
     named = cut(named)
