@@ -29,7 +29,7 @@ from factloom.llm.components import components
 KEY = np.dtype([("key", "<u8"), ("cls", "<i8")])
 SEED = 11
 #: Members of a group that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 256
 
 
 def shingle_sets(batches, size: int):

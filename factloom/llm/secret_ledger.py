@@ -79,7 +79,7 @@ def _scanned(texts: DataFrame, ledger, findings, rules):
 
 
 def per_document(documents: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id, found (array of start, rank, end, rule; sorted): findings joined back to every path, salted per blob."""
+    """doc_id, blob, found (array of start, rank, end, rule; sorted): findings joined back to every path, salted per blob."""
     current = F.lit(False)
     rank = F.lit(0)
     for i, (kind, version, *_) in enumerate(rules):
@@ -89,18 +89,19 @@ def per_document(documents: DataFrame, findings: DataFrame, rules=RULES) -> Data
     salted = by_blob.select("blob", "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     paths = blobs(documents).select("doc_id", "blob", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = paths.join(salted, ["blob", "salt"], "left")
-    return out.select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,end:int,rule:string>>")).alias("found"))
+    return out.select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,end:int,rule:string>>")).alias("found"))
 
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Documents with each span (overlaps joined) replaced by ``mark``; all columns kept, n_chars follows the text."""
     findings, _ = scan(documents)
-    hit = per_document(documents, findings).where(F.size("found") > 0).dropDuplicates(["doc_id"])
+    hit = per_document(documents, findings).where(F.size("found") > 0).dropDuplicates(["doc_id", "blob"])
+    hit = hit.select(F.col("doc_id").alias("_hit_doc"), F.col("blob").alias("_hit_blob"), F.col("found").alias("_hit_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = documents.join(hit, "doc_id", "left")
+    both = documents.join(hit, (F.col("doc_id") == F.col("_hit_doc")) & (F.unhex(F.sha2(text, 256)) == F.col("_hit_blob")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     fold = F.aggregate(
-        "found",
+        "_hit_spans",
         zero,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -108,7 +109,7 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    new = both.withColumn("text", F.when(F.col("found").isNotNull(), fold).otherwise(F.col("text"))).drop("found")
+    new = both.withColumn("text", F.when(F.col("_hit_spans").isNotNull(), fold).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         new = new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return new.select(*documents.columns)
