@@ -41,14 +41,17 @@ class Roller:
         self.base, self.inverse = np.uint64(base % 2**64), np.uint64(pow(base, -1, 2**64))
         self.pow = self.inv = np.ones(1, dtype=np.uint64)
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
+    def powers(self, n: int) -> None:
         if len(self.pow) < n:
             ones = np.full(n, self.base, dtype=np.uint64)
             ones[0] = 1
             self.pow = np.multiply.accumulate(ones)
             ones[1:] = self.inverse
             self.inv = np.multiply.accumulate(ones)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        n = len(data) + 1
+        self.powers(n)
         out = np.zeros(n, dtype=np.uint64)
         np.cumsum(self.table[data] * self.pow[: n - 1], out=out[1:])
         return out

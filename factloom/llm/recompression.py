@@ -77,7 +77,7 @@ def least_inside(level, start, width):
 
 
 def windows(ids, data, offs, rolls, width: int, levels: int):
-    """Per window of a chunk: anchor symbol, hash, check hash, index of its document, start word in the document."""
+    """Of a chunk: anchor symbol per window, both names per word, first word, document index and start in it per window."""
     _, s, e, at = words_of(data, offs)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(ids)), n)
@@ -88,14 +88,6 @@ def windows(ids, data, offs, rolls, width: int, levels: int):
     np.cumsum(count, out=first[1:])
     inner = np.arange(first[-1]) - first[owner]
     start = at[owner] + inner
-    total = max(0, len(s) - width + 1)
-    hashes = []
-    for w, m in zip(words, (_A, _B), strict=True):
-        h = np.zeros(total, dtype=np.uint64)
-        for i in range(width):
-            h = h * m + w[i : total + i]
-            h ^= h >> np.uint64(29)
-        hashes.append(mix(h)[start])
     here = np.arange(len(s))
     level = (words[0], here, here + 1, here, here + 1, doc)
     ladder = [level]
@@ -109,7 +101,15 @@ def windows(ids, data, offs, rolls, width: int, levels: int):
             break
         best, some = least_inside(level, start[left], width)
         anchor[left], done[left] = best, some
-    return anchor, hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32), owner, inner
+    return anchor, words, start, owner, inner
+
+
+def window_hash(words: np.ndarray, start: np.ndarray, width: int, roll: Roller) -> np.ndarray:
+    """Polynomial hash over the names of the words in the windows at ``start``."""
+    roll.powers(len(words) + 1)
+    c = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * roll.pow[: len(words)], out=c[1:])
+    return mix((c[start + width] - c[start]) * roll.inv[start])
 
 
 def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int) -> DataFrame:
@@ -120,11 +120,13 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int)
         rolls = [Roller(41), Roller(42)]
         box = Outbox(buckets)
         for ids, data, offs in chunks(batches):
-            anchor, h, check, owner, inner = windows(ids, data, offs, rolls, width, levels)
+            anchor, words, start, owner, inner = windows(ids, data, offs, rolls, width, levels)
             place = mix(anchor ^ np.uint64(0x51ED))
             mine = np.flatnonzero(place % np.uint64(rounds) == turn)
             rows = np.empty(len(mine), dtype=WINDOW)
-            rows["h"], rows["doc"], rows["check"], rows["at"] = h[mine], ids[owner[mine]], check[mine], inner[mine]
+            rows["h"] = window_hash(words[0], start[mine], width, rolls[0])
+            rows["check"] = window_hash(words[1], start[mine], width, rolls[1]) >> np.uint64(32)
+            rows["doc"], rows["at"] = ids[owner[mine]], inner[mine]
             bucket = ((place[mine] // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int32)
             keep, known = settled(rows)
             yield from box.add(bucket[keep], rows[keep])
@@ -142,7 +144,7 @@ def settled(rows):
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, check = np.ascontiguousarray(rows["h"]), np.ascontiguousarray(rows["check"])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     a, b = h[order], check[order]
     same = a[1:] == a[:-1]
     if (same & (b[1:] != b[:-1])).any():

@@ -118,11 +118,9 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFram
 
 
 def words_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The n <= 8 bytes at each place as a big-endian number."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for i in range(n):
-        out = (out << np.uint64(8)) | data[at + i]
-    return out
+    """The n <= 8 bytes at each place as a big-endian number (data must go on for 8 bytes)."""
+    view = np.ndarray(shape=(len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
+    return view[at].astype(np.uint64) >> np.uint64(8 * (8 - n))
 
 
 def named(*keys: np.ndarray) -> np.ndarray:
@@ -141,7 +139,7 @@ def ties(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         key = words_at(data, at + depth, 8)
-        order = np.argsort(key, kind="stable") if depth == 0 else np.lexsort((key, group))
+        order = np.argsort(key) if depth == 0 else np.lexsort((key, group))
         k, g = key[order], group[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])]
         alone = new & np.append(new[1:], True)
@@ -207,7 +205,7 @@ def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.nda
     size = m["bytes"].astype(np.int64)
     base = np.zeros(len(m) + 1, dtype=np.int64)
     np.cumsum(size, out=base[1:])
-    data = np.frombuffer(b"".join(pieces[i] for i in alone), dtype=np.uint8)
+    data = np.frombuffer(b"".join([*(pieces[i] for i in alone), bytes(8)]), dtype=np.uint8)
     count = size - length + 1
     owner = np.repeat(np.arange(len(m)), count)
     begin = np.zeros(len(m) + 1, dtype=np.int64)
@@ -263,7 +261,7 @@ def repeated(rows: DataFrame, length: int) -> DataFrame:
     return dealt(rows).mapInArrow(run, "doc_id long, spans binary")
 
 
-def dedup(docs: DataFrame, length: int = 100, rounds: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, rounds: int = 3) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ("start:end" in bytes, comma-joined), kept (binary)."""
     spark = docs.sparkSession
     docs = keyed_text(docs)
