@@ -177,8 +177,8 @@ def met(keys: DataFrame) -> DataFrame:
 
 
 def folded(h: np.ndarray) -> bytes:
-    """The whole parity sketch, folded to a power of two of bits, at least four for each shingle (512 to 32768)."""
-    bits = min(1 << 15, max(512, 1 << (4 * max(1, len(h)) - 1).bit_length()))
+    """The whole parity sketch, folded to a power of two of bits, at least one for each shingle (64 to 32768)."""
+    bits = min(1 << 15, max(64, 1 << (max(1, len(h)) - 1).bit_length()))
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -229,6 +229,25 @@ def near_in_blocks(member: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow a link, so whole sets travel for those alone."""
+
+    def run(batches):
+        for batch in batches:
+            m, n = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = np.minimum(m, n) * den >= num * np.maximum(m, n)
+            for i in np.flatnonzero(ok):
+                u, v = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (3, 5))
+                w = min(len(u), len(v))
+                apart = np.bitwise_count(np.bitwise_xor.reduce(u.reshape(-1, w), axis=0) ^ np.bitwise_xor.reduce(v.reshape(-1, w), axis=0)).sum(dtype=np.int64)
+                ok[i] = apart * (den + num) <= (m[i] + n[i]) * (den - num)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    of = lambda side: sets.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that reach the threshold on whole shingle sets."""
 
@@ -261,7 +280,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     release(spark)
     wanted = groups.select("cls").distinct().join(classes, "cls").select(F.col("first_doc").alias("doc_id"))
     sets = cut(stored_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["cls"]))
-    links = cut(verified(groups.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b")), sets, num, den))
+    links = cut(verified(groups.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b")).transform(hopeful, sets, num, den), sets, num, den))
     labels = components(links)
     for turn in range(hubs + 1):
         # what one key holds in several components is still open
@@ -272,7 +291,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
             pairs = near_in_blocks(member, sets, num, den)
         else:
             hub = member.groupBy("gid").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("cls", F.lit(turn))).alias("h")).select("gid", F.col("h.cls").alias("b"), F.col("h.label").alias("other"))
-            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().transform(hopeful, sets, num, den)
         links = cut(links.union(verified(pairs, sets, num, den)))
         labels = components(links)
         release(spark)
