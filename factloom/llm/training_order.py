@@ -43,13 +43,15 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """part, number (within it), n_tokens, first_doc, ids (deflated little-endian uint16 of ``length`` ids)."""
+    """part, number (within it), n_tokens, first_doc, ids (zstandard-compressed little-endian uint16 of ``length`` ids)."""
     path = tokenizer or default_path()
     end = end_id.to_bytes(2, "little")
 
     def run(batches):
+        import zstandard
         from pyspark import TaskContext
 
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         part, number = TaskContext.get().partitionId(), 0
         encode = encoder(path).encode
         buffer, first, rows, stride = bytearray(), None, [], 2 * length
@@ -69,7 +71,7 @@ def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int
                 buffer += own.astype("<u2").tobytes() + end
                 at = 0
                 while len(buffer) - at >= stride:
-                    rows.append((part, number, length, None if first != first else int(first), zlib.compress(buffer[at : at + stride], 1)))
+                    rows.append((part, number, length, None if first != first else int(first), squeeze(bytes(buffer[at : at + stride]))))
                     number, at, first = number + 1, at + stride, doc
                 if at:
                     del buffer[:at]
@@ -78,7 +80,7 @@ def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int
                     rows = []
         if buffer:
             padded = bytes(buffer) + pad_id.to_bytes(2, "little") * (length - len(buffer) // 2)
-            rows.append((part, number, len(buffer) // 2, None if first != first else int(first), zlib.compress(padded, 1)))
+            rows.append((part, number, len(buffer) // 2, None if first != first else int(first), squeeze(padded)))
         if rows:
             yield out()
 
@@ -107,9 +109,11 @@ def write_shards(rows: DataFrame, folder: str, length: int, per_shard: int) -> D
     stride = 2 * length
 
     def run(batches):
+        import zstandard
         from pyarrow import fs
         from pyspark import TaskContext
 
+        expand = zstandard.ZstdDecompressor().decompress
         files, root = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
         shard, handle, name = None, None, None
@@ -128,7 +132,7 @@ def write_shards(rows: DataFrame, folder: str, length: int, per_shard: int) -> D
                     shard = t["shard"][i]
                     name = f"{root}/shard-{shard:08d}.bin"
                     handle = files.open_output_stream(f"{name}.{attempt}.part")
-                ids = zlib.decompress(t["ids"][i])
+                ids = expand(t["ids"][i])
                 handle.write(ids)
                 out.append((t["slot"][i], shard, (t["slot"][i] % per_shard) * stride, t["sequence_id"][i], t["first_doc"][i], t["n_tokens"][i], zlib.crc32(ids)))
             if out:
