@@ -24,7 +24,7 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def stream_tumbling(spark, path: str, schema, out: str, checkpoint: str, size: str = "1 hour", late: str = "10 minutes"):
-    """The tumbling aggregate as a stream of Parquet files; returns the started query (append mode, closed windows)."""
-    src = spark.readStream.schema(schema).parquet(path)
+def stream_tumbling(spark, path: str, schema, out: str, checkpoint: str, size: str = "1 hour", late: str = "10 minutes", glob: str = "*"):
+    """The tumbling aggregate as a stream of the Parquet files in a folder; returns the started query (append mode, closed windows)."""
+    src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
     return tumbling(src.withColumn("ts", F.col("ts").cast("timestamp")), size, late).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,7 +37,7 @@ def test_stream_equals_batch(spark, tmp_path):
     from factloom.streaming import windows
 
     events = adapters.read(spark, SF, "events")
-    q = windows.stream_tumbling(spark, f"{SF}/events.parquet", events.schema, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = windows.stream_tumbling(spark, SF, events.schema, str(tmp_path / "out"), str(tmp_path / "cp"), glob="events.parquet")
     q.awaitTermination()
     got = {(r.window_start, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = windows.tumbling(events.withColumn("ts", events.ts.cast("timestamp"))).collect()
