@@ -3,9 +3,10 @@
 Each shingle toggles one bit of a wide parity sketch, so two sketches differ in at most as many bits as the sets
 differ in shingles (Hamming distance <= symmetric difference). For size band i a linking pair differs in at most
 ``k_i`` shingles; the sketch is dealt into more than ``k_i`` parts by shingle hash, and by the pigeonhole principle one
-part is equal. A document with more than ``k_i`` parts that hold a shingle has an equal one among those, so it leaves
-its empty parts out; only documents with fewer send the empty ones too. A part's bits travel as a 64-bit XOR of bit
-codes (equal parts have equal codes). Parts meet per size band, each meeting is verified exactly on the shingle sets.
+part is equal. With p parts at least p - k_i are equal, so under one global order of parts (most shingles first, then
+by code) the first ``k_i + 1`` of both documents share one; the others, which are empty or hold the fewest shingles,
+stay at home. A part's bits travel as a 64-bit XOR of bit codes (equal parts have equal codes). Parts meet per size
+band; folded whole sketches drop meetings too far apart, the rest is verified exactly on the shingle sets.
 
 Groups never emit all pairs: members are verified against the least member, then against further hubs. For groups that
 still lie in several components the folded sketches decide: blocks of at most ``BLOCK`` members are compared in a task,
@@ -86,7 +87,7 @@ def sketch_keys(cuts, hashes, cls, num: int, den: int):
     """Structured rows (key, class): the parity code of each part, for the set's band and, where it can match, the next."""
     edges = band_edges(num, den)
     most = differences(edges, num, den)
-    parts = most + most // 10 + 2
+    parts = most + 3 * most // 10 + 2
     n = np.diff(cuts)
     band = np.searchsorted(edges, n, "right") - 1
     code = mix(hashes + np.uint64(0x1234567))  # the code of the shingle's bit
@@ -101,32 +102,34 @@ def sketch_keys(cuts, hashes, cls, num: int, den: int):
         base = np.zeros(len(n) + 1, dtype=np.int64)
         np.cumsum(np.where(use, p, 0), out=base[1:])
         cell = base[owner] + ((h >> np.uint64(20)) % p[owner].astype(np.uint64)).astype(np.int64)
+        held = np.bincount(cell, minlength=base[-1])
         order = np.argsort(cell, kind="stable")
-        sorted_cell = cell[order]
         sums = np.zeros(base[-1], dtype=np.uint64)
-        full = np.zeros(base[-1], dtype=bool)
+        full = np.flatnonzero(held)
         if len(order):
-            at = np.flatnonzero(np.r_[True, sorted_cell[1:] != sorted_cell[:-1]])
-            sums[sorted_cell[at]] = np.bitwise_xor.reduceat(c[order], at)
-            full[sorted_cell[at]] = True
+            at = np.cumsum(held[full]) - held[full]
+            sums[full] = np.bitwise_xor.reduceat(c[order], at)
         who = np.repeat(np.arange(len(n)), np.where(use, p, 0))
         part = np.arange(base[-1]) - base[who]
-        rows = np.empty(len(who), dtype=KEY)
-        rows["key"] = mix(sums + mix(b[who].astype(np.uint64) * np.uint64(1 << 32) + part.astype(np.uint64) + np.uint64(77)))
-        rows["cls"] = cls[who]
-        enough = np.bincount(who[full], minlength=len(n)) > most[b]
-        out.append(rows[full | ~enough[who]])
+        key = mix(sums + mix(b[who].astype(np.uint64) * np.uint64(1 << 32) + part.astype(np.uint64) + np.uint64(77)))
+        rank = ((255 - np.minimum(held, 255)).astype(np.uint64) << np.uint64(56)) | (key >> np.uint64(8))
+        order = np.lexsort((rank, who))  # the parts of a document stay together
+        ahead = order[part <= most[b[who]]]
+        rows = np.empty(len(ahead), dtype=KEY)
+        rows["key"], rows["cls"] = key[ahead], cls[who[ahead]]
+        out.append(rows)
     return np.concatenate(out)
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls."""
+    """doc_id, n_shingles, cls, sketch (folded)."""
 
     def run(batches):
         for ids, cuts, hashes in shingle_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64())], ["doc_id", "n_shingles", "cls"])
+            sketch = [folded(hashes[cuts[i] : cuts[i + 1]]) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
 def key_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -154,7 +157,17 @@ def met(keys: DataFrame) -> DataFrame:
     """Members of keys that at least two classes share: gid (the key), cls, hub (the least class), n (members)."""
 
     def run(batches):
-        rows = np.unique(unpacked(batches, KEY))
+        rows = unpacked(batches, KEY)
+        order = np.argsort(rows["key"])
+        k = rows["key"][order]
+        alike = np.zeros(len(k) + 1, dtype=bool)
+        alike[1:-1] = k[1:] == k[:-1]
+        order = order[alike[1:] | alike[:-1]]  # most keys are alone
+        rows = rows[order]
+        rows = rows[np.lexsort((rows["cls"], rows["key"]))]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
+        rows = rows[new]
         k = rows["key"]
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
         size = np.diff(np.r_[at, len(k)])
@@ -188,12 +201,12 @@ def stored_sets(docs: DataFrame, size: int) -> DataFrame:
         for _, cuts, hashes in shingle_sets(batches, size):
             cls = class_ids(cuts, hashes)
             sets = [hashes[cuts[i] : cuts[i + 1]] for i in range(len(cls))]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array([folded(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "size", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    return docs.mapInArrow(run, "cls long, size long, sketch binary, shingles binary")
+    return docs.mapInArrow(run, "cls long, shingles binary")
 
 
-def near_in_blocks(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def near_in_blocks(member: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of open groups in different components whose sketches allow a link.
 
     member: gid, cls, label, n. Groups of over BLOCK members are dealt to blocks; each pair of blocks is one row group.
@@ -202,7 +215,7 @@ def near_in_blocks(member: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     dealt_out = member.select("gid", "cls", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = dealt_out.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label")
-    rows = rows.join(sets.select("cls", "size", "sketch"), "cls")
+    rows = rows.join(classes.select("cls", "size", "sketch"), "cls")
 
     def run(key, frame):
         i, j = key[1].as_py(), key[2].as_py()
@@ -229,7 +242,7 @@ def near_in_blocks(member: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def hopeful(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose sizes and sketches allow a link, so whole sets travel for those alone."""
 
     def run(batches):
@@ -244,12 +257,15 @@ def hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    of = lambda side: sets.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    of = lambda side: classes.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that reach the threshold on whole shingle sets."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that reach the threshold on whole shingle sets, which only classes in a pair get."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("first_doc").alias("doc_id"))
+    sets = stored_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), size).dropDuplicates(["cls"])
 
     def run(batches):
         for batch in batches:
@@ -275,12 +291,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     docs = keyed_text(docs).where("doc_id is not null")
     prof = cut(profiles(docs, size))
-    classes = prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
     groups = cut(met(dealt(key_rows(docs, size, num, den))).distinct())
     release(spark)
-    wanted = groups.select("cls").distinct().join(classes, "cls").select(F.col("first_doc").alias("doc_id"))
-    sets = cut(stored_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["cls"]))
-    links = cut(verified(groups.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b")).transform(hopeful, sets, num, den), sets, num, den))
+    near = lambda pairs: verified(hopeful(pairs, classes, num, den), docs, classes, size, num, den)
+    links = cut(near(groups.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b"))))
+    release(spark)
     labels = components(links)
     for turn in range(hubs + 1):
         # what one key holds in several components is still open
@@ -288,11 +304,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         split = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
         member = cut(member.join(split.where("low <> high").select("gid", "n"), "gid"))
         if turn == hubs:
-            pairs = near_in_blocks(member, sets, num, den)
+            found = verified(near_in_blocks(member, classes, num, den), docs, classes, size, num, den)
         else:
             hub = member.groupBy("gid").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("cls", F.lit(turn))).alias("h")).select("gid", F.col("h.cls").alias("b"), F.col("h.label").alias("other"))
-            pairs = member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().transform(hopeful, sets, num, den)
-        links = cut(links.union(verified(pairs, sets, num, den)))
+            found = near(member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = cut(links.union(found))
         labels = components(links)
         release(spark)
     # from classes to documents
