@@ -18,6 +18,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,20 +89,26 @@ def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int
 
 
 def slotted(rows: DataFrame, key: int, per_shard: int) -> DataFrame:
-    """Adds sequence_id (dense), slot and shard. ``rows`` must be a table that doesn't change when read again."""
+    """sequence_id (dense), slot, shard and the range of shards (``part``) that writes it.
+
+    ``rows`` must be a table that doesn't change when read again. The ids stay in the JVM.
+    """
     counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     before, total = {}, 0
     for part, n in counts:
         before[part] = total
         total += n
+    ranges = partitions_of(rows.sparkSession)
+    shards = max(1, -(-total // per_shard))
 
-    def run(batches):
-        for b in batches:
-            index = np.array([before[p] for p in b.column(0).to_pylist()], dtype=np.int64) + b.column(1).to_numpy()
-            slot = feistel(index, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(slot), pa.array(slot // per_shard), *(b.column(i) for i in (2, 3, 4))], ["sequence_id", "slot", "shard", "n_tokens", "first_doc", "ids"])
+    @F.pandas_udf("struct<sequence_id: long, slot: long>")
+    def place(part: pd.Series, number: pd.Series) -> pd.DataFrame:
+        index = part.map(before).to_numpy(dtype=np.int64) + number.to_numpy(dtype=np.int64)
+        return pd.DataFrame({"sequence_id": index, "slot": feistel(index, total, key)})
 
-    return rows.mapInArrow(run, "sequence_id long, slot long, shard long, n_tokens long, first_doc long, ids binary")
+    out = rows.withColumn("at", place("part", "number")).select("at.sequence_id", "at.slot", "n_tokens", "first_doc", "ids")
+    out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    return out.withColumn("part", F.least(F.floor(F.col("shard") * ranges / shards), F.lit(ranges - 1)).cast("int"))
 
 
 def write_shards(rows: DataFrame, folder: str, length: int, per_shard: int) -> DataFrame:
@@ -139,8 +146,8 @@ def write_shards(rows: DataFrame, folder: str, length: int, per_shard: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["slot", "shard", "byte_offset", "sequence_id", "first_doc", "n_tokens", "ids_crc32"])
         close()
 
-    spark = rows.sparkSession
-    dealt = rows.repartitionByRange(partitions_of(spark), "shard").sortWithinPartitions("slot")
+    # the slots are known, so ranges need no sampling pass
+    dealt = rows.repartitionById(partitions_of(rows.sparkSession), F.col("part")).drop("part").sortWithinPartitions("slot")
     return dealt.mapInArrow(run, "slot long, shard long, byte_offset long, sequence_id long, first_doc long, n_tokens long, ids_crc32 long")
 
 
