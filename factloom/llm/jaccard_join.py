@@ -190,8 +190,11 @@ def met(keys: DataFrame) -> DataFrame:
 
 
 def folded(h: np.ndarray) -> bytes:
-    """The whole parity sketch, folded to a power of two of bits, at least one for each shingle (64 to 32768)."""
-    bits = min(1 << 15, max(64, 1 << (max(1, len(h)) - 1).bit_length()))
+    """The whole parity sketch, folded to a power of two of bits, at least four for each shingle (256 to 2**17).
+
+    At four bits few differences cancel out, so hardly a pair below the threshold goes on to the exact check.
+    """
+    bits = min(1 << 17, max(256, 4 << (max(1, len(h)) - 1).bit_length()))
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -210,6 +213,8 @@ def near_in_blocks(member: DataFrame, classes: DataFrame, num: int, den: int) ->
     """Pairs (a, b) of open groups in different components whose sketches allow a link.
 
     member: gid, cls, label, n. Groups of over BLOCK members are dealt to blocks; each pair of blocks is one row group.
+    Near copies meet in many groups: a task gives one list of partners a class, and lists are merged before they are
+    spread into pairs.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
@@ -226,20 +231,40 @@ def near_in_blocks(member: DataFrame, classes: DataFrame, num: int, den: int) ->
         bits = np.empty((len(sketch), width), dtype=np.uint64)
         for k, s in enumerate(sketch):
             bits[k] = np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, width), axis=0)
+        thin = np.bitwise_xor.reduce(bits.reshape(len(sketch), 4, -1), axis=1)
         right = np.flatnonzero(own == j)
         a, b = [], []
         for x in np.flatnonzero(own == i):
             y = right[(right > x) | (i != j)]
             y = y[(label[y] != label[x]) & (np.minimum(size[y], size[x]) * den >= num * np.maximum(size[y], size[x]))]
+            for level in (thin, bits):
+                if len(y):
+                    apart = np.bitwise_count(level[y] ^ level[x]).sum(axis=1, dtype=np.int64)
+                    y = y[apart * (den + num) <= (size[y] + size[x]) * (den - num)]
             if len(y):
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
-                y = y[apart * (den + num) <= (size[y] + size[x]) * (den - num)]
                 a.append(np.full(len(y), cls[x]))
                 b.append(cls[y])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], high[order]
+        at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, int)
+        ends = np.r_[at[1:], len(low)] if len(low) else at
+        return pa.table({"a": pa.array(low[at], pa.int64()), "partners": pa.array([high[u:v].tobytes() for u, v in zip(at, ends, strict=True)], pa.binary())})
+
+    def spread(batches):
+        for batch in batches:
+            lists = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
+            a = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
+            b = np.concatenate(lists) if lists else a
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], ["a", "b"])
+
+    lists = rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, partners binary")
+    return lists.repartition(partitions_of(member.sparkSession), "a").sortWithinPartitions("a").mapInArrow(spread, "a long, b long").distinct()
 
 
 def hopeful(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
