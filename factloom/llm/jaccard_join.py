@@ -93,7 +93,8 @@ def sketch_keys(cuts, hashes, cls, num: int, den: int):
     code = mix(hashes + np.uint64(0x1234567))  # the code of the shingle's bit
     out = []
     for up in (0, 1):
-        use = (n >= edges[0]) & (n * den >= edges[np.minimum(band + up, len(edges) - 1)] * num)
+        # a set just below the first band has no band of its own, but can match a larger one in it
+        use = (band + up >= 0) & (n * den >= edges[np.minimum(band + up, len(edges) - 1)] * num)
         b = np.where(use, np.minimum(band + up, len(parts) - 1), 0)
         p = parts[b]
         owner = np.repeat(np.arange(len(n)), n)

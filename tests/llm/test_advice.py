@@ -1,0 +1,24 @@
+"""What a review found missing: links at the least sizes."""
+
+import pytest
+
+from factloom.llm import jaccard_join
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def words(n, name="w"):
+    return [f"{name}{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("size, num, least", [(3, 90, 9), (5, 80, 4)])
+def test_links_at_the_least_size_that_can_differ(spark, size, num, least):
+    """least against least + 1 shingles is exactly num/100; one less is below it."""
+    w, v, u = words(least + size - 1), words(least + size - 1, "v"), words(least + size - 2, "u")
+    texts = [w, [*w, "end"], v, ["start", *v], u, [*u, "end"]]
+    rows = jaccard_join.jaccard_components(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), size, num).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(0, least, 0), (1, least + 1, 0), (2, least, 2), (3, least + 1, 2), (4, least - 1, 4), (5, least, 5)]
