@@ -8,7 +8,8 @@ product messages go from the leaves to the root and back, and give each node's e
 content with the highest marginal is kept.
 
 Output: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
-by one space in page order. Scripts, styles and comments never count. Defined cases: null or empty html gives the empty
+by one space in page order. Scripts, styles and comments never count; a script's or style's text ends at its own end
+tag, whatever stands in it. Defined cases: null or empty html gives the empty
 text; broken or cut-off markup is read as far as it goes; repeated rows give equal rows; extra columns are ignored.
 """
 
@@ -30,6 +31,9 @@ RAW = frozenset("script style noscript template textarea iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!])[^>]*\Z", re.S)
+#: The end tag of each RAW element; of those, SUBTREE holds markup, the others text alone.
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
+SUBTREE = frozenset(["svg", "template"])
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b|display:\s*(none)""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
@@ -45,7 +49,7 @@ class Page:
         self.state: list[str] = [""]
         stack: list[tuple[str, int]] = [("#root", 0)]
         block, links, at, skip = 0, 0, 0, None
-        for m in MARKUP.finditer(source):
+        while m := MARKUP.search(source, at):
             if skip is None and m.start() > at:
                 self._text(source[at : m.start()], stack[-1][1], block, links)
             at = m.end()
@@ -55,6 +59,8 @@ class Page:
             if skip is not None:
                 if m[1] and tag == skip:
                     skip = None
+                elif not m[1] and tag in RAW - SUBTREE and (end := ENDS[tag].search(source, at)):
+                    at = end.end()
                 continue
             if m[1]:
                 if any(t == tag for t, _ in stack[1:]):
@@ -67,7 +73,11 @@ class Page:
                 continue
             if tag in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    skip = tag
+                    if tag in SUBTREE:
+                        skip = tag
+                    else:
+                        end = ENDS[tag].search(source, at)
+                        at = end.end() if end else len(source)
                 continue
             if tag in VOID:
                 if tag in ("br", "hr", "wbr"):

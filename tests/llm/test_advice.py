@@ -1,8 +1,8 @@
-"""What a review found missing: links at the least sizes."""
+"""What a review found missing: links at the least sizes and pages after raw elements."""
 
 import pytest
 
-from factloom.llm import jaccard_join
+from factloom.llm import html_tree, jaccard_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,3 +22,25 @@ def test_links_at_the_least_size_that_can_differ(spark, size, num, least):
     texts = [w, [*w, "end"], v, ["start", *v], u, [*u, "end"]]
     rows = jaccard_join.jaccard_components(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), size, num).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(0, least, 0), (1, least + 1, 0), (2, least, 2), (3, least + 1, 2), (4, least - 1, 4), (5, least, 5)]
+
+
+SCRIPTS = ["for(var i=0;i<e.length;i++)f(e[i]);", "x<!--y", "if(a<b)c('</p>')", 's="<div class=\'a";', "<!-- // -->", ""]
+
+
+@pytest.mark.parametrize("tag", ["script", "STYLE", "textarea", "iframe", "noscript"])
+@pytest.mark.parametrize("inner", SCRIPTS)
+def test_raw_elements_end_at_their_end_tag(tag, inner):
+    runs = html_tree.Page(f"<body><p>one</p><{tag} type=x>{inner}</{tag.lower()} ><article>two</article><{tag}>z</{tag}><p>three</p>").runs
+    assert [t for _, _, t in runs] == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("tag", ["svg", "template"])
+def test_raw_subtrees_hold_markup(tag):
+    runs = html_tree.Page(f"<p>one</p><{tag}><!-- </{tag}> --><script>i<e.length</script><b title='</{tag}>'>x</b></{tag}><p>two</p>").runs
+    assert [t for _, _, t in runs] == ["one", "two"]
+
+
+def test_page_after_a_script_is_extracted(spark):
+    pages = [f"<body><script>{x}</script><article><h1>T</h1><p>one two</p></article></body>" for x in SCRIPTS]
+    df = spark.createDataFrame([(i, "u", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.text for r in html_tree.extract(df).collect()} == {"T one two"}
