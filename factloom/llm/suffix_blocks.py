@@ -10,7 +10,8 @@ and equal ranks over length - d bytes mean equal windows. No hash decides what i
 
 Equal runs of windows of a chunk are sent once, with their first place. Defined cases: null or empty text has no bytes;
 texts under ``length`` bytes keep all; extra columns are ignored; empty tables give no rows. Rows that repeat a doc_id
-are compared with each other only by start.
+are compared with each other only by start (an equal start is not earlier), and each text has its own spans: ``name``,
+a hash of it, tells such rows apart. Rows without a doc_id keep all.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from factloom.llm.common import Roller, chunks, cut, dealt, keyed_text, mix, par
 
 COVER, PERIOD, PREFIX = (0, 1, 3), 7, 24
 GRAM = 16
-META = np.dtype([("doc", "<i8"), ("start", "<u4"), ("bytes", "<u4")])
-HIT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
+META = np.dtype([("doc", "<i8"), ("name", "<i8"), ("start", "<u4"), ("bytes", "<u4")])
+HIT = np.dtype([("doc", "<i8"), ("name", "<i8"), ("start", "<u4"), ("end", "<u4")])
 ROWS = "bucket int, meta binary, data binary"
 
 
@@ -66,6 +67,15 @@ def runs_of_windows(data, offs, roll: Roller, length: int):
     return first, last, h[place[first].astype(np.int64)]
 
 
+def named_chunks(batches):
+    """chunks() with the names of the texts after the ids."""
+    for batch in batches:
+        names, at = batch.column(batch.schema.get_field_index("name")).to_numpy(), 0
+        for ids, data, offs in chunks([batch]):
+            yield ids, names[at : at + len(ids)], data, offs
+            at += len(ids)
+
+
 def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFrame:
     """Runs of one slice of buckets; buckets below 0 hold settled spans (HIT rows in meta)."""
     buckets = partitions_of(docs.sparkSession) * 2
@@ -81,7 +91,7 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFram
             kept.clear()
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "meta", "data"])
 
-        for ids, data, offs in chunks(batches):
+        for ids, names, data, offs in named_chunks(batches):
             first, last, h = runs_of_windows(data, offs, roll, length)
             place = mix(h)
             mine = np.flatnonzero(place % np.uint64(rounds) == turn)
@@ -91,18 +101,21 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFram
             start = first - offs[doc]
             order = np.lexsort((start, ids[doc]))
             view = data.tobytes()
-            seen: set[bytes] = set()
+            seen: dict[bytes, tuple] = {}
             known = []
-            for d, s, f, e, b in zip(ids[doc[order]].tolist(), start[order].tolist(), first[order].tolist(), (last[order] + length - 1).tolist(), bucket[order].tolist(), strict=True):
+            for d, n, s, f, e, b in zip(ids[doc[order]].tolist(), names[doc[order]].tolist(), start[order].tolist(), first[order].tolist(), (last[order] + length - 1).tolist(), bucket[order].tolist(), strict=True):
                 piece = view[f:e]
-                if piece in seen:
-                    known.append((d, s, s + e - f))
+                own = (d, s, n)
+                first_own = seen.setdefault(piece, own)
+                if first_own[:2] != own[:2]:
+                    known.append((d, n, s, s + e - f))
                     continue
-                seen.add(piece)
+                if first_own is not own and first_own == own:
+                    continue  # the same row again
                 m, p = kept.setdefault(b, ([], []))
-                m.append((d, s, e - f))
+                m.append((d, n, s, e - f))
                 p.append(piece)
-                size += e - f + 16
+                size += e - f + META.itemsize
             if known:
                 hits = np.array(known, dtype=HIT)
                 spot = -1 - (mix(hits["doc"].view(np.uint64) if hits["doc"].flags.c_contiguous else hits["doc"].copy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -148,9 +161,9 @@ def ties(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.sort(at)
 
 
-def first_places(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """For each tied window, the least place of an equal window, by the difference cover's ranks."""
-    best = at.copy()
+def first_places(data: np.ndarray, at: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """For each tied window, the least ``place`` of an equal window, by the difference cover's ranks."""
+    best = place.copy()
     if not len(at):
         return best
     # cover members whose ranks may be asked for, up to the last whole period of a window
@@ -185,21 +198,23 @@ def first_places(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         keys.append(words_at(data, at[pick], PERIOD))
         name = named(*keys).astype(np.int64)
         low = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, name, at[pick])
+        np.minimum.at(low, name, place[pick])
         best[pick] = np.minimum(best[pick], low[name])
     return best
 
 
 def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.ndarray:
-    """HIT spans (bytes covered by windows that start earlier too) within one block of runs."""
+    """HIT spans (bytes covered by windows that have an equal one at a smaller (doc, start)) within one block of runs."""
     order = np.lexsort((meta["start"], meta["doc"]))
     known, alone = [], []
-    seen: set[bytes] = set()
+    seen: dict[bytes, tuple] = {}
+    docs, names, begins = (meta[c].tolist() for c in ("doc", "name", "start"))
     for i in order.tolist():
-        if pieces[i] in seen:
+        own = (docs[i], begins[i], names[i])
+        first = seen.setdefault(pieces[i], own)
+        if first[:2] != own[:2]:
             known.append(i)
-        else:
-            seen.add(pieces[i])
+        elif first is own or first != own:  # else the same row again
             alone.append(i)
     m = meta[alone]
     size = m["bytes"].astype(np.int64)
@@ -212,12 +227,14 @@ def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.nda
     np.cumsum(count, out=begin[1:])
     starts = base[owner] + np.arange(begin[-1]) - begin[owner]
     at = ties(data, starts)
-    late = at[first_places(data, at, length) < at]
+    run = np.searchsorted(base, at, "right") - 1
+    place = (np.unique(m["doc"], return_inverse=True)[1][run] << 32) + m["start"][run] + at - base[run]
+    late = at[first_places(data, at, place, length) < place]
     out = [np.zeros(0, dtype=HIT)]
     if known:
         k = meta[known]
         x = np.empty(len(k), dtype=HIT)
-        x["doc"], x["start"], x["end"] = k["doc"], k["start"], k["start"] + k["bytes"]
+        x["doc"], x["name"], x["start"], x["end"] = k["doc"], k["name"], k["start"], k["start"] + k["bytes"]
         out.append(x)
     if len(late):
         own = np.searchsorted(base, late, "right") - 1
@@ -225,7 +242,7 @@ def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.nda
         stop = np.append(new[1:], len(late)) - 1
         x = np.empty(len(new), dtype=HIT)
         o = own[new]
-        x["doc"], x["start"] = m["doc"][o], m["start"][o] + late[new] - base[o]
+        x["doc"], x["name"], x["start"] = m["doc"][o], m["name"][o], m["start"][o] + late[new] - base[o]
         x["end"] = m["start"][o] + late[stop] - base[o] + length
         out.append(x)
     return np.concatenate(out)
@@ -249,28 +266,29 @@ def repeated(rows: DataFrame, length: int) -> DataFrame:
             mine = [i for i, (b, _) in enumerate(metas) if b == bucket]
             hits.append(repeated_spans(np.concatenate([metas[i][1] for i in mine]), [p for i in mine for p in pieces[i]], length))
         found = np.concatenate(hits) if hits else np.zeros(0, dtype=HIT)
-        found = found[np.argsort(found["doc"], kind="stable")]
-        doc = found["doc"]
-        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        found = found[np.lexsort((found["name"], found["doc"]))]
+        doc, name = found["doc"], found["name"]
+        at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])]) if len(doc) else np.zeros(0, np.int64)
         stop = np.append(at[1:], len(doc))
         body = np.stack([found["start"], found["end"]], axis=1).astype("<u4")
         for i in range(0, len(at), 5000):
             part = range(i, min(i + 5000, len(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at[i : i + 5000]].astype(np.int64), pa.int64()), pa.array([body[at[k] : stop[k]].tobytes() for k in part], pa.binary())], ["doc_id", "spans"])
+            who = [pa.array(x[at[i : i + 5000]].astype(np.int64), pa.int64()) for x in (doc, name)]
+            yield pa.RecordBatch.from_arrays([*who, pa.array([body[at[k] : stop[k]].tobytes() for k in part], pa.binary())], ["doc_id", "name", "spans"])
 
-    return dealt(rows).mapInArrow(run, "doc_id long, spans binary")
+    return dealt(rows).mapInArrow(run, "doc_id long, name long, spans binary")
 
 
 def dedup(docs: DataFrame, length: int = 100, rounds: int = 3) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ("start:end" in bytes, comma-joined), kept (binary)."""
     spark = docs.sparkSession
-    docs = keyed_text(docs)
+    docs = keyed_text(docs).withColumn("name", F.xxhash64("text"))
     keyed = docs.where("doc_id is not null")
     found = []
     for turn in range(rounds):
         found.append(cut(repeated(slice_rows(keyed, turn, rounds, length), length)))
         release(spark)
-    spans = reduce(DataFrame.union, found).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = reduce(DataFrame.union, found).groupBy("doc_id", "name").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -291,4 +309,4 @@ def dedup(docs: DataFrame, length: int = 100, rounds: int = 3) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
+    return docs.join(spans, ["doc_id", "name"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")

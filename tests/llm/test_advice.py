@@ -1,8 +1,10 @@
-"""What a review found missing: links at the least sizes and pages after raw elements."""
+"""What a review found missing: links at the least sizes, pages after raw elements and repeated rows."""
+
+import random
 
 import pytest
 
-from factloom.llm import html_tree, jaccard_join
+from factloom.llm import html_tree, jaccard_join, suffix_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +46,23 @@ def test_page_after_a_script_is_extracted(spark):
     pages = [f"<body><script>{x}</script><article><h1>T</h1><p>one two</p></article></body>" for x in SCRIPTS]
     df = spark.createDataFrame([(i, "u", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
     assert {r.text for r in html_tree.extract(df).collect()} == {"T one two"}
+
+
+def test_byte_dedup_of_repeated_doc_ids(spark):
+    """A window goes if an equal one has a smaller (doc_id, start), whatever row it is in; each row has its own spans."""
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c = make(300), make(260), make(220)
+    rows = [(1, a), (1, a), (1, b), (2, c), (2, a[:150] + c), (2, c), (3, c[20:180]), (3, make(50) + b), (0, a[40:190]), (4, b + a), (4, b + a), (5, make(30) + a[:250]), (5, a[:250] + make(30)), (None, a), (None, a)]
+    first = {}
+    for d, t in rows:
+        for i in range(len(t) - 99):
+            if d is not None:
+                first[t[i : i + 100]] = min(first.get(t[i : i + 100], (d, i)), (d, i))
+    want = []
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 99) if d is not None and first[t[i : i + 100]] < (d, i) for j in range(i, i + 100)}
+        want.append((d or -1, len(t), len(gone), "".join(x for j, x in enumerate(t) if j not in gone)))
+    for parts in (1, 5):  # equal pieces meet in a chunk or across chunks
+        got = suffix_blocks.dedup(frame(spark, rows).repartition(parts), rounds=2).collect()
+        assert sorted((x.doc_id or -1, x.n_bytes, x.n_removed, bytes(x.kept).decode()) for x in got) == sorted(want)
