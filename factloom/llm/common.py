@@ -61,13 +61,14 @@ class Roller:
 
 
 def chunks(batches, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNK_BYTES):
-    """(ids, data bytes, offsets) of slices of Arrow batches; null text is empty. ids may hold None."""
+    """(ids, data bytes, offsets) of slices of Arrow batches; null text is empty. ids are int64, or objects where some are None."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(text_col))
         if text.null_count:
             text = text.fill_null("")
         text = text.cast(pa.large_binary())
-        ids = batch.column(batch.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False)
+        ids = batch.column(batch.schema.get_field_index(id_col))
+        ids = np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
         n = len(text)
         if not n:
             continue

@@ -9,7 +9,7 @@ with probability 0.81**hashes at worst), verified by the exact share of the item
 The items are a stated query set: they go to the workers in blocks of at most ``block_items`` rows, one pass over the
 documents for each block, so what is sent has a proven bound. Documents are not shuffled. Defined cases: words are
 lower-cased (A-Z); items with fewer words than a shingle aren't searched; null or empty texts match nothing; repeated
-documents give a row each; items with equal texts are separate; empty tables give no rows; extra columns are ignored.
+documents and those without a doc_id give a row each; items with equal texts are separate; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def search(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float =
         rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b)
         sets = [(int(ids[i]), np.unique(h[cuts[i] : cuts[i + 1]])) for ids, cuts, h in shingles(rows.toArrow().to_batches(), size) for i in range(len(ids)) if cuts[i + 1] > cuts[i]]
         if sets:
-            out.append(keyed_text(docs).where("doc_id is not null").mapInArrow(_matcher(spark.sparkContext.broadcast(sets), size, threshold, hashes), schema))
+            out.append(keyed_text(docs).mapInArrow(_matcher(spark.sparkContext.broadcast(sets), size, threshold, hashes), schema))
     return reduce(DataFrame.union, out) if out else spark.createDataFrame([], schema)
 
 
@@ -112,7 +112,7 @@ def _matcher(sets, size, threshold, hashes):
                 at = np.searchsorted(own[d], want)
                 shared = int((own[d][np.minimum(at, len(own[d]) - 1)] == want).sum())
                 if shared >= threshold * len(want):
-                    rows.append((int(ids[d]), item, len(want), shared, shared / len(want)))
+                    rows.append((None if ids[d] is None else int(ids[d]), item, len(want), shared, shared / len(want)))
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
@@ -121,5 +121,5 @@ def _matcher(sets, size, threshold, hashes):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept."""
+    """The documents that hold no benchmark item, all columns kept. Rows without a doc_id pass."""
     return docs.join(search(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")

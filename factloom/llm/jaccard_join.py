@@ -14,7 +14,8 @@ and only pairs across components whose Hamming distance allows a link go on to t
 
 Defined cases: null or empty text has no shingles and links with nothing (its component is itself); fewer words than
 the shingle length make one shingle of the whole sequence; equal rows collapse to one class before any join; repeated
-doc_ids with different texts count as one vertex. Extra columns are ignored.
+doc_ids with different texts count as one vertex; rows without a doc_id are no vertex, so they have no component and
+one_of_each keeps them all. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -315,7 +316,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, n
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, hubs: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num/den)."""
     spark = docs.sparkSession
-    docs = keyed_text(docs).where("doc_id is not null")
+    every = keyed_text(docs)
+    docs = every.where("doc_id is not null")
     prof = cut(profiles(docs, size))
     classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
     groups = cut(met(dealt(key_rows(docs, size, num, den))).distinct())
@@ -343,10 +345,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     by_class = cut(named.join(least, "label").select("cls", "component_id"))
     out = prof.join(by_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nameless = profiles(every.where("doc_id is null"), size)
+    return out.union(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents of the least doc_id in each component, all columns kept."""
+    """The documents of the least doc_id in each component and those without a doc_id, all columns kept."""
     keep = jaccard_components(docs, size, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null").select(docs.columns))

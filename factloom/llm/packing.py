@@ -8,7 +8,7 @@ group, which balances their tokens.
 
 It works within the partitions of its input, in bounded buffers and without a shuffle; sequence ids start with the
 partition number and are the same when a lost task runs again. Defined cases: null or empty text is the end id alone;
-equal rows are packed each; empty tables give no rows; extra columns are ignored.
+equal rows and rows without a doc_id are packed each; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, window: int = 2048, least: int = 256, end_id: int = 1,
             for ids, data, offs in chunks(batches):
                 text = data.tobytes()
                 for i, doc in enumerate(ids):
-                    yield from packer.add(int(doc), encode(text[offs[i] : offs[i + 1]]) + end)
+                    yield from packer.add(None if doc is None else int(doc), encode(text[offs[i] : offs[i + 1]]) + end)
             yield from packer.finish()
 
         for seq in all_sequences():
@@ -149,4 +149,4 @@ def pack(docs: DataFrame, window: int = 2048, least: int = 256, end_id: int = 1,
         if waiting:
             yield out(waiting)
 
-    return keyed_text(docs).where("doc_id is not null").mapInArrow(run, SCHEMA)
+    return keyed_text(docs).mapInArrow(run, SCHEMA)

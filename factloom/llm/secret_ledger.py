@@ -6,7 +6,7 @@ once for each distinct blob, and the findings are joined back to all documents (
 
 Spans come from the built-in functions: the pieces between matches (split) and the matches (regexp_extract_all) have
 known lengths, whose running sums are the spans, in code points. Defined cases: null text is the empty text; empty
-texts have no findings; equal rows share a blob and get a row each; extra columns are ignored.
+texts have no findings; equal rows share a blob and get a row each; rows without a doc_id are scanned alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +61,9 @@ def scan(documents: DataFrame, ledger: DataFrame | None = None, findings: DataFr
         current = spark.createDataFrame([(r[0], r[1]) for r in rules], "rule string, version int")
         seen = ledger.join(F.broadcast(current), ["rule", "version"]).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("rules", F.array_except("rules", F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0)
-    texts = named.where("doc_id is not null").join(todo.select("doc_id", "blob", "rules"), ["doc_id", "blob"])
+    todo = todo.select(F.col("doc_id").alias("_doc"), F.col("blob").alias("_blob"), "rules")
+    # a blob that only rows without a doc_id hold has a null _doc
+    texts = named.join(todo, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "blob", "text", "rules")
     return _scanned(texts, ledger, findings, rules)
 
 
@@ -98,7 +100,7 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     hit = per_document(documents, findings).where(F.size("found") > 0).dropDuplicates(["doc_id", "blob"])
     hit = hit.select(F.col("doc_id").alias("_hit_doc"), F.col("blob").alias("_hit_blob"), F.col("found").alias("_hit_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = documents.join(hit, (F.col("doc_id") == F.col("_hit_doc")) & (F.unhex(F.sha2(text, 256)) == F.col("_hit_blob")), "left")
+    both = documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_doc")) & (F.unhex(F.sha2(text, 256)) == F.col("_hit_blob")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     fold = F.aggregate(
         "_hit_spans",

@@ -1,10 +1,10 @@
-"""What a review found missing: links at the least sizes, pages after raw elements and repeated rows."""
+"""What a review found missing: links at the least sizes, pages after raw elements, repeated rows and rows without ids."""
 
 import random
 
 import pytest
 
-from factloom.llm import html_tree, jaccard_join, suffix_blocks
+from factloom.llm import decontaminate, html_tree, jaccard_join, packing, repetition, secret_ledger, suffix_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +66,32 @@ def test_byte_dedup_of_repeated_doc_ids(spark):
     for parts in (1, 5):  # equal pieces meet in a chunk or across chunks
         got = suffix_blocks.dedup(frame(spark, rows).repartition(parts), rounds=2).collect()
         assert sorted((x.doc_id or -1, x.n_bytes, x.n_removed, bytes(x.kept).decode()) for x in got) == sorted(want)
+
+
+def test_rows_without_a_doc_id(spark):
+    key = "password=abcdefgh12"
+    w = " ".join(words(30))
+    big = 2**60 + 1  # not a float
+    rows = [(None, w), (None, w), (None, f"x {key} y"), (None, None), (big, w), (7, "a b c d e f"), (7, f"both {key}"), (None, f"both {key}")]
+    docs = frame(spark, rows).coalesce(1)
+    plain = sorted((d or -1, t or "") for d, t in rows)
+
+    found = {(r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {(-1, 28, None), (-1, 1, None), (-1, 0, None), (big, 28, big), (7, 4, 7), (7, 1, 7)}
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == plain
+
+    first = [r for r in packing.pack(docs).collect() if r.start == 0]
+    assert sorted(r.doc_id or -1 for r in first) == sorted(d for d, _ in plain)
+
+    clean = secret_ledger.redacted(docs).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in clean) == sorted((d, t.replace(key, "[SECRET]")) for d, t in plain)
+    findings, ledger = secret_ledger.scan(docs)
+    spans = [(r.doc_id or -1, len(r.found)) for r in secret_ledger.per_document(docs, findings).collect()]
+    assert sorted(spans) == sorted((d, int(key in t)) for d, t in plain)
+    assert ledger.count() == 3 * len({t for _, t in plain})
+
+    assert sorted((r.doc_id or -1, r.n_words) for r in repetition.rules(docs).collect()) == sorted((d, len(t.split())) for d, t in plain)
+
+    items = spark.createDataFrame([(5, w)], "item_id long, text string")
+    assert sorted(r.doc_id or -1 for r in decontaminate.search(docs, items).collect()) == [-1, -1, big]
