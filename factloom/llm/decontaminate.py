@@ -8,7 +8,8 @@ with probability 0.81**hashes at worst), verified by the exact share of the item
 
 The items are a stated query set: they go to the workers in blocks of at most ``block_items`` rows, one pass over the
 documents for each block, so what is sent has a proven bound. Documents are not shuffled. Defined cases: words are
-lower-cased (A-Z); items with fewer words than a shingle aren't searched; null or empty texts match nothing; repeated
+lower-cased (A-Z); items with fewer words than a shingle are one shingle, their whole word sequence, searched exactly in
+the same pass; null or empty texts match nothing; repeated
 documents and those without a doc_id give a row each; items with equal texts are separate; empty tables give no rows; extra columns are ignored.
 """
 
@@ -26,23 +27,26 @@ from factloom.llm.common import Roller, chunks, keyed_text, mix, words_of
 SEED = 23
 
 
-def shingles(batches, size: int, id_col: str = "doc_id"):
-    """(ids, first shingle of each text plus total, shingle hashes in text order)."""
+def shingles(batches, sizes, id_col: str = "doc_id"):
+    """(ids, {size: (first shingle of each text plus total, shingle hashes in text order)})."""
     roll = Roller(SEED)
-    step = np.random.default_rng(SEED).integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    steps = {k: np.random.default_rng(SEED).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in sizes}
     for ids, data, offs in chunks(batches, id_col):
         data, s, e, at = words_of(data, offs, lower=True)
         w = roll.slices(roll.prefix(data), s, e)
-        total = max(0, len(w) - size + 1)
-        acc = np.zeros(total, dtype=np.uint64)
-        for i in range(size):
-            acc += w[i : total + i] * step[i] if i == 0 else mix(w[i : total + i] * step[i])
-        acc = mix(acc)
-        n = np.maximum(0, np.diff(at) - size + 1)
-        cuts = np.zeros(len(ids) + 1, dtype=np.int64)
-        np.cumsum(n, out=cuts[1:])
-        where = np.arange(cuts[-1]) - np.repeat(cuts[:-1], n) + np.repeat(at[:-1], n)
-        yield ids, cuts, acc[where]
+        out = {}
+        for size, step in steps.items():
+            total = max(0, len(w) - size + 1)
+            acc = np.zeros(total, dtype=np.uint64)
+            for i in range(size):
+                acc += w[i : total + i] * step[i] if i == 0 else mix(w[i : total + i] * step[i])
+            acc = mix(acc)
+            n = np.maximum(0, np.diff(at) - size + 1)
+            cuts = np.zeros(len(ids) + 1, dtype=np.int64)
+            np.cumsum(n, out=cuts[1:])
+            where = np.arange(cuts[-1]) - np.repeat(cuts[:-1], n) + np.repeat(at[:-1], n)
+            out[size] = (cuts, acc[where])
+        yield ids, out
 
 
 class Index:
@@ -93,17 +97,43 @@ def search(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float =
     out = []
     for b in range(blocks):
         rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b)
-        sets = [(int(ids[i]), np.unique(h[cuts[i] : cuts[i + 1]])) for ids, cuts, h in shingles(rows.toArrow().to_batches(), size) for i in range(len(ids)) if cuts[i + 1] > cuts[i]]
-        if sets:
-            out.append(keyed_text(docs).mapInArrow(_matcher(spark.sparkContext.broadcast(sets), size, threshold, hashes), schema))
+        sets, short = [], []
+        for ids, grams in shingles(rows.toArrow().to_batches(), range(1, size + 1)):
+            cuts, h = grams[size]
+            words = np.diff(grams[1][0])
+            sets += [(int(ids[i]), np.unique(h[cuts[i] : cuts[i + 1]])) for i in np.flatnonzero(words >= size)]
+            short += [(int(ids[i]), int(words[i]), grams[words[i]][1][grams[words[i]][0][i]]) for i in np.flatnonzero((words > 0) & (words < size))]
+        if sets or short:
+            out.append(keyed_text(docs).mapInArrow(_matcher(spark.sparkContext.broadcast((sets, short)), size, threshold, hashes), schema))
     return reduce(DataFrame.union, out) if out else spark.createDataFrame([], schema)
 
 
+def short_items(rows):
+    """{words: (sorted hashes, item ids)} of the items below a shingle's length."""
+    out = {}
+    for n in sorted({n for _, n, _ in rows}):
+        mine = sorted((h, item) for item, m, h in rows if m == n)
+        out[n] = (np.array([h for h, _ in mine], dtype=np.uint64), [item for _, item in mine])
+    return out
+
+
+def holders(cuts, h, names, items):
+    """Pairs (document, item), once each, of documents that hold an item's whole word sequence."""
+    lo = np.searchsorted(names, h, "left")
+    hit = np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == h)
+    doc = np.searchsorted(cuts, hit, "right") - 1
+    for d, k in sorted(set(zip(doc.tolist(), lo[hit].tolist(), strict=True))):
+        for i in range(k, int(np.searchsorted(names, names[k], "right"))):
+            yield d, items[i]
+
+
 def _matcher(sets, size, threshold, hashes):
     def run(batches):
-        index = Index(sets.value, hashes)
-        for ids, cuts, h in shingles(batches, size):
-            rows = []
+        index = Index(sets.value[0], hashes)
+        short = short_items(sets.value[1])
+        for ids, grams in shingles(batches, (size, *short)):
+            cuts, h = grams[size]
+            rows = [(None if ids[d] is None else int(ids[d]), item, 1, 1, 1.0) for n, (names, items) in short.items() for d, item in holders(*grams[n], names, items)]
             own: dict[int, np.ndarray] = {}
             for d, k in sorted(index.candidates(cuts, h)):
                 if d not in own:

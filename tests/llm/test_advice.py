@@ -95,3 +95,17 @@ def test_rows_without_a_doc_id(spark):
 
     items = spark.createDataFrame([(5, w)], "item_id long, text string")
     assert sorted(r.doc_id or -1 for r in decontaminate.search(docs, items).collect()) == [-1, -1, big]
+
+
+def test_short_benchmark_items(spark):
+    texts = ["a b c d e f g", "A\nb", "a x b c d", "b a", "", None, "d e f", "c d e f", "q"]
+    items = ["a b", "A B", "c d e f", "d", "zz", "", None, "a b c d e"]
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            w, v = (t or "").lower().split(), (item or "").lower().split()
+            if v and any(w[i : i + len(v)] == v for i in range(len(w) - len(v) + 1)):
+                want.add((d, k, 1, 1, 1.0))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.search(frame(spark, list(enumerate(texts))), table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
