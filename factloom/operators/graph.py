@@ -1,31 +1,35 @@
-"""Typed dependency edges: cascades, closures, alias chains and relational paths by level-synchronous joins."""
+"""Typed dependency edges: cascades and relational paths by level-synchronous joins."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (source, target), seeds (node) -> (node, depth): least depth of everything reachable, cycles included once.
 
-    Each level is an equi join of the frontier; visited nodes leave by an anti join, so cycles end. Frontiers are
+    It goes on until a level brings nothing new; a graph deeper than a given ``max_depth`` is an error. Each level is an equi join of the frontier; visited nodes leave by an anti join, so cycles end. Frontiers are
     written to the checkpoint folder where one is set, which keeps the plan short on deep graphs.
     """
     spark = edges.sparkSession
     keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.cache())
     visited = keep(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         frontier = keep(step.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).cast("long").alias("depth")))
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"the graph is deeper than max_depth = {max_depth}")
         visited = keep(visited.unionByName(frontier))
     return visited
 
 
-def protected_cascade(edges: DataFrame, seeds: DataFrame, protected: DataFrame, max_depth: int = 50) -> DataFrame:
+def protected_cascade(edges: DataFrame, seeds: DataFrame, protected: DataFrame, max_depth: int | None = None) -> DataFrame:
     """As ``cascade``, but protected nodes neither fall nor pass it on."""
     open_edges = edges.join(protected.select(F.col("node").alias("target")), "target", "left_anti")
     return cascade(open_edges, seeds, max_depth)

@@ -1,0 +1,14 @@
+"""What a review found missing in the graph operators."""
+
+import pytest
+
+from factloom.operators import graph
+
+
+def test_cascade_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([*((i, i + 1) for i in range(53)), (53, 20)], "source long, target long").cache()
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert sorted(tuple(r) for r in graph.cascade(edges, seeds).collect()) == [(i, i) for i in range(54)]
+    with pytest.raises(RuntimeError):
+        graph.cascade(edges, seeds, 3)
+    assert graph.cascade(edges.where("source < 3"), seeds, 3).count() == 4
