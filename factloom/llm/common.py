@@ -130,10 +130,19 @@ class Outbox:
             yield out
 
 
-def unpacked(batches, dtype) -> np.ndarray:
-    """All payload rows of a partition (its size follows spark.sql.shuffle.partitions)."""
-    parts = [b.column(b.schema.get_field_index("payload")).to_pylist() for b in batches]
-    return np.frombuffer(b"".join(x for p in parts for x in p), dtype=dtype)
+def by_bucket(batches):
+    """(bucket, rows without the bucket) of partitions sorted by bucket, so that one bucket is held at a time."""
+    held, name = [], None
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for bucket, *rest in zip(*cols, strict=True):
+            if bucket != name:
+                if held:
+                    yield name, held
+                held, name = [], bucket
+            held.append(rest)
+    if held:
+        yield name, held
 
 
 def partitions_of(spark: SparkSession) -> int:

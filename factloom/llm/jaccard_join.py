@@ -5,17 +5,18 @@ differ in shingles (Hamming distance <= symmetric difference). For size band i a
 ``k_i`` shingles; the sketch is dealt into more than ``k_i`` parts by shingle hash, and by the pigeonhole principle one
 part is equal. With p parts at least p - k_i are equal, so under one global order of parts (most shingles first, then
 by code) the first ``k_i + 1`` of both documents share one; the others, which are empty or hold the fewest shingles,
-stay at home. A part's bits travel as a 64-bit XOR of bit codes (equal parts have equal codes). Parts meet per size
-band; folded whole sketches drop meetings too far apart, the rest is verified exactly on the shingle sets.
+stay at home. A part's bits travel as a 64-bit XOR of bit codes (equal parts have equal codes) and meet per size band.
 
-Groups never emit all pairs: members are verified against the least member, then against further hubs. For groups that
-still lie in several components the folded sketches decide: blocks of at most ``BLOCK`` members are compared in a task,
-and only pairs across components whose Hamming distance allows a link go on to the exact check.
+Meeting joins the classes of a size band into cells (components of the star "class - least class of the same part"), so a
+class is in at most two cells however many parts it shares, and its set travels once for each. A cell is dealt to blocks of bounded members and bytes, one
+task for each pair of blocks: sketches drop pairs whose Hamming distance rules a link out, the rest is verified exactly
+on the shingle sets, and pairs that are joined already are skipped. A task thus sends a spanning forest of verified
+links, at most one row for each member, and no candidate pair is ever a row.
 
 Defined cases: null or empty text has no shingles and links with nothing (its component is itself); fewer words than
-the shingle length make one shingle of the whole sequence; equal rows collapse to one class before any join; repeated
-doc_ids with different texts count as one vertex; rows without a doc_id are no vertex, so they have no component and
-one_of_each keeps them all. Extra columns are ignored.
+the shingle length make one shingle of the whole sequence; equal sets collapse to one class before any join; rows with
+one doc_id and different texts are one vertex, so they share a component; rows without a doc_id are no vertex, so they
+have no component and one_of_each keeps them all. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PACKED, Outbox, Roller, chunks, cut, dealt, keyed_text, mix, partitions_of, release, unpacked, words_of
+from factloom.llm.common import PACKED, Outbox, Roller, by_bucket, chunks, cut, dealt, keyed_text, mix, partitions_of, release, words_of
 from factloom.llm.components import components
 
-KEY = np.dtype([("key", "<u8"), ("cls", "<i8")])
+KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
 SEED = 11
-#: Members of a group that one task compares with as many others.
-BLOCK = 256
+#: Members and bytes of shingle sets of a block; a task holds two blocks.
+BLOCK, BLOCK_BYTES = 4096, 48 << 20
 
 
 def shingle_sets(batches, size: int):
@@ -84,19 +85,29 @@ def differences(edges, num: int, den: int) -> np.ndarray:
     return 2 * (edges[1:] - 1) * (den - num) // (den + num)
 
 
-def sketch_keys(cuts, hashes, cls, num: int, den: int):
-    """Structured rows (key, class): the parity code of each part, for the set's band and, where it can match, the next."""
+def node_of(cls: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A class in the role of a member of a size band."""
+    return mix(cls.view(np.uint64) + mix(band.astype(np.uint64) + np.uint64(0xB0B))).view(np.int64)
+
+
+def bands_of(n: np.ndarray, num: int, den: int):
+    """For the set's own band and the next: (band, whether the set can have a partner in it)."""
     edges = band_edges(num, den)
-    most = differences(edges, num, den)
-    parts = most + 3 * most // 10 + 2
-    n = np.diff(cuts)
     band = np.searchsorted(edges, n, "right") - 1
-    code = mix(hashes + np.uint64(0x1234567))  # the code of the shingle's bit
-    out = []
     for up in (0, 1):
         # a set just below the first band has no band of its own, but can match a larger one in it
         use = (band + up >= 0) & (n * den >= edges[np.minimum(band + up, len(edges) - 1)] * num)
-        b = np.where(use, np.minimum(band + up, len(parts) - 1), 0)
+        yield np.where(use, np.minimum(band + up, len(edges) - 2), 0), use
+
+
+def sketch_keys(cuts, hashes, cls, num: int, den: int):
+    """Structured rows (key, node): the parity code of each part, for the set's band and, where it can match, the next."""
+    most = differences(band_edges(num, den), num, den)
+    parts = most + 3 * most // 10 + 2
+    n = np.diff(cuts)
+    code = mix(hashes + np.uint64(0x1234567))  # the code of the shingle's bit
+    out = []
+    for b, use in bands_of(n, num, den):
         p = parts[b]
         owner = np.repeat(np.arange(len(n)), n)
         keep = use[owner]
@@ -118,20 +129,19 @@ def sketch_keys(cuts, hashes, cls, num: int, den: int):
         order = np.lexsort((rank, who))  # the parts of a document stay together
         ahead = order[part <= most[b[who]]]
         rows = np.empty(len(ahead), dtype=KEY)
-        rows["key"], rows["cls"] = key[ahead], cls[who[ahead]]
+        rows["key"], rows["node"] = key[ahead], node_of(cls[who[ahead]], b[who[ahead]])
         out.append(rows)
     return np.concatenate(out)
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls, sketch (folded)."""
+    """doc_id, n_shingles, cls."""
 
     def run(batches):
         for ids, cuts, hashes in shingle_sets(batches, size):
-            sketch = [folded(hashes[cuts[i] : cuts[i + 1]]) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64())], ["doc_id", "n_shingles", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
 def key_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -156,198 +166,170 @@ def key_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """Members of keys that at least two classes share: gid (the key), cls, hub (the least class), n (members)."""
+    """Edges (a, b) from each node of a shared key to the least node of it, one bucket of keys at a time."""
 
     def run(batches):
-        rows = unpacked(batches, KEY)
-        order = np.argsort(rows["key"])
-        k = rows["key"][order]
-        alike = np.zeros(len(k) + 1, dtype=bool)
-        alike[1:-1] = k[1:] == k[:-1]
-        order = order[alike[1:] | alike[:-1]]  # most keys are alone
-        rows = rows[order]
-        rows = rows[np.lexsort((rows["cls"], rows["key"]))]
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-        rows = rows[new]
-        k = rows["key"]
-        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-        size = np.diff(np.r_[at, len(k)])
-        keep = np.repeat(size > 1, size)
-        # groups with the same members say the same: one of them stays
-        name = mix(rows["cls"].view(np.uint64))
-        c = np.zeros(len(k) + 1, dtype=np.uint64)
-        np.cumsum(name, out=c[1:])
-        total = c[np.r_[at[1:], len(k)]] - c[at] if len(at) else c[:0]
-        gid, hub = mix(total + size.astype(np.uint64)), rows["cls"][at] if len(at) else rows["cls"]
-        _, one = np.unique(gid, return_index=True)
-        first = np.zeros(len(at), dtype=bool)
-        first[one] = True
-        keep &= np.repeat(first, size)
-        cols = [np.repeat(gid, size)[keep].view(np.int64), rows["cls"][keep], np.repeat(hub, size)[keep], np.repeat(size, size)[keep]]
-        for i in range(0, len(cols[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].astype(np.int64), pa.int64()) for x in cols], ["gid", "cls", "hub", "n"])
-
-    return keys.mapInArrow(run, "gid long, cls long, hub long, n long")
-
-
-def folded(h: np.ndarray) -> bytes:
-    """The whole parity sketch, folded to a power of two of bits, at least four for each shingle (256 to 2**17).
-
-    At four bits few differences cancel out, so hardly a pair below the threshold goes on to the exact check.
+        for _, payloads in by_bucket(batches):
+            rows = np.frombuffer(b"".join(x for (x,) in payloads), dtype=KEY)
+            order = np.argsort(rows["key"])
+            k = rows["key"][order]
+            alike = np.zeros(len(k) + 1, dtype=bool)
+            alike[1:-1] = k[1:] == k[:-1]
+            rows = rows[order[alike[1:] | alike[:-1]]]  # most keys are alone
+            if not len(rows):
+                continue
+            k, node = rows["key"], np.ascontiguousarray(rows["node"])
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            hub = np.repeat(np.minimum.reduceat(node, at), np.diff(np.r_[at, len(k)]))
+            edges = np.unique(np.stack([node, hub], axis=1)[node != hub], axis=0)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["a", "b"])
+
+    return dealt(keys).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def sketches(sets: list, bits: int) -> np.ndarray:
+    """Parity sketches of ``bits`` bits, a row of 64-bit words for each set."""
+    out = np.empty((len(sets), bits // 64), dtype=np.uint64)
+    for i, h in enumerate(sets):
+        odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return den * shared >= num * (len(a) + len(b) - shared)
+
+
+def forest(cls: np.ndarray, own: np.ndarray, sets: list, num: int, den: int):
+    """Verified links that join the members of a block (or of two, across them) as far as links go.
+
+    Members go by size, so partners are a range; 256 bits, then about eight bits a shingle, rule pairs out.
     """
-    bits = min(1 << 17, max(256, 4 << (max(1, len(h)) - 1).bit_length()))
-    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    cls, own, size, sets = cls[order], own[order], size[order], [sets[i] for i in order]
+    across = own.min() != own.max()
+    bits = min(1 << 15, max(256, 8 << (max(1, int(size.mean())) - 1).bit_length()))
+    full = sketches(sets, bits)
+    thin = np.ascontiguousarray(np.bitwise_xor.reduce(full.reshape(len(sets), -1, 4), axis=1).T)
+    label, open_labels = np.arange(len(sets)), len(sets)
+    stop = np.searchsorted(size * num, size * den, "right")
+    out = []
+    for x in range(len(sets)):
+        lo, hi = x + 1, int(stop[x])
+        if lo >= hi or open_labels == 1:
+            continue
+        room = (size[lo:hi] + size[x]) * (den - num)
+        apart = np.zeros(hi - lo, dtype=np.int64)
+        for row in thin:
+            apart += np.bitwise_count(row[lo:hi] ^ row[x])
+        near = (apart * (den + num) <= room) & (label[lo:hi] != label[x])
+        if across:
+            near &= own[lo:hi] != own[x]
+        y = np.flatnonzero(near)
+        if len(y):
+            apart = np.bitwise_count(full[lo + y] ^ full[x]).sum(axis=1, dtype=np.int64)
+            y = lo + y[apart * (den + num) <= room[y]]
+        for k in y.tolist():
+            if label[k] != label[x] and linked(sets[x], sets[k], num, den):
+                out.append((int(cls[x]), int(cls[k])))
+                label[label == label[k]] = label[x]
+                open_labels -= 1
+    return out
+
+
+def in_cells(classes: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """cls, cell, first_doc, size: a row for each band in which a class has met another."""
 
-def stored_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
-        for _, cuts, hashes in shingle_sets(batches, size):
-            cls = class_ids(cuts, hashes)
-            sets = [hashes[cuts[i] : cuts[i + 1]] for i in range(len(cls))]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+        for batch in batches:
+            cls, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for b, use in bands_of(n, num, den):
+                where = pa.array(np.flatnonzero(use))
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(cls, b)).take(where), *(batch.column(i).take(where) for i in range(3))], ["node", "cls", "first_doc", "size"])
 
-    return docs.mapInArrow(run, "cls long, shingles binary")
+    nodes = classes.select("cls", "first_doc", "size").mapInArrow(run, "node long, cls long, first_doc long, size long")
+    return nodes.join(cells, "node").select("cls", F.col("label").alias("cell"), "first_doc", "size")
 
 
-def near_in_blocks(member: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of open groups in different components whose sketches allow a link.
+def links_in_cells(docs: DataFrame, member: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Spanning links (a, b) of every cell. member: cls, cell, first_doc, size."""
+    heavy = member.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES)).cast("int")
+    placed = member.join(heavy, "cell").select(F.col("first_doc").alias("doc_id"), "cls", "cell", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
+    texts = docs.join(placed, "doc_id")
 
-    member: gid, cls, label, n. Groups of over BLOCK members are dealt to blocks; each pair of blocks is one row group.
-    Near copies meet in many groups: a task gives one list of partners a class, and lists are merged before they are
-    spread into pairs.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    dealt_out = member.select("gid", "cls", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = dealt_out.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label")
-    rows = rows.join(classes.select("cls", "size", "sketch"), "cls")
-
-    def run(key, frame):
-        i, j = key[1].as_py(), key[2].as_py()
-        own = frame.column("own").to_numpy()
-        cls, label, size = (frame.column(c).to_numpy() for c in ("cls", "label", "size"))
-        sketch = frame.column("sketch").to_pylist()
-        width = min(len(s) for s in sketch) // 8
-        bits = np.empty((len(sketch), width), dtype=np.uint64)
-        for k, s in enumerate(sketch):
-            bits[k] = np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, width), axis=0)
-        thin = np.bitwise_xor.reduce(bits.reshape(len(sketch), 4, -1), axis=1)
-        right = np.flatnonzero(own == j)
-        a, b = [], []
-        for x in np.flatnonzero(own == i):
-            y = right[(right > x) | (i != j)]
-            y = y[(label[y] != label[x]) & (np.minimum(size[y], size[x]) * den >= num * np.maximum(size[y], size[x]))]
-            for level in (thin, bits):
-                if len(y):
-                    apart = np.bitwise_count(level[y] ^ level[x]).sum(axis=1, dtype=np.int64)
-                    y = y[apart * (den + num) <= (size[y] + size[x]) * (den - num)]
-            if len(y):
-                a.append(np.full(len(y), cls[x]))
-                b.append(cls[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.argsort(low, kind="stable")
-        low, high = low[order], high[order]
-        at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, int)
-        ends = np.r_[at[1:], len(low)] if len(low) else at
-        return pa.table({"a": pa.array(low[at], pa.int64()), "partners": pa.array([high[u:v].tobytes() for u, v in zip(at, ends, strict=True)], pa.binary())})
-
-    def spread(batches):
+    def with_sets(batches):
         for batch in batches:
-            lists = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
-            a = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            b = np.concatenate(lists) if lists else a
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], ["a", "b"])
-
-    lists = rows.groupBy("gid", "i", "j").applyInArrow(run, "a long, partners binary")
-    return lists.repartition(partitions_of(member.sparkSession), "a").sortWithinPartitions("a").mapInArrow(spread, "a long, b long").distinct()
+            at = 0
+            for ids, cuts, hashes in shingle_sets([batch], size):
+                part = batch.slice(at, len(ids))
+                at += len(ids)
+                # a repeated doc_id brings texts of other classes too
+                mine = np.flatnonzero(class_ids(cuts, hashes) == part.column("cls").to_numpy())
+                where = pa.array(mine)
+                cols = [part.column(c).take(where) for c in ("cls", "cell", "blocks", "own")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([hashes[cuts[i] : cuts[i + 1]].tobytes() for i in mine], pa.binary())], ["cls", "cell", "blocks", "own", "shingles"])
+
+    sets = texts.select("doc_id", "text", "cls", "cell", "blocks", "own").mapInArrow(with_sets, "cls long, cell long, blocks int, own int, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = sets.select("cls", "cell", "own", "shingles", other).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "shingles")
 
+    def run(batches):
+        held, key = [], None
 
-def hopeful(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link, so whole sets travel for those alone."""
+        def done():
+            one = {c: (o, x) for c, o, x in held}  # repeated rows
+            if len(one) < 2:
+                return
+            edges = forest(np.fromiter(one, np.int64, len(one)), np.array([o for o, _ in one.values()]), [np.frombuffer(x, np.uint64) for _, x in one.values()], num, den)
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def run(batches):
         for batch in batches:
-            m, n = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            ok = np.minimum(m, n) * den >= num * np.maximum(m, n)
-            for i in np.flatnonzero(ok):
-                u, v = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (3, 5))
-                w = min(len(u), len(v))
-                apart = np.bitwise_count(np.bitwise_xor.reduce(u.reshape(-1, w), axis=0) ^ np.bitwise_xor.reduce(v.reshape(-1, w), axis=0)).sum(dtype=np.int64)
-                ok[i] = apart * (den + num) <= (m[i] + n[i]) * (den - num)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    of = lambda side: classes.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that reach the threshold on whole shingle sets, which only classes in a pair get."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("first_doc").alias("doc_id"))
-    sets = stored_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), size).dropDuplicates(["cls"])
+            cols = [batch.column(c).to_pylist() for c in range(6)]
+            for cell, i, j, own, cls, shingles in zip(*cols, strict=True):
+                if (cell, i, j) != key:
+                    yield from done()
+                    held, key = [], (cell, i, j)
+                held.append((cls, own, shingles))
+        yield from done()
 
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            x, y = batch.column(2), batch.column(3)
-            ok = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                u, v = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if min(len(u), len(v)) * den >= num * max(len(u), len(v)):
-                    both = np.concatenate([u, v])
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                    ok[i] = den * inter >= num * (len(u) + len(v) - inter)
-            ok = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
-
-    full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, hubs: int = 1) -> DataFrame:
+    spark = docs.sparkSession
+    return rows.repartition(partitions_of(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num/den)."""
     spark = docs.sparkSession
     every = keyed_text(docs)
     docs = every.where("doc_id is not null")
     prof = cut(profiles(docs, size))
-    classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
-    groups = cut(met(dealt(key_rows(docs, size, num, den))).distinct())
+    classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size")))
+    cells = components(met(key_rows(docs, size, num, den)))
     release(spark)
-    near = lambda pairs: verified(hopeful(pairs, classes, num, den), docs, classes, size, num, den)
-    links = cut(near(groups.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b"))))
+    member = cut(in_cells(classes, cells, num, den))
+    # a doc_id with several texts is one vertex
+    several = cut(prof.groupBy("doc_id").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("doc_id", "least"))
+    bound = prof.join(several, "doc_id").where("n_shingles > 0").select(F.col("cls").alias("a"), F.col("doc_id"))
+    bound = bound.join(bound.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
+    links = cut(links_in_cells(docs, member, size, num, den).union(bound))
     release(spark)
     labels = components(links)
-    for turn in range(hubs + 1):
-        # what one key holds in several components is still open
-        member = groups.select("gid", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("gid", "cls", F.coalesce("label", "cls").alias("label"))
-        split = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        member = cut(member.join(split.where("low <> high").select("gid", "n"), "gid"))
-        if turn == hubs:
-            found = verified(near_in_blocks(member, classes, num, den), docs, classes, size, num, den)
-        else:
-            hub = member.groupBy("gid").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("cls", F.lit(turn))).alias("h")).select("gid", F.col("h.cls").alias("b"), F.col("h.label").alias("other"))
-            found = near(member.select("gid", F.col("cls").alias("a"), "label").join(hub, "gid").where("label <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = cut(links.union(found))
-        labels = components(links)
-        release(spark)
     # from classes to documents
-    named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
-    named = cut(named)
+    named = cut(classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label")))
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     by_class = cut(named.join(least, "label").select("cls", "component_id"))
-    out = prof.join(by_class, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = prof.where("n_shingles > 0").join(by_class, "cls").select("doc_id", "n_shingles", "component_id")
+    shared = several.join(known, "doc_id", "left").groupBy("doc_id").agg(F.min("component_id").alias("shared"))
+    bare = prof.where("n_shingles = 0").join(shared, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("shared", "doc_id").alias("component_id"))
     nameless = profiles(every.where("doc_id is null"), size)
-    return out.union(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return known.union(bare).union(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
