@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import PACKED, Outbox, Roller, by_bucket, chunks, cut, dealt, keyed_text, mix, partitions_of, release, words_of
-from factloom.llm.components import components
+from factloom.llm.components import components, stars
 
 KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
 SEED = 11
@@ -166,7 +166,7 @@ def key_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) from each node of a shared key to the least node of it, one bucket of keys at a time."""
+    """Edges (a, b) that join the nodes of each shared key, one bucket of keys at a time."""
 
     def run(batches):
         for _, payloads in by_bucket(batches):
@@ -181,9 +181,8 @@ def met(keys: DataFrame) -> DataFrame:
             k, node = rows["key"], np.ascontiguousarray(rows["node"])
             at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             hub = np.repeat(np.minimum.reduceat(node, at), np.diff(np.r_[at, len(k)]))
-            edges = np.unique(np.stack([node, hub], axis=1)[node != hub], axis=0)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["a", "b"])
+            a, b = stars(node, hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt(keys).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
