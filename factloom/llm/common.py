@@ -7,6 +7,7 @@ two prefix sums. Names that decide what is removed use two independent hashes (1
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the actions inside, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of frames that are no longer referenced."""
     gc.collect()

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PACKED, Outbox, Roller, by_bucket, chunks, cut, dealt, keyed_text, mix, partitions_of, release, words_of
+from factloom.llm.common import PACKED, Outbox, Roller, batches_of, by_bucket, chunks, cut, dealt, keyed_text, mix, partitions_of, release, words_of
 from factloom.llm.components import components, stars
 
 KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
 SEED = 11
 #: Members and bytes of shingle sets of a block; a task holds two blocks.
-BLOCK, BLOCK_BYTES = 4096, 48 << 20
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
 
 def shingle_sets(batches, size: int):
@@ -279,24 +279,25 @@ def links_in_cells(docs: DataFrame, member: DataFrame, size: int, num: int, den:
     rows = sets.select("cls", "cell", "own", "shingles", other).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "shingles")
 
     def run(batches):
-        held, key = [], None
+        held, key = {}, None
 
         def done():
-            one = {c: (o, x) for c, o, x in held}  # repeated rows
-            if len(one) < 2:
+            if len(held) < 2:
                 return
-            edges = forest(np.fromiter(one, np.int64, len(one)), np.array([o for o, _ in one.values()]), [np.frombuffer(x, np.uint64) for _, x in one.values()], num, den)
+            edges = forest(np.fromiter(held, np.int64, len(held)), np.array([o for o, _ in held.values()]), [np.frombuffer(x, np.uint64) for _, x in held.values()], num, den)
             if edges:
-                a, b = zip(*edges, strict=True)
+                a, b = stars(*(np.array(x, dtype=np.int64) for x in zip(*edges, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(6)]
-            for cell, i, j, own, cls, shingles in zip(*cols, strict=True):
-                if (cell, i, j) != key:
+            place = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            own, cls, sets = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for r, here in enumerate(place):
+                if here != key:
                     yield from done()
-                    held, key = [], (cell, i, j)
-                held.append((cls, own, shingles))
+                    held, key = {}, here
+                if cls[r] not in held:  # repeated rows
+                    held[cls[r]] = (own[r], sets[r].as_py())
         yield from done()
 
     spark = docs.sparkSession
@@ -317,7 +318,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     several = cut(prof.groupBy("doc_id").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("doc_id", "least"))
     bound = prof.join(several, "doc_id").where("n_shingles > 0").select(F.col("cls").alias("a"), F.col("doc_id"))
     bound = bound.join(bound.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
-    links = cut(links_in_cells(docs, member, size, num, den).union(bound))
+    with batches_of(spark, 256):
+        links = cut(links_in_cells(docs, member, size, num, den).union(bound))
     release(spark)
     labels = components(links)
     # from classes to documents
