@@ -1,10 +1,11 @@
 """Byte-substring dedup by blockwise suffix sorting with a difference cover.
 
 Only the first ``length`` bytes of a suffix matter, so a suffix is a window. Windows are dealt to buckets by their
-least m-gram (a function of the window's bytes: equal windows share a bucket), as runs of consecutive windows with one
-least m-gram, sent as raw bytes. The buckets are handled in ``rounds`` slices, each a pass over the texts and one
-shuffle whose files go before the next; a task sorts its suffixes one block at a time. Suffixes are sorted by their
-first 24 bytes; longer ties are settled by the ranks of a difference cover modulo 7, {0, 1, 3}: for any two positions
+least m-gram (by hash, the leftmost of equal ones; a function of the window's bytes, so equal windows share a bucket and
+the place of the m-gram in them), as runs of consecutive windows with one least m-gram, sent as raw bytes. The buckets
+are handled in ``rounds`` slices, each a pass over the texts and one shuffle whose files go before the next; a task
+holds one bucket at a time. Runs whose m-gram no other run of the bucket has hold no repeated window and leave before
+the sort; the other suffixes are sorted by their first 24 bytes; longer ties are settled by the ranks of a difference cover modulo 7, {0, 1, 3}: for any two positions
 some shift d < 7 brings both into the cover, whose members' strings of 7, 14, 28 and 56 bytes are ranked beforehand,
 and equal ranks over length - d bytes mean equal windows. No hash decides what is removed.
 
@@ -23,17 +24,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Roller, chunks, cut, dealt, keyed_text, mix, partitions_of, release
+from factloom.llm.common import Roller, by_bucket, chunks, cut, dealt, keyed_text, mix, partitions_of, release
 
 COVER, PERIOD, PREFIX = (0, 1, 3), 7, 24
-GRAM = 16
-META = np.dtype([("doc", "<i8"), ("name", "<i8"), ("start", "<u4"), ("bytes", "<u4")])
+GRAM = 24
+#: Bytes looked at together, with this many bits for a place in them; the rest of the 64 bits is the m-gram's hash.
+SPAN, PLACE_BITS = 1 << 21, 21
+META = np.dtype([("doc", "<i8"), ("name", "<i8"), ("gram", "<u8"), ("start", "<u4"), ("bytes", "<u4")])
 HIT = np.dtype([("doc", "<i8"), ("name", "<i8"), ("start", "<u4"), ("end", "<u4")])
 ROWS = "bucket int, meta binary, data binary"
 
 
 def runs_of_windows(data, offs, roll: Roller, length: int):
     """(first window, one past the last window, hash of the least m-gram) of runs that share their least m-gram."""
+    if len(data) <= SPAN:
+        return runs_of_span(data, offs, roll, length)
+    # long texts in overlapping spans: every window lies whole in the span that it starts in
+    parts, step = [], SPAN - length
+    for at in range(0, len(data) - length + 1, step):
+        end = min(at + SPAN - 1, len(data))
+        first, last, h = runs_of_span(data[at:end], np.clip(offs - at, 0, end - at), roll, length)
+        mine = first < step
+        parts.append((first[mine] + at, np.minimum(last[mine], step) + at, h[mine]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def runs_of_span(data, offs, roll: Roller, length: int):
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -41,7 +57,7 @@ def runs_of_windows(data, offs, roll: Roller, length: int):
     h = (p[GRAM:] - p[:-GRAM]) * roll.inv[: n - GRAM + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    bits = int(n).bit_length()
+    bits = PLACE_BITS
     low = (h & ~np.uint64((1 << bits) - 1)) | np.arange(len(h), dtype=np.uint64)
     width, step = length - GRAM + 1, 1
     while 2 * step <= width:
@@ -78,7 +94,7 @@ def named_chunks(batches):
 
 def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFrame:
     """Runs of one slice of buckets; buckets below 0 hold settled spans (HIT rows in meta)."""
-    buckets = partitions_of(docs.sparkSession) * 2
+    buckets = partitions_of(docs.sparkSession) * 8
 
     def run(batches):
         roll = Roller(53)
@@ -100,10 +116,11 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFram
             bucket = (place[mine] // np.uint64(rounds)) % np.uint64(buckets)
             start = first - offs[doc]
             order = np.lexsort((start, ids[doc]))
+            gram = h[mine]
             view = data.tobytes()
             seen: dict[bytes, tuple] = {}
             known = []
-            for d, n, s, f, e, b in zip(ids[doc[order]].tolist(), names[doc[order]].tolist(), start[order].tolist(), first[order].tolist(), (last[order] + length - 1).tolist(), bucket[order].tolist(), strict=True):
+            for d, n, g, s, f, e, b in zip(ids[doc[order]].tolist(), names[doc[order]].tolist(), gram[order].tolist(), start[order].tolist(), first[order].tolist(), (last[order] + length - 1).tolist(), bucket[order].tolist(), strict=True):
                 piece = view[f:e]
                 own = (d, s, n)
                 first_own = seen.setdefault(piece, own)
@@ -113,7 +130,7 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, length: int) -> DataFram
                 if first_own is not own and first_own == own:
                     continue  # the same row again
                 m, p = kept.setdefault(b, ([], []))
-                m.append((d, n, s, e - f))
+                m.append((d, n, g, s, e - f))
                 p.append(piece)
                 size += e - f + META.itemsize
             if known:
@@ -216,6 +233,9 @@ def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.nda
             known.append(i)
         elif first is own or first != own:  # else the same row again
             alone.append(i)
+    alone = np.array(alone, dtype=np.int64)
+    _, which, times = np.unique(meta["gram"][alone], return_inverse=True, return_counts=True)
+    alone = alone[times[which] > 1]
     m = meta[alone]
     size = m["bytes"].astype(np.int64)
     base = np.zeros(len(m) + 1, dtype=np.int64)
@@ -250,21 +270,16 @@ def repeated_spans(meta: np.ndarray, pieces: list[bytes], length: int) -> np.nda
 
 def repeated(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        metas, pieces, hits = [], [], []
-        for b in batches:
-            for bucket, meta, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if bucket < 0:
-                    hits.append(np.frombuffer(meta, dtype=HIT))
-                    continue
-                m = np.frombuffer(meta, dtype=META)
-                at = np.zeros(len(m) + 1, dtype=np.int64)
-                np.cumsum(m["bytes"], out=at[1:])
-                edge = at.tolist()
-                metas.append((bucket, m))
-                pieces.append([data[edge[i] : edge[i + 1]] for i in range(len(m))])
-        for bucket in sorted({b for b, _ in metas}):  # one block of suffixes at a time
-            mine = [i for i, (b, _) in enumerate(metas) if b == bucket]
-            hits.append(repeated_spans(np.concatenate([metas[i][1] for i in mine]), [p for i in mine for p in pieces[i]], length))
+        hits = []
+        for bucket, rows in by_bucket(batches):  # one block of suffixes at a time
+            if bucket < 0:
+                hits += [np.frombuffer(meta, dtype=HIT) for meta, _ in rows]
+                continue
+            meta, pieces = np.concatenate([np.frombuffer(m, dtype=META) for m, _ in rows]), []
+            for m, data in rows:
+                edge = np.append(0, np.cumsum(np.frombuffer(m, dtype=META)["bytes"], dtype=np.int64)).tolist()
+                pieces += [data[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            hits.append(repeated_spans(meta, pieces, length))
         found = np.concatenate(hits) if hits else np.zeros(0, dtype=HIT)
         found = found[np.lexsort((found["name"], found["doc"]))]
         doc, name = found["doc"], found["name"]
@@ -276,7 +291,7 @@ def repeated(rows: DataFrame, length: int) -> DataFrame:
             who = [pa.array(x[at[i : i + 5000]].astype(np.int64), pa.int64()) for x in (doc, name)]
             yield pa.RecordBatch.from_arrays([*who, pa.array([body[at[k] : stop[k]].tobytes() for k in part], pa.binary())], ["doc_id", "name", "spans"])
 
-    return dealt(rows).mapInArrow(run, "doc_id long, name long, spans binary")
+    return dealt(rows).sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, name long, spans binary")
 
 
 def dedup(docs: DataFrame, length: int = 100, rounds: int = 3) -> DataFrame:
