@@ -6,8 +6,9 @@ the containment threshold becomes a Jaccard threshold that doesn't depend on the
 gives at least 0.19). A window whose MinHash equals the item's in any of ``hashes`` functions is a candidate (missed
 with probability 0.81**hashes at worst), verified by the exact share of the item's shingles in the whole document.
 
-The items are a stated query set: they go to the workers in blocks of at most ``block_items`` rows, one pass over the
-documents for each block, so what is sent has a proven bound. Documents are not shuffled. Defined cases: words are
+The items are a stated query set: they go to the workers in blocks of about ``block_items`` rows and ``block_bytes`` of
+text at most, one pass over the documents for each block; where there are several, a block's matches are written and
+its broadcast is destroyed before the next, so what is sent at once is bounded. Documents are not shuffled. Defined cases: words are
 lower-cased (A-Z); items with fewer words than a shingle are one shingle, their whole word sequence, searched exactly in
 the same pass; null or empty texts match nothing; repeated
 documents and those without a doc_id give a row each; items with equal texts are separate; empty tables give no rows; extra columns are ignored.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Roller, chunks, keyed_text, mix, words_of
+from factloom.llm.common import Roller, chunks, cut, keyed_text, mix, words_of
 
 SEED = 23
 
@@ -88,11 +89,12 @@ class Index:
         return found
 
 
-def search(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, hashes: int = 40, block_items: int = 20_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, hashes: int = 40, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, n_item (its distinct shingles), n_shared, containment >= threshold."""
     spark = docs.sparkSession
     named = items.select(F.col("item_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    blocks = max(1, -(-named.count() // block_items))
+    total = named.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-total["n"] // block_items), -(-(total["bytes"] or 0) // block_bytes))
     schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
     out = []
     for b in range(blocks):
@@ -104,7 +106,12 @@ def search(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float =
             sets += [(int(ids[i]), np.unique(h[cuts[i] : cuts[i + 1]])) for i in np.flatnonzero(words >= size)]
             short += [(int(ids[i]), int(words[i]), grams[words[i]][1][grams[words[i]][0][i]]) for i in np.flatnonzero((words > 0) & (words < size))]
         if sets or short:
-            out.append(keyed_text(docs).mapInArrow(_matcher(spark.sparkContext.broadcast((sets, short)), size, threshold, hashes), schema))
+            sent = spark.sparkContext.broadcast((sets, short))
+            hits = keyed_text(docs).mapInArrow(_matcher(sent, size, threshold, hashes), schema)
+            if blocks > 1:
+                hits = cut(hits)
+                sent.destroy()
+            out.append(hits)
     return reduce(DataFrame.union, out) if out else spark.createDataFrame([], schema)
 
 

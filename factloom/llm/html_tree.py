@@ -10,7 +10,7 @@ content with the highest marginal is kept.
 Output: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by one space in page order. Scripts, styles and comments never count; a script's or style's text ends at its own end
 tag, whatever stands in it. Defined cases: null or empty html gives the empty
-text; broken or cut-off markup is read as far as it goes; repeated rows give equal rows; extra columns are ignored.
+text; broken or cut-off markup is read as far as it goes, in time that grows with its length; repeated rows give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!])[^>]*\Z", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^>]*\Z", re.S)
 #: The end tag of each RAW element; of those, SUBTREE holds markup, the others text alone.
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 SUBTREE = frozenset(["svg", "template"])
@@ -48,6 +49,8 @@ class Page:
         self.runs: list[tuple[int, int, str]] = []
         self.state: list[str] = [""]
         stack: list[tuple[str, int]] = [("#root", 0)]
+        opened: Counter[str] = Counter()
+        unclosed: set[str] = set()  # raw elements that no end tag follows any more
         block, links, at, skip = 0, 0, 0, None
         while m := MARKUP.search(source, at):
             if skip is None and m.start() > at:
@@ -59,13 +62,18 @@ class Page:
             if skip is not None:
                 if m[1] and tag == skip:
                     skip = None
-                elif not m[1] and tag in RAW - SUBTREE and (end := ENDS[tag].search(source, at)):
-                    at = end.end()
+                elif not m[1] and tag in RAW - SUBTREE and tag not in unclosed:
+                    end = ENDS[tag].search(source, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        unclosed.add(tag)
                 continue
             if m[1]:
-                if any(t == tag for t, _ in stack[1:]):
+                if opened[tag]:
                     while True:
                         t, _ = stack.pop()
+                        opened[t] -= 1
                         links -= t == "a"
                         block += t not in INLINE
                         if t == tag:
@@ -85,9 +93,11 @@ class Page:
                     if tag == "br":
                         self.runs.append((stack[-1][1], block, " "))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            closable = any(opened[t] for t, by in CLOSED_BY.items() if tag in by)
+            for k in range(len(stack) - 1, 0, -1) if closable else ():
                 if tag in CLOSED_BY.get(stack[k][0], ()):
                     links -= sum(t == "a" for t, _ in stack[k:])
+                    opened.subtract(t for t, _ in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] not in INLINE:
@@ -109,6 +119,7 @@ class Page:
                 s = re.search(r'data-state="(\w+)"', m[3])
                 self.state.append(s[1] if s else "")
             stack.append((tag, node))
+            opened[tag] += 1
         if skip is None and at < len(source):
             self._text(source[at:], stack[-1][1], block, links)
 

@@ -20,26 +20,37 @@ RULES = [
     ("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 ]
+SPANS = "array<struct<start:int,end:int>>"
+#: Matches of a text whose spans are built together.
+RUN = 128
 #: Copies of a finding row over which the paths of one blob are dealt.
 SALTS = 16
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct<start,end>> of the leftmost non-overlapping matches whose group has ``least`` code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     rows = F.arrays_zip(gaps.alias("g"), F.transform(hits, lambda x: F.length(x)).alias("m"), F.transform(counted, lambda x: F.length(x)).alias("c"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = F.aggregate(
-        rows,
-        zero,
-        lambda acc, r: F.struct(
-            (acc["at"] + r["g"] + F.coalesce(r["m"], F.lit(0))).alias("at"),
-            F.when(r["c"] >= least, F.concat(acc["out"], F.array(F.struct((acc["at"] + r["g"]).alias("start"), (acc["at"] + r["g"] + r["m"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), step["out"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def step(acc, r):
+        begin = acc["at"] + r["g"]
+        end = begin + F.coalesce(r["m"], F.lit(0))
+        return F.struct(end.alias("at"), F.when(r["c"] >= least, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+
+    # an appended array is copied, so it grows in runs of RUN matches, whose spans are then moved to the runs' places
+    runs = let(rows, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1, F.lit(RUN)), lambda i: F.aggregate(F.slice(r, i + 1, RUN), zero, step)))
+    begins = lambda d: F.aggregate(d, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    moved = lambda z: F.transform(z["d"]["out"], lambda s: F.struct((s["start"] + z["b"]).alias("start"), (s["end"] + z["b"]).alias("end")))
+    spans = let(runs, lambda d: F.flatten(F.transform(F.arrays_zip(d.alias("d"), begins(d).alias("b")), moved)))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
 def blobs(documents: DataFrame) -> DataFrame:

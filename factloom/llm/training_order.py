@@ -126,25 +126,35 @@ def write_shards(rows: DataFrame, folder: str, length: int, per_shard: int) -> D
         shard, handle, name = None, None, None
 
         def close():
+            nonlocal handle
             if handle is not None:
                 handle.close()
-                files.move(f"{name}.{attempt}.part", name)
-
-        for b in batches:
-            t = b.to_pydict()
-            out = []
-            for i in range(b.num_rows):
-                if t["shard"][i] != shard:
-                    close()
-                    shard = t["shard"][i]
-                    name = f"{root}/shard-{shard:08d}.bin"
-                    handle = files.open_output_stream(f"{name}.{attempt}.part")
-                ids = expand(t["ids"][i])
-                handle.write(ids)
-                out.append((t["slot"][i], shard, (t["slot"][i] % per_shard) * stride, t["sequence_id"][i], t["first_doc"][i], t["n_tokens"][i], zlib.crc32(ids)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["slot", "shard", "byte_offset", "sequence_id", "first_doc", "n_tokens", "ids_crc32"])
-        close()
+                if files.get_file_info(name).type == fs.FileType.NotFound:
+                    files.move(f"{name}.{attempt}.part", name)
+                else:  # another attempt at this task was first; its bytes are the same
+                    files.delete_file(f"{name}.{attempt}.part")
+                handle = None
+
+        try:
+            for b in batches:
+                t = b.to_pydict()
+                out = []
+                for i in range(b.num_rows):
+                    if t["shard"][i] != shard:
+                        close()
+                        shard = t["shard"][i]
+                        name = f"{root}/shard-{shard:08d}.bin"
+                        handle = files.open_output_stream(f"{name}.{attempt}.part")
+                    ids = expand(t["ids"][i])
+                    handle.write(ids)
+                    out.append((t["slot"][i], shard, (t["slot"][i] % per_shard) * stride, t["sequence_id"][i], t["first_doc"][i], t["n_tokens"][i], zlib.crc32(ids)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["slot", "shard", "byte_offset", "sequence_id", "first_doc", "n_tokens", "ids_crc32"])
+            close()
+        finally:
+            if handle is not None:  # the task failed
+                handle.close()
+                files.delete_file(f"{name}.{attempt}.part")
 
     # the slots are known, so ranges need no sampling pass
     dealt = rows.repartitionById(partitions_of(rows.sparkSession), F.col("part")).drop("part").sortWithinPartitions("slot")
