@@ -61,7 +61,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     exchanges, whose skewed partitions AQE splits. Nulls and self-loops are dropped; an empty table gives no rows.
     """
     spark = edges.sparkSession
-    e = contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b"))
+    e = cut(contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")))
     both = cut(e.union(e.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(max_rounds):

@@ -8,10 +8,12 @@ by code) the first ``k_i + 1`` of both documents share one; the others, which ar
 stay at home. A part's bits travel as a 64-bit XOR of bit codes (equal parts have equal codes) and meet per size band.
 
 Meeting joins the classes of a size band into cells (components of the star "class - least class of the same part"), so a
-class is in at most two cells however many parts it shares, and its set travels once for each. A cell is dealt to blocks of bounded members and bytes, one
-task for each pair of blocks: sketches drop pairs whose Hamming distance rules a link out, the rest is verified exactly
-on the shingle sets, and pairs that are joined already are skipped. A task thus sends a spanning forest of verified
-links, at most one row for each member, and no candidate pair is ever a row.
+class is in at most two cells however many parts it shares. A cell is dealt to blocks of bounded members and bytes, one
+task for each pair of blocks. A first pass compares sketches alone and keeps the members that some partner is near
+enough to; their shingle sets go through a second one, where sketches drop pairs whose Hamming distance rules a link
+out, the rest is verified exactly and pairs that are joined already are skipped. A task sends a spanning forest of
+verified links, at most one row for each member, and no candidate pair is ever a row. The work in one cell grows with
+the square of its members of like size (popcounts of 256 bits), what travels with members times blocks.
 
 Defined cases: null or empty text has no shingles and links with nothing (its component is itself); fewer words than
 the shingle length make one shingle of the whole sequence; equal sets collapse to one class before any join; rows with
@@ -31,8 +33,10 @@ from factloom.llm.components import components, stars
 
 KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
 SEED = 11
-#: Members and bytes of shingle sets of a block; a task holds two blocks.
+#: Members and bytes of sketches or shingle sets of a block; a task holds two blocks.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Rows (of about 40 bytes) up to which the classes whose sets are wanted are broadcast; beyond, they are joined by a shuffle.
+SMALL = 300_000
 
 
 def shingle_sets(batches, size: int):
@@ -135,13 +139,14 @@ def sketch_keys(cuts, hashes, cls, num: int, den: int):
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls."""
+    """doc_id, n_shingles, cls, sketch (four to eight bits a shingle)."""
 
     def run(batches):
         for ids, cuts, hashes in shingle_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64())], ["doc_id", "n_shingles", "cls"])
+            own = [sketches([hashes[a:b]], width(b - a)).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(class_ids(cuts, hashes), pa.int64()), pa.array(own, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
 def key_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -187,6 +192,11 @@ def met(keys: DataFrame) -> DataFrame:
     return dealt(keys).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
+def width(n: int) -> int:
+    """Bits of the sketch of n shingles."""
+    return min(1 << 17, max(256, 4 << (max(1, int(n)) - 1).bit_length()))
+
+
 def sketches(sets: list, bits: int) -> np.ndarray:
     """Parity sketches of ``bits`` bits, a row of 64-bit words for each set."""
     out = np.empty((len(sets), bits // 64), dtype=np.uint64)
@@ -196,6 +206,32 @@ def sketches(sets: list, bits: int) -> np.ndarray:
     return out
 
 
+def near_ones(size, own, full, num: int, den: int, label=None):
+    """(x, partners) for members in order of size: the later ones whose size and sketch allow a link, in other labels."""
+    across = own.min() != own.max()
+    thin = np.ascontiguousarray(np.bitwise_xor.reduce(full.reshape(len(size), -1, 4), axis=1).T)
+    stop = np.searchsorted(size * num, size * den, "right")
+    for x in range(len(size)):
+        lo, hi = x + 1, int(stop[x])
+        if lo >= hi:
+            continue
+        room = (size[lo:hi] + size[x]) * (den - num)
+        apart = np.zeros(hi - lo, dtype=np.int64)
+        for row in thin:
+            apart += np.bitwise_count(row[lo:hi] ^ row[x])
+        near = apart * (den + num) <= room
+        if label is not None:
+            near &= label[lo:hi] != label[x]
+        if across:
+            near &= own[lo:hi] != own[x]
+        y = np.flatnonzero(near)
+        if len(y):
+            apart = np.bitwise_count(full[lo + y] ^ full[x]).sum(axis=1, dtype=np.int64)
+            y = lo + y[apart * (den + num) <= room[y]]
+        if len(y):
+            yield x, y
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -211,38 +247,34 @@ def forest(cls: np.ndarray, own: np.ndarray, sets: list, num: int, den: int):
     size = np.array([len(x) for x in sets], dtype=np.int64)
     order = np.argsort(size, kind="stable")
     cls, own, size, sets = cls[order], own[order], size[order], [sets[i] for i in order]
-    across = own.min() != own.max()
-    bits = min(1 << 15, max(256, 8 << (max(1, int(size.mean())) - 1).bit_length()))
-    full = sketches(sets, bits)
-    thin = np.ascontiguousarray(np.bitwise_xor.reduce(full.reshape(len(sets), -1, 4), axis=1).T)
-    label, open_labels = np.arange(len(sets)), len(sets)
-    stop = np.searchsorted(size * num, size * den, "right")
-    out = []
-    for x in range(len(sets)):
-        lo, hi = x + 1, int(stop[x])
-        if lo >= hi or open_labels == 1:
-            continue
-        room = (size[lo:hi] + size[x]) * (den - num)
-        apart = np.zeros(hi - lo, dtype=np.int64)
-        for row in thin:
-            apart += np.bitwise_count(row[lo:hi] ^ row[x])
-        near = (apart * (den + num) <= room) & (label[lo:hi] != label[x])
-        if across:
-            near &= own[lo:hi] != own[x]
-        y = np.flatnonzero(near)
-        if len(y):
-            apart = np.bitwise_count(full[lo + y] ^ full[x]).sum(axis=1, dtype=np.int64)
-            y = lo + y[apart * (den + num) <= room[y]]
-        for k in y.tolist():
+    full = sketches(sets, min(1 << 15, 2 * width(size.mean())))
+    label, out = np.arange(len(sets)), []
+    for x, partners in near_ones(size, own, full, num, den, label):
+        for k in partners.tolist():
             if label[k] != label[x] and linked(sets[x], sets[k], num, den):
                 out.append((int(cls[x]), int(cls[k])))
                 label[label == label[k]] = label[x]
-                open_labels -= 1
+        if len(out) == len(sets) - 1:
+            break
     return out
 
 
+def hopeful(cls: np.ndarray, own: np.ndarray, size: np.ndarray, own_sketches: list, num: int, den: int) -> np.ndarray:
+    """The members of a block (or of two, across them) that have a partner whose sketch allows a link."""
+    order = np.argsort(size, kind="stable")
+    words = min(len(x) for x in own_sketches) // 8
+    full = np.empty((len(size), words), dtype=np.uint64)
+    for i, k in enumerate(order):
+        full[i] = np.bitwise_xor.reduce(np.frombuffer(own_sketches[k], dtype="<u8").reshape(-1, words), axis=0)
+    mark = np.zeros(len(size), dtype=bool)
+    for x, partners in near_ones(size[order], own[order], full, num, den):
+        mark[x] = True
+        mark[partners] = True
+    return cls[order][mark]
+
+
 def in_cells(classes: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
-    """cls, cell, first_doc, size: a row for each band in which a class has met another."""
+    """cls, cell, first_doc, size, sketch: a row for each band in which a class has met another."""
 
     def run(batches):
         for batch in batches:
@@ -252,15 +284,57 @@ def in_cells(classes: DataFrame, cells: DataFrame, num: int, den: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(node_of(cls, b)).take(where), *(batch.column(i).take(where) for i in range(3))], ["node", "cls", "first_doc", "size"])
 
     nodes = classes.select("cls", "first_doc", "size").mapInArrow(run, "node long, cls long, first_doc long, size long")
-    return nodes.join(cells, "node").select("cls", F.col("label").alias("cell"), "first_doc", "size")
+    return nodes.join(cells, "node").select("cls", F.col("label").alias("cell"), "first_doc", "size").join(classes.select("cls", "sketch"), "cls")
+
+
+def dealt_to_blocks(rows: DataFrame, payload_bytes, kind: str) -> DataFrame:
+    """cls, cell, blocks, own and the other columns of members of cells with more than one member."""
+    heavy = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum(payload_bytes).alias("weight")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
+    return rows.join(heavy, "cell").select("cls", "cell", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"), "first_doc", *([kind] if kind else []))
+
+
+def block_pairs(rows: DataFrame, payload: str, work, schema: str) -> DataFrame:
+    """``work({cls: (own, payload)})`` for each pair of blocks of a cell, one at a time in a task."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("cls", "cell", "own", payload, other).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", payload)
+
+    def run(batches):
+        held, key = {}, None
+        for batch in batches:
+            place = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            own, cls, data = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for r, here in enumerate(place):
+                if here != key:
+                    if len(held) > 1:
+                        yield from work(held)
+                    held, key = {}, here
+                if cls[r] not in held:  # repeated rows
+                    held[cls[r]] = (own[r], data[r].as_py())
+        if len(held) > 1:
+            yield from work(held)
+
+    return rows.repartition(partitions_of(rows.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, schema)
+
+
+def with_hope(member: DataFrame, num: int, den: int) -> DataFrame:
+    """cls, cell of the members that some partner's sketch is near enough to."""
+
+    def work(held):
+        one = list(held.values())
+        size = np.array([x["size"] for _, x in one], dtype=np.int64)
+        found = hopeful(np.fromiter(held, np.int64, len(held)), np.array([o for o, _ in one]), size, [x["sketch"] for _, x in one], num, den)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["cls"])
+
+    rows = dealt_to_blocks(member.select("cls", "cell", "first_doc", F.struct("size", "sketch").alias("data")), F.octet_length("data.sketch"), "data")
+    return block_pairs(rows, "data", work, "cls long").distinct()
 
 
 def links_in_cells(docs: DataFrame, member: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Spanning links (a, b) of every cell. member: cls, cell, first_doc, size."""
-    heavy = member.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES)).cast("int")
-    placed = member.join(heavy, "cell").select(F.col("first_doc").alias("doc_id"), "cls", "cell", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
-    texts = docs.join(placed, "doc_id")
+    placed = cut(dealt_to_blocks(member, F.col("size") * 8, "").select(F.col("first_doc").alias("doc_id"), "cls", "cell", "blocks", "own"))
+    texts = docs.join(F.broadcast(placed) if placed.count() <= SMALL else placed, "doc_id")
 
     def with_sets(batches):
         for batch in batches:
@@ -274,34 +348,14 @@ def links_in_cells(docs: DataFrame, member: DataFrame, size: int, num: int, den:
                 cols = [part.column(c).take(where) for c in ("cls", "cell", "blocks", "own")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([hashes[cuts[i] : cuts[i + 1]].tobytes() for i in mine], pa.binary())], ["cls", "cell", "blocks", "own", "shingles"])
 
-    sets = texts.select("doc_id", "text", "cls", "cell", "blocks", "own").mapInArrow(with_sets, "cls long, cell long, blocks int, own int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = sets.select("cls", "cell", "own", "shingles", other).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "shingles")
-
-    def run(batches):
-        held, key = {}, None
-
-        def done():
-            if len(held) < 2:
-                return
-            edges = forest(np.fromiter(held, np.int64, len(held)), np.array([o for o, _ in held.values()]), [np.frombuffer(x, np.uint64) for _, x in held.values()], num, den)
-            if edges:
-                a, b = stars(*(np.array(x, dtype=np.int64) for x in zip(*edges, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            place = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            own, cls, sets = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
-            for r, here in enumerate(place):
-                if here != key:
-                    yield from done()
-                    held, key = {}, here
-                if cls[r] not in held:  # repeated rows
-                    held[cls[r]] = (own[r], sets[r].as_py())
-        yield from done()
+    def work(held):
+        edges = forest(np.fromiter(held, np.int64, len(held)), np.array([o for o, _ in held.values()]), [np.frombuffer(x, np.uint64) for _, x in held.values()], num, den)
+        if edges:
+            a, b = stars(*(np.array(x, dtype=np.int64) for x in zip(*edges, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    spark = docs.sparkSession
-    return rows.repartition(partitions_of(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
+    sets = texts.select("doc_id", "text", "cls", "cell", "blocks", "own").mapInArrow(with_sets, "cls long, cell long, blocks int, own int, shingles binary")
+    return block_pairs(sets, "shingles", work, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -310,7 +364,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     every = keyed_text(docs)
     docs = every.where("doc_id is not null")
     prof = cut(profiles(docs, size))
-    classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size")))
+    classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
     cells = components(met(key_rows(docs, size, num, den)))
     release(spark)
     member = cut(in_cells(classes, cells, num, den))
@@ -319,7 +373,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     bound = prof.join(several, "doc_id").where("n_shingles > 0").select(F.col("cls").alias("a"), F.col("doc_id"))
     bound = bound.join(bound.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
     with batches_of(spark, 256):
-        links = cut(links_in_cells(docs, member, size, num, den).union(bound))
+        hope = cut(with_hope(member, num, den))
+        links = cut(links_in_cells(docs, member.join(hope, "cls").drop("sketch"), size, num, den).union(bound))
     release(spark)
     labels = components(links)
     # from classes to documents
