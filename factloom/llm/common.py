@@ -199,5 +199,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, so extra columns (also with clashing names) never matter."""
+    """doc_id and text alone, so extra columns (also with clashing names) never matter.
+
+    Texts are long: where the session leaves Arrow batches at Spark's 10,000 rows, they become 1,000, for bounded memory.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
