@@ -122,16 +122,6 @@ def evidence_ids(spark, d):
     return S.observations(spark, d).select("group_id", "observation_index", T.content_id(F.col("group_id"), F.col("observation_index"), F.col("content")).alias("evidence_id"), F.length("content").cast("long").alias("span_end"))
 
 
-ALIASES = [(i, i // 2) for i in range(1, 64)]
-
-
-@query(f"WITH RECURSIVE a(state, parent) AS (VALUES {', '.join(map(str, ALIASES))}), r AS (SELECT state, parent AS root FROM a UNION ALL SELECT r.state, a.parent FROM r JOIN a ON r.root = a.state) SELECT CAST(state AS BIGINT) AS state, CAST(max(root) AS BIGINT) AS root FROM r WHERE root NOT IN (SELECT state FROM a) GROUP BY state")
-def alias_resolution(spark, d):
-    a = spark.createDataFrame(ALIASES, "state long, parent long")
-    a.createOrReplaceTempView("alias_edges")
-    return spark.sql("WITH RECURSIVE r AS (SELECT state, parent AS root FROM alias_edges UNION ALL SELECT r.state, e.parent FROM r JOIN alias_edges e ON r.root = e.state) SELECT state, max(root) AS root FROM r LEFT ANTI JOIN alias_edges e ON r.root = e.state GROUP BY state")
-
-
 EDGES = "ed AS (SELECT 'c' || c_custkey AS source, 'o' || o_orderkey AS target FROM customer JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem)"
 SEEDS = "se AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0)"
 
@@ -185,24 +175,6 @@ def relational_path_2hop(spark, d):
     return graph.two_hops(S.triples(spark, d))
 
 
-ASSESSED = [(1, 2, 2, 0.9), (2, 1, 2, 0.8), (3, 4, 1, 0.7), (4, 3, 2, 0.6), (5, 6, 2, 0.5), (6, 5, 2, 0.5), (7, 8, 1, 0.4)]
-
-
-@query(f"WITH a(source, target, strength, confidence) AS (VALUES {', '.join(map(str, ASSESSED))}), r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY strength DESC, confidence DESC, source) AS k FROM a) SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, CAST(strength AS BIGINT) AS strength, CAST(confidence AS DOUBLE) AS confidence FROM r WHERE k = 1")
-def antisymmetry(spark, d):
-    return graph.antisymmetric(spark.createDataFrame(ASSESSED, "source long, target long, strength long, confidence double"))
-
-
-SENTENCES = [(1, "The launch depends on the permit."), (2, "Because the bridge is closed, the route is longer."), (3, "The total was computed from the invoices."), (4, "If it rains you should not book the garden."), (5, "The sky is blue."), (6, "Travel requires a valid visa.")]
-
-
-@query("WITH s(id, t) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + r""") SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(lower(t), '\b(computed|derived|calculated) from\b') THEN 'DERIVED_FROM' WHEN regexp_matches(lower(t), '\b(if|unless|when)\b') AND regexp_matches(lower(t), '\b(should|must|book|cancel)\b') THEN 'AFFECTS_ACTION' WHEN regexp_matches(lower(t), '\b(because|due to|depends on|requires)\b') THEN 'DEPENDS_ON' ELSE 'NONE' END AS relation_type FROM s""")
-def dependency_typing(spark, d):
-    t = F.lower("t")
-    kind = F.when(t.rlike(r"\b(computed|derived|calculated) from\b"), "DERIVED_FROM").when(t.rlike(r"\b(if|unless|when)\b") & t.rlike(r"\b(should|must|book|cancel)\b"), "AFFECTS_ACTION").when(t.rlike(r"\b(because|due to|depends on|requires)\b"), "DEPENDS_ON").otherwise("NONE")
-    return spark.createDataFrame(SENTENCES, "id long, t string").select("id", kind.alias("relation_type"))
-
-
 @query(f"""WITH q AS (SELECT list_distinct(string_split('{QUESTION}', ' ')) AS q), t AS (SELECT doc_id, list_distinct({TOK.format('text')}) AS t FROM documents)
 SELECT doc_id, round(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), 9) AS score FROM t, q ORDER BY score DESC, doc_id LIMIT 10""")
 def retrieval_score_topk(spark, d):
@@ -217,18 +189,6 @@ def context_budget(spark, d):
     return S.read(spark, d, "documents").select("source", "doc_id", "n_chars").withColumn("used", F.sum("n_chars").over(w)).where("used <= 64000")
 
 
-@query(f"""WITH {RUNS}, cu AS (SELECT entity, value FROM sv WHERE superseded_by IS NULL AND attribute = 'purchase'), ol AS (SELECT DISTINCT entity, value FROM sv WHERE superseded_by IS NOT NULL AND attribute = 'purchase'), p AS (SELECT user_id AS entity, CAST(user_id % 5 AS BIGINT) AS expected FROM events GROUP BY user_id)
-SELECT p.entity, expected, CASE WHEN cu.value = expected THEN 'SUPPORTED' WHEN ol.value IS NOT NULL THEN 'CONFLICTED' ELSE 'UNVERIFIED' END AS verdict, CASE WHEN cu.value = expected THEN 'PROCEED' WHEN ol.value IS NOT NULL THEN 'REJECT_STALE_PREMISE' ELSE 'CLARIFY' END AS policy FROM p LEFT JOIN cu USING (entity) LEFT JOIN ol ON ol.entity = p.entity AND ol.value = expected""")
-def premise_policy(spark, d):
-    v = lifecycle.slot_versions(S.states(spark, d)).where("attribute = 'purchase'")
-    p = S.states(spark, d).select("entity").distinct().withColumn("expected", F.col("entity") % 5)
-    cur = v.where("status = 'CURRENT'").select("entity", F.col("value").alias("current"))
-    old = v.where("status = 'STALE'").select("entity", F.col("value").alias("expected"), F.lit(True).alias("was")).distinct()
-    j = p.join(cur, "entity", "left").join(old, ["entity", "expected"], "left")
-    pick = lambda a, b, c: F.when(F.col("current") == F.col("expected"), a).when(F.col("was"), b).otherwise(c)
-    return j.select("entity", "expected", pick("SUPPORTED", "CONFLICTED", "UNVERIFIED").alias("verdict"), pick("PROCEED", "REJECT_STALE_PREMISE", "CLARIFY").alias("policy"))
-
-
 SENT = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) > 0)"
 
 

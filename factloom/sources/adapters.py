@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,41 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``states`` with validity, conditions, confidence, order and an evidence span, all from the same event."""
+    k, who = F.col("k"), F.concat_ws(" ", F.col("entity").cast("string"), "attribute")
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    mode, zone = pair("mode", (k % 2).cast("string")), pair("zone", F.lit("a"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    span = F.when(k % 7 == 0, F.concat(who, F.lit(" is no longer valid on monday"))).when(k % 7 == 1, F.concat(F.lit("because of monday 10:30 "), who, F.lit(" moved"))).when(k % 7 == 2, F.concat(F.lit("separate note about "), F.col("attribute"))).otherwise(F.concat(who, F.lit(" is seen on tuesday 10:30")))
+    return states(spark, sf_dir).select(
+        F.col("evidence_id").alias("state_id"), "entity", "attribute", "value", "k", "observed_at",
+        F.when(k % 3 != 0, F.col("observed_at")).alias("t0"),
+        F.when(k % 4 == 0, F.col("observed_at") + F.make_dt_interval(hours=(k + 1).cast("int"))).alias("t1"),
+        F.when(k % 10 == 0, F.array(mode, zone)).when(k % 5 == 0, F.array(mode)).otherwise(none).alias("cond"),
+        ((k % 10) / 10).alias("confidence"), F.col("evidence_id").alias("observation_index"), F.lit(0).cast("long").alias("sequence_index"), span.alias("span"),
+    )
+
+
+def state_pairs(states: DataFrame) -> DataFrame:
+    """Each state (n_*) beside the two before it in its slot and the one before it in its entity (o_*), in order of arrival.
+
+    Signups have an effect on errors; every 11th k names the old state as invalidated, every 13th as conflicting; the
+    slot's own predecessors are linked where k is even.
+    """
+    cols = states.columns
+    row = F.struct(*cols)
+    slot, entity = W.partitionBy("entity", "attribute").orderBy("state_id"), W.partitionBy("entity").orderBy("state_id")
+    olds = F.array(*[F.struct(F.lag(row, i).over(w).alias("o"), F.lit(own).alias("own")) for w, i, own in ((slot, 1, True), (slot, 2, True), (entity, 1, False))])
+    one = states.select(row.alias("n"), olds.alias("olds")).select("n", F.explode("olds").alias("x")).where("x.o is not null")
+    flat = one.select(*[F.col(f"n.{c}").alias(f"n_{c}") for c in cols], *[F.col(f"x.o.{c}").alias(f"o_{c}") for c in cols], (F.col("x.own") & (F.col("n.k") % 2 == 0)).alias("linked"))
+    flat = flat.groupBy(*[c for c in flat.columns if c != "linked"]).agg(F.bool_or("linked").alias("linked"))
+    selector = F.struct(F.lit(None).cast("string").alias("entity"), F.lit("error").alias("attribute"), F.lit(None).cast("string").alias("value"))
+    named = lambda m: F.when(F.col("n_k") % m == 0, F.array("o_state_id")).otherwise(F.array().cast("array<bigint>"))
+    effects = F.when(F.col("n_attribute") == "signup", F.array(selector)).otherwise(F.array().cast("array<struct<entity:string,attribute:string,value:string>>"))
+    return flat.select("*", effects.alias("n_effects"), named(11).alias("n_invalidates"), named(13).alias("n_conflicts"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as ordered observations: group_id, observation_index, speaker, content."""
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("observation_index"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
@@ -32,5 +68,5 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
     in_region = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("subject"), F.lit("located_in").alias("relation"), F.col("r_name").alias("object"))
-    of = lambda t, name, key, rel: t.join(F.broadcast(n), F.col(key) == n.n_nationkey).select(F.col(name).alias("subject"), F.lit(rel).alias("relation"), F.col("n_name").alias("object"))
+    of = lambda t, name, key, rel: t.join(n, F.col(key) == n.n_nationkey).select(F.col(name).alias("subject"), F.lit(rel).alias("relation"), F.col("n_name").alias("object"))
     return in_region.unionByName(of(c, "c_name", "c_nationkey", "resides_in")).unionByName(of(s, "s_name", "s_nationkey", "based_in"))

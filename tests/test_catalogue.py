@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import catalogue
+from factloom.plans import catalogue, state_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
