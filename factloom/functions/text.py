@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 
 
-def norm(c: Column) -> Column:
-    """Lower case, runs of white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-
-
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
@@ -21,12 +16,6 @@ def token_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(tokens(c)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two token sets; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
-
-
 def content_id(*parts: Column) -> Column:
     """SHA-256 of the parts joined by a unit separator; null parts count as empty."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

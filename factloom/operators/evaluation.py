@@ -12,8 +12,8 @@ SPECIAL = ("yes", "no", "noanswer")
 
 def answer_words(c: Column) -> Column:
     """Lower-cased words without ASCII punctuation and articles."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, ""), r"\b(a|an|the)\b", " ")
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, "")
+    return F.filter(F.split(text, r"\s+"), lambda w: ~w.isin("", "a", "an", "the"))
 
 
 def answer_f1(pairs: DataFrame, key: list[str], prediction: str, reference: str) -> DataFrame:
@@ -45,3 +45,15 @@ def fama(judged: DataFrame, key: str) -> DataFrame:
     g = judged.groupBy(key).agg(presence.alias("mpa"), absence.alias("faa"), weight.alias("weight"))
     score = F.greatest(F.lit(0.0), F.col("mpa") - F.col("weight") * (1 - F.col("faa")))
     return g.select(key, *[F.round(c, 6).alias(c) for c in ("mpa", "faa", "weight")], F.round(score, 6).alias("fama"))
+
+
+def error_class(status: Column, message: Column) -> Column:
+    """Class of an execution failure by its status code, then by its message."""
+    quota = F.contains(message, F.lit("quota")) | F.contains(message, F.lit("credit_balance"))
+    return (
+        F.when(status == 429, F.when(quota, "other").otherwise("tpm_rate_limit"))
+        .when(status.isin(408, 504), "timeout")
+        .when(status.isin(500, 502, 503), "transport_failure")
+        .when(F.contains(message, F.lit("invalid json")) | F.contains(message, F.lit("malformed structured")), "malformed_structured_output")
+        .otherwise("other")
+    )

@@ -16,12 +16,14 @@ def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """
     spark = edges.sparkSession
     keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.cache())
+    edges = edges.select("source", "target").persist()
     visited = keep(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     frontier = visited
     for depth in count(1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         frontier = keep(step.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).cast("long").alias("depth")))
         if frontier.isEmpty():
+            edges.unpersist()
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"the graph is deeper than max_depth = {max_depth}")

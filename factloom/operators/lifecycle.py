@@ -15,7 +15,7 @@ def version_runs(states: DataFrame) -> DataFrame:
     w = W.partitionBy(*SLOT).orderBy(*ORDER)
     flagged = states.withColumn("opens", F.coalesce((F.col("value") != F.lag("value").over(w)).cast("long"), F.lit(1)))
     run = flagged.withColumn("version", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return run.groupBy(*SLOT, "version").agg(F.min("value").alias("value"), F.count("*").alias("n_evidence"), F.min("observed_at").alias("valid_from"), F.max("observed_at").alias("last_seen"), F.min_by("evidence_id", "observed_at").alias("first_evidence"))
+    return run.groupBy(*SLOT, "version").agg(F.min("value").alias("value"), F.count("*").alias("n_evidence"), F.min("observed_at").alias("valid_from"), F.max("observed_at").alias("last_seen"), F.min(F.struct("observed_at", "evidence_id"))["evidence_id"].alias("first_evidence"))
 
 
 def slot_versions(states: DataFrame) -> DataFrame:
@@ -57,11 +57,15 @@ def scoped(states: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def interval_conflicts(states: DataFrame, hours: int = 24) -> DataFrame:
-    """Pairs of one slot with different values and overlapping scopes (an equi join on the slot)."""
-    s = scoped(states, hours)
-    a = s.select(*SLOT, F.col("evidence_id").alias("old_id"), F.col("value").alias("old_value"), F.col("scope_start").alias("a0"), F.col("scope_end").alias("a1"))
-    b = s.select(*SLOT, F.col("evidence_id").alias("new_id"), F.col("value").alias("new_value"), F.col("scope_start").alias("b0"), F.col("scope_end").alias("b1"))
-    return a.join(b, SLOT).where("old_id < new_id and old_value <> new_value and a0 < b1 and b0 < a1").select(*SLOT, "old_id", "new_id")
+    """Pairs of one slot with different values and overlapping scopes: an equi join on slot and day.
+
+    A scope goes to every day that it touches; a pair that shares several days counts on the first of them.
+    """
+    s = scoped(states, hours).withColumn("day", F.explode(F.sequence(F.to_date("scope_start"), F.to_date("scope_end"))))
+    a = s.select(*SLOT, "day", F.col("evidence_id").alias("old_id"), F.col("value").alias("old_value"), F.col("scope_start").alias("a0"), F.col("scope_end").alias("a1"))
+    b = s.select(*SLOT, "day", F.col("evidence_id").alias("new_id"), F.col("value").alias("new_value"), F.col("scope_start").alias("b0"), F.col("scope_end").alias("b1"))
+    first = F.col("day") == F.to_date(F.greatest("a0", "b0"))
+    return a.join(b, [*SLOT, "day"]).where("old_id < new_id and old_value <> new_value and a0 < b1 and b0 < a1").where(first).select(*SLOT, "old_id", "new_id")
 
 
 def classify(new: DataFrame) -> DataFrame:

@@ -179,14 +179,15 @@ def relational_path_2hop(spark, d):
 SELECT doc_id, round(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), 9) AS score FROM t, q ORDER BY score DESC, doc_id LIMIT 10""")
 def retrieval_score_topk(spark, d):
     q = F.array(*[F.lit(x) for x in dict.fromkeys(QUESTION.split())])
-    docs = S.read(spark, d, "documents").select("doc_id", F.round(T.jaccard(T.token_set(F.coalesce("text", F.lit(""))), q), 9).alias("score"))
+    docs = S.read(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    docs = docs.select("doc_id", F.size("t").alias("n"), F.size(F.array_intersect("t", q)).alias("shared"))
+    docs = docs.select("doc_id", F.round(F.col("shared") / (F.col("n") + F.size(q) - F.col("shared")), 9).alias("score"))
     return docs.orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query("SELECT source, doc_id, n_chars, CAST(sum(n_chars) OVER w AS BIGINT) AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) QUALIFY sum(n_chars) OVER w <= 64000")
 def context_budget(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return S.read(spark, d, "documents").select("source", "doc_id", "n_chars").withColumn("used", F.sum("n_chars").over(w)).where("used <= 64000")
+    return windows.within_budget(S.read(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 64000)
 
 
 SENT = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) > 0)"
@@ -240,17 +241,6 @@ def dialogue_act_filter(spark, d):
     return S.observations(spark, d).select("group_id", "observation_index", act.alias("act"))
 
 
-FACTS = [(1, "Ana's city is Oslo."), (2, "Ben works at Acme."), (3, "Cy likes tea."), (4, "No fact here"), (5, "Dee's role is lead engineer.")]
-
-
-@query("WITH s(id, t) AS (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in FACTS) + r""") SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(t, '^(\w+)''s (\w+) is (.+)\.$') THEN regexp_extract(t, '^(\w+)''s', 1) ELSE regexp_extract(t, '^(\w+) (works at|likes) ', 1) END AS entity, CASE WHEN regexp_matches(t, '^(\w+)''s (\w+) is (.+)\.$') THEN regexp_extract(t, '^(\w+)''s (\w+) is', 2) ELSE regexp_extract(t, '^(\w+) (works at|likes) ', 2) END AS attribute, CASE WHEN regexp_matches(t, '^(\w+)''s (\w+) is (.+)\.$') THEN regexp_extract(t, ' is (.+)\.$', 1) ELSE regexp_extract(t, ' (works at|likes) (.+)\.$', 2) END AS value FROM s WHERE regexp_matches(t, '^(\w+)''s (\w+) is (.+)\.$') OR regexp_matches(t, '^(\w+) (works at|likes) (.+)\.$')""")
-def rule_extract(spark, d):
-    own, verb = r"^(\w+)'s (\w+) is (.+)\.$", r"^(\w+) (works at|likes) (.+)\.$"
-    s = spark.createDataFrame(FACTS, "id long, t string").where(F.col("t").rlike(own) | F.col("t").rlike(verb))
-    part = lambda i: F.when(F.col("t").rlike(own), F.regexp_extract("t", own, i)).otherwise(F.regexp_extract("t", verb, i))
-    return s.select("id", part(1).alias("entity"), part(2).alias("attribute"), part(3).alias("value"))
-
-
 @query("WITH x AS (SELECT source, count(*) FILTER (length(text) < 200 AND quality = 0) AS tp, count(*) FILTER (length(text) < 200) AS p, count(*) FILTER (quality = 0) AS g FROM documents JOIN labels USING (doc_id) GROUP BY 1), y AS (SELECT source, CASE WHEN p = 0 AND g = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / p END AS pr, CASE WHEN p = 0 AND g = 0 THEN 1.0 WHEN g = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / g END AS re FROM x) SELECT source, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1 FROM y")
 def prf_metrics(spark, d):
     j = S.read(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n")).join(S.read(spark, d, "labels"), "doc_id")

@@ -9,6 +9,7 @@ from factloom.functions import evidence, identity, scope
 from factloom.operators import conflict, dependency, evaluation, graph, lifecycle, linking, retrieval, writer
 from factloom.plans.catalogue import RUNS, SENT, TOK, query
 from factloom.sources import adapters as S
+from factloom.sources import snapshot
 
 FS = """k0 AS (SELECT event_id AS state_id, user_id AS entity, event_type AS attribute, CAST(floor(value/100) AS BIGINT) AS value, CAST(props->>'k' AS BIGINT) AS k, ts AS observed_at FROM events),
 fs AS (SELECT *, CASE WHEN k % 3 <> 0 THEN observed_at END AS t0, CASE WHEN k % 4 = 0 THEN observed_at + to_hours(k + 1) END AS t1,
@@ -120,14 +121,14 @@ RE = {k: getattr(evidence, k).replace("'", "''") for k in ("MARKER", "DERIVATION
 SPANS = f"s AS (SELECT doc_id, CAST(i AS BIGINT) AS i, lower(s[i + 1]) AS t FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, {SENT} AS s FROM documents)))"
 
 
-@query(rf"WITH {SPANS} SELECT CASE WHEN regexp_matches(t, '{RE['DERIVATION']}') THEN 'derived-from' WHEN regexp_matches(t, '{RE['ACTION_CUE']}') AND regexp_matches(t, '{RE['PRECONDITION']}') THEN 'affects-action' ELSE 'depends-on' END AS relation_type, CASE WHEN regexp_matches(t, '{RE['DERIVED_ROLE']}') THEN 'DERIVED_STATE' WHEN regexp_matches(t, '{RE['DECISION_ROLE']}') THEN 'DECISION' WHEN regexp_matches(t, '{RE['ACTION_ROLE']}') THEN 'ACTION_OR_PLAN' ELSE 'ORDINARY_FACT' END AS role, count(*) AS n FROM s WHERE regexp_matches(t, '{RE['MARKER']}') GROUP BY ALL")
+@query(rf"WITH {SPANS} SELECT CASE WHEN NOT regexp_matches(t, '{RE['MARKER']}') THEN 'none' WHEN regexp_matches(t, '{RE['DERIVATION']}') THEN 'derived-from' WHEN regexp_matches(t, '{RE['ACTION_CUE']}') AND regexp_matches(t, '{RE['PRECONDITION']}') THEN 'affects-action' ELSE 'depends-on' END AS relation_type, CASE WHEN regexp_matches(t, '{RE['DERIVED_ROLE']}') THEN 'DERIVED_STATE' WHEN regexp_matches(t, '{RE['DECISION_ROLE']}') THEN 'DECISION' WHEN regexp_matches(t, '{RE['ACTION_ROLE']}') THEN 'ACTION_OR_PLAN' ELSE 'ORDINARY_FACT' END AS role, count(*) AS n FROM s GROUP BY ALL")
 def dependency_typing(spark, d):
-    """Relation types and roles of all sentences of all documents that hold a dependency marker."""
+    """Relation types (by dependency markers) and roles of all sentences of all documents."""
     from factloom.functions import text as T
 
     s = S.read(spark, d, "documents").select(F.explode(T.sentences(F.coalesce("text", F.lit("")))).alias("t"))
-    t = s.select(evidence.relation_type(F.col("t")).alias("relation_type"), evidence.role(F.lit("x"), F.lit("y"), F.col("t")).alias("role"))
-    return t.where("relation_type is not null").groupBy("relation_type", "role").agg(F.count("*").alias("n"))
+    t = s.select(F.coalesce(evidence.relation_type(F.col("t")), F.lit("none")).alias("relation_type"), evidence.role(F.lit("x"), F.lit("y"), F.col("t")).alias("role"))
+    return t.groupBy("relation_type", "role").agg(F.count("*").alias("n"))
 
 
 CAND = """c AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'order depends on customer ' || o_custkey WHEN 1 THEN 'the plan requires stock' WHEN 2 THEN 'derived from customer ' || o_custkey WHEN 3 THEN 'plan to book only if customer ' || o_custkey || ' pays' ELSE 'seen with customer' END AS span, o_orderkey % 3 = 0 AS signal, 'customer ' || o_custkey AS src, CASE WHEN o_orderkey % 11 = 0 THEN 'customer ' || o_custkey ELSE 'order ' || o_orderkey END AS dst, o_orderkey % 13 = 0 AS one FROM orders)"""
@@ -257,7 +258,7 @@ def observation_batches(spark, d):
     return writer.batches(o, 300).select(F.col("slot").alias("group_id"), F.col("position").alias("observation_index"), F.col("batch").cast("long").alias("batch"))
 
 
-NORM = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda w: w <> '')"
+NORM = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, {NORM.format('text')} AS p, lead({NORM.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations), q AS (SELECT * FROM p WHERE r IS NOT NULL),
@@ -300,3 +301,54 @@ def attribute_compatibility(spark, d):
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("b"))
     j = p.join(nxt, "p_partkey").groupBy(F.col("p_type").alias("a"), "b").agg(F.count("*").alias("n"))
     return j.select("a", "b", identity.attributes_compatible(F.col("a"), F.col("b")).alias("compatible"), "n")
+
+
+FACTS = "s AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN replace(c_name, '#', '') || chr(39) || 's segment is ' || lower(c_mktsegment) || '.' WHEN 1 THEN replace(c_name, '#', '') || ' works at ' || lower(c_mktsegment) || '.' ELSE 'nothing about ' || c_name END AS t FROM customer)"
+
+
+@query(rf"WITH {FACTS} SELECT id, regexp_extract(t, '^(\w+)', 1) AS entity, CASE WHEN id % 3 = 0 THEN 'segment' ELSE 'works at' END AS attribute, regexp_extract(t, '( is | works at )(.+)[.]$', 2) AS value FROM s WHERE id % 3 < 2")
+def rule_extract(spark, d):
+    """Possessive and verb statements about customers, parsed back into entity, attribute and value."""
+    own, verb = r"^(\w+)'s (\w+) is (.+)\.$", r"^(\w+) (works at|likes) (.+)\.$"
+    key, name, what = F.col("c_custkey"), F.regexp_replace("c_name", "#", ""), F.lower("c_mktsegment")
+    t = F.when(key % 3 == 0, F.concat(name, F.lit("'s segment is "), what, F.lit("."))).when(key % 3 == 1, F.concat(name, F.lit(" works at "), what, F.lit("."))).otherwise(F.concat(F.lit("nothing about "), F.col("c_name")))
+    s = S.read(spark, d, "customer").select(key.alias("id"), t.alias("t")).where(F.col("t").rlike(own) | F.col("t").rlike(verb))
+    part = lambda i: F.when(F.col("t").rlike(own), F.regexp_extract("t", own, i)).otherwise(F.regexp_extract("t", verb, i))
+    return s.select("id", part(1).alias("entity"), part(2).alias("attribute"), part(3).alias("value"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute, CAST(sum(floor(value)) AS BIGINT) AS tokens, CAST(sum(floor(value)) AS BIGINT) > 400 AS over_budget FROM events GROUP BY 1")
+def token_pacer(spark, d):
+    """Tokens asked for in each minute, and whether they pass a budget."""
+    e = S.read(spark, d, "events").groupBy(F.window("ts", "1 minute").alias("w")).agg(F.sum(F.floor("value")).cast("long").alias("tokens"))
+    return e.select(F.col("w.start").alias("minute"), "tokens", (F.col("tokens") > 400).alias("over_budget"))
+
+
+CODES = "CASE k % 10 WHEN 0 THEN 429 WHEN 1 THEN 408 WHEN 2 THEN 503 WHEN 3 THEN 504 WHEN 4 THEN 400 END"
+
+
+@query(f"WITH e AS (SELECT event_type, CAST(props->>'k' AS BIGINT) AS k FROM events), c AS (SELECT {CODES} AS status, CASE WHEN event_type = 'error' THEN 'insufficient_quota' WHEN event_type = 'view' THEN 'invalid json' ELSE '' END AS message FROM e) SELECT CASE WHEN status = 429 THEN CASE WHEN contains(message, 'quota') THEN 'other' ELSE 'tpm_rate_limit' END WHEN status IN (408, 504) THEN 'timeout' WHEN status IN (500, 502, 503) THEN 'transport_failure' WHEN contains(message, 'invalid json') THEN 'malformed_structured_output' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY 1")
+def error_taxonomy(spark, d):
+    """Failures by class: rate limits, timeouts, transport, malformed output, other."""
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    status = F.when(k == 0, 429).when(k == 1, 408).when(k == 2, 503).when(k == 3, 504).when(k == 4, 400)
+    message = F.when(F.col("event_type") == "error", "insufficient_quota").when(F.col("event_type") == "view", "invalid json").otherwise("")
+    return S.read(spark, d, "events").groupBy(evaluation.error_class(status, message).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FS} SELECT count(*) AS n_states, count(*) AS n_equal, CAST(sum(len(cond)) AS BIGINT) AS n_conditions FROM fs")
+def snapshot_round_trip(spark, d):
+    """States written as canonical JSON lines and read again by their schema: all are equal to what they were."""
+    s = S.full_states(spark, d)
+    again = snapshot.restored(snapshot.lines(s), s.schema)
+    both = s.withColumn("h", F.xxhash64(*s.columns)).join(again.withColumn("g", F.xxhash64(*s.columns)).select("state_id", "g", F.size("cond").alias("c")), "state_id", "left")
+    return both.agg(F.count("*").alias("n_states"), F.count_if(F.col("h") == F.col("g")).alias("n_equal"), F.sum("c").cast("long").alias("n_conditions"))
+
+
+@query(f"""WITH {FS}, c AS (SELECT entity, state_id, row_number() OVER (PARTITION BY entity ORDER BY state_id) - 1 AS i FROM fs), b AS (SELECT *, min(CASE WHEN state_id % 100 = 3 THEN i END) OVER (PARTITION BY entity) AS broken FROM c)
+SELECT entity, CAST(count(*) FILTER (broken IS NULL OR i < broken) AS BIGINT) - 1 AS last_committed, CASE WHEN max(broken) IS NULL THEN 'COMMITTED' ELSE 'NON_CONTIGUOUS' END AS status FROM b GROUP BY entity""")
+def resume_position(spark, d):
+    """Where each group's log of commits stops being contiguous."""
+    w = W.partitionBy("entity").orderBy("state_id")
+    log = S.full_states(spark, d).select("entity", (F.row_number().over(w) - 1).cast("long").alias("position"), "state_id")
+    return snapshot.contiguous(log.select("entity", "position", (F.col("position") + F.when(F.col("state_id") % 100 == 3, 1).otherwise(0)).alias("claimed")))

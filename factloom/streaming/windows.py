@@ -28,3 +28,17 @@ def stream_tumbling(spark, path: str, schema, out: str, checkpoint: str, size: s
     """The tumbling aggregate as a stream of the Parquet files in a folder; returns the started query (append mode, closed windows)."""
     src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
     return tumbling(src.withColumn("ts", F.col("ts").cast("timestamp")), size, late).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int, span: int = 1000) -> DataFrame:
+    """rows with ``used``, the running sum of ``size`` in order, while it is within the budget.
+
+    Sums of spans of the (integer) order are totalled first; only spans that begin within the budget are summed row by
+    row, so a group with a third of all rows brings a few spans to one task, not its rows.
+    """
+    spans = rows.withColumn("_span", F.floor(F.col(order) / span))
+    w = W.partitionBy(group).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    begins = spans.groupBy(group, "_span").agg(F.sum(size).alias("_sum")).withColumn("_begin", F.coalesce(F.sum("_sum").over(w), F.lit(0))).where(F.col("_begin") <= budget)
+    inner = W.partitionBy(group, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = spans.join(begins.select(group, "_span", "_begin"), [group, "_span"]).withColumn("used", (F.col("_begin") + F.sum(size).over(inner)).cast("long"))
+    return out.where(F.col("used") <= budget).drop("_span", "_begin")
