@@ -81,6 +81,7 @@ def chunks(batches, id_col: str = "doc_id", text_col: str = "text", limit: int =
             j = min(j, n)
             yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, offs: np.ndarray, lower: bool = False):

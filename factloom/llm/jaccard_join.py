@@ -365,7 +365,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     docs = every.where("doc_id is not null")
     prof = cut(profiles(docs, size))
     classes = cut(prof.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
-    cells = components(met(key_rows(docs, size, num, den)))
+    # a checkpoint between the two Python steps, so that a task never holds two workers
+    cells = components(cut(met(key_rows(docs, size, num, den))))
     release(spark)
     member = cut(in_cells(classes, cells, num, den))
     # a doc_id with several texts is one vertex
