@@ -60,6 +60,16 @@ def antisymmetric(assessed: DataFrame) -> DataFrame:
     return assessed.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def competing(candidates: DataFrame) -> DataFrame:
+    """candidates with ``kept``: of one dependent's candidates those stay that no eligible one beats.
+
+    candidates: dependent, eligible (its entity is in the source clause), overlap, state_order, position; greater wins.
+    """
+    rank = F.struct("overlap", "state_order", "position")
+    best = F.max(F.when(F.col("eligible"), rank)).over(W.partitionBy("dependent"))
+    return candidates.select("*", F.coalesce(rank >= best, F.lit(True)).alias("kept"))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, protected: DataFrame) -> DataFrame:
     """node, depth, via, outcome of a cascade over edges (source, target, strength).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: ASCII punctuation, articles and the answers that are right or wrong as a whole.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -57,3 +58,35 @@ def error_class(status: Column, message: Column) -> Column:
         .when(F.contains(message, F.lit("invalid json")) | F.contains(message, F.lit("malformed structured")), "malformed_structured_output")
         .otherwise("other")
     )
+
+
+def multiset_diff(old: DataFrame, new: DataFrame, group: str, item: list[str]) -> DataFrame:
+    """group, matched, missing, added, precision, recall, equivalent of two extractions, counting repeated items; ``new`` is scored against ``old``."""
+    one = lambda d, a, b: d.select(group, *item, F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+    n = one(old, 1, 0).unionByName(one(new, 0, 1)).groupBy(group, *item).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = F.sum(F.least("a", "b"))
+    g = n.groupBy(group).agg(both.alias("matched"), (F.sum("a") - both).alias("missing"), (F.sum("b") - both).alias("added"))
+    rate = lambda other: F.round(F.col("matched") / F.nullif(F.col("matched") + F.col(other), F.lit(0)), 6)
+    return g.select(group, "matched", "missing", "added", rate("added").alias("precision"), rate("missing").alias("recall"), (F.col("missing") + F.col("added") == 0).alias("equivalent"))
+
+
+def stage_profile(spent: DataFrame) -> DataFrame:
+    """stage, n, seconds, percent of spans (stage, seconds); a null stage is time that no stage accounts for."""
+    g = spent.groupBy(F.coalesce("stage", F.lit("unattributed")).alias("stage")).agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
+    # a row for each stage is left, so one task takes the total
+    return g.select("stage", "n", F.round("seconds", 6).alias("seconds"), F.round(100 * F.col("seconds") / F.sum("seconds").over(W.partitionBy()), 6).alias("percent"))
+
+
+def parsed_answer(c: Column) -> Column:
+    """What follows "answer:" on its line, else the first line; null where that is empty."""
+    text = F.coalesce(c, F.lit(""))
+    marked = F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, r"(?i)answer:([^\n]*)", 1)), "(?i)^answer:", ""))
+    return F.when(text.rlike("(?i)answer:"), marked).otherwise(F.nullif(F.trim(F.split(text, "\n")[0]), F.lit("")))
+
+
+def best_answer(answers: DataFrame, key: list[str], answer: str, references: str) -> DataFrame:
+    """key, exact, contained, f1: the best of the answer and its parsed form over all references (an array)."""
+    forms = F.array_compact(F.array(F.col(answer), parsed_answer(F.col(answer))))
+    pairs = answers.select(*key, F.posexplode(forms).alias("_form", "_p"), references).select(*key, "_form", "_p", F.posexplode(references).alias("_reference", "_r"))
+    scored = answer_f1(pairs, [*key, "_form", "_reference"], "_p", "_r")
+    return scored.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("exact", "contained", "f1")])
