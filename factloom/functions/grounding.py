@@ -45,17 +45,23 @@ def negative(c: Column) -> Column:
     return spaced(c).rlike(NEGATION) | F.exists(said(c), denies)
 
 
+def meaning(c: Column) -> Column:
+    """roots and negative of a text; give it a column of its own, so that it is computed once for all the tests below."""
+    return F.struct(roots(c).alias("roots"), negative(c).alias("negative"))
+
+
 def value_grounded(value: Column, evidence: Column) -> Column:
-    """All roots of the value are in the evidence, with the same polarity."""
-    return (F.size(roots(value)) > 0) & (F.size(F.array_except(roots(value), roots(evidence))) == 0) & (negative(value) == negative(evidence))
+    """All roots of the value are in the evidence, with the same polarity (both are meanings)."""
+    return (F.size(value["roots"]) > 0) & (F.size(F.array_except(value["roots"], evidence["roots"])) == 0) & (value["negative"] == evidence["negative"])
 
 
 def polarity_conflicts(value: Column, evidence: Column) -> Column:
-    return F.arrays_overlap(roots(value), roots(evidence)) & (negative(value) != negative(evidence))
+    return F.arrays_overlap(value["roots"], evidence["roots"]) & (value["negative"] != evidence["negative"])
 
 
-def attribute_grounded(attribute: Column, evidence: Column) -> Column:
-    return F.arrays_overlap(roots(attribute), roots(evidence)) | F.contains(F.lower(evidence), F.regexp_replace(attribute, "_", " "))
+def attribute_grounded(attribute: Column, evidence: Column, said_of: Column) -> Column:
+    """A root in common with the evidence's meaning ``said_of``, or the name in the evidence as it stands."""
+    return F.arrays_overlap(roots(attribute), said_of["roots"]) | F.contains(F.lower(evidence), F.regexp_replace(attribute, "_", " "))
 
 
 def grounded_conditions(conditions: Column, evidence: Column) -> Column:

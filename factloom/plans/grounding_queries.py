@@ -40,8 +40,9 @@ def value_grounding(spark, d):
     k, a = F.col("k"), F.col("attribute")
     value = F.when(k % 4 == 0, a).when(k % 4 == 1, F.concat(F.lit("not "), a)).when(k % 4 == 2, F.concat(F.lit("un"), a)).otherwise(F.concat(a, F.lit("s")))
     s = S.full_states(spark, d).select("state_id", "cond", F.concat(a, F.lit("_state")).alias("att"), value.alias("v"), F.concat("span", F.lit(" in mode "), (k % 3).cast("string")).alias("e"))
-    v, e = F.col("v"), F.col("e")
-    return s.select("state_id", grounding.value_grounded(v, e).alias("value_grounded"), grounding.polarity_conflicts(v, e).alias("polarity_conflict"), grounding.attribute_grounded(F.col("att"), e).alias("attribute_grounded"), F.size(grounding.grounded_conditions(F.col("cond"), e)).cast("long").alias("n_conditions"))
+    s = s.withColumns({"v": grounding.meaning(F.col("v")), "m": grounding.meaning(F.col("e"))})
+    v, m, e = F.col("v"), F.col("m"), F.col("e")
+    return s.select("state_id", grounding.value_grounded(v, m).alias("value_grounded"), grounding.polarity_conflicts(v, m).alias("polarity_conflict"), grounding.attribute_grounded(F.col("att"), e, m).alias("attribute_grounded"), F.size(grounding.grounded_conditions(F.col("cond"), e)).cast("long").alias("n_conditions"))
 
 
 OPENING = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in grounding.OPENINGS.items())
