@@ -3,9 +3,12 @@
 Each round first names maximal runs of one symbol and then pairs (left symbol of class L, right one of class R, by a
 bit of the symbol). Names are hashes of what they stand for, so a round names the same run or pair alike everywhere
 without any exchange. A symbol carries the words it spans and the words its form depends on; equal substrings have the
-same symbols wherever that dependence lies inside them. So each window of ``window`` words picks the least of the
-highest-level symbols that depend on the window's words alone: equal windows pick the same symbol. The symbol names the
-bucket, Spark brings the windows of a shared symbol together, and two hashes of all words (96 bits) verify them.
+same symbols wherever that dependence lies inside them. So each window of ``window`` words has a form that its words
+alone determine: the symbols of the highest level that depend on nothing outside it, where they begin, and the words
+they leave at its edges. Equal windows have equal forms, and a form stands for one sequence of words: shared symbols
+cover the inside of a repeat, only its edges are compared by words. The least of the symbols names the bucket, Spark
+brings the windows that share it together, their forms (64 bits) decide, and a second hash of all words (32 bits,
+independent of the symbols) verifies.
 
 The symbols are handled in ``rounds`` slices, each a pass over the texts and one shuffle whose files go before the next
 slice, which bounds the disk. A chunk of documents sends a window once, with its least doc_id; the others are settled
@@ -63,21 +66,25 @@ def next_level(name, first, last, lo, hi, doc):
     return name[keep], first[keep], np.where(pair, last[nxt], last)[keep], np.where(pair, np.minimum(lo, lo[nxt]), np.minimum(solo_lo, lo))[keep], np.where(pair, np.maximum(hi, hi[nxt]), np.maximum(solo_hi, hi))[keep], doc[keep]
 
 
-def least_inside(level, start, width):
-    """For windows [start, start + width): the least symbol name whose dependence lies inside, and whether there is one."""
-    name, _, _, lo, hi, _ = level
-    a, b = np.searchsorted(lo, start, "left"), np.searchsorted(hi, start + width, "right")
-    best, k = np.full(len(start), np.uint64(2**64 - 1)), 0
-    live = np.flatnonzero(b > a)
+def inside(level, start, width):
+    """For windows [start, start + width): the range [a, b) of the level's symbols whose dependence lies inside."""
+    _, _, _, lo, hi, _ = level
+    return np.searchsorted(lo, start, "left"), np.searchsorted(hi, start + width, "right")
+
+
+def least(name, a, b):
+    """Least name of each range [a, b); none is empty."""
+    best, k = name[a], 1
+    live = np.flatnonzero(b > a + 1)
     while len(live):
         best[live] = np.minimum(best[live], name[a[live] + k])
         k += 1
         live = live[a[live] + k < b[live]]
-    return best, b > a
+    return best
 
 
 def windows(ids, data, offs, rolls, width: int, levels: int):
-    """Of a chunk: anchor symbol per window, both names per word, first word, document index and start in it per window."""
+    """Of a chunk: per window its (anchor symbol, level, symbol range [a, b)), the ladder of levels, the words' second names, and first word, document index and start in it per window."""
     _, s, e, at = words_of(data, offs)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(ids)), n)
@@ -89,27 +96,52 @@ def windows(ids, data, offs, rolls, width: int, levels: int):
     inner = np.arange(first[-1]) - first[owner]
     start = at[owner] + inner
     here = np.arange(len(s))
-    level = (words[0], here, here + 1, here, here + 1, doc)
-    ladder = [level]
+    ladder = [(words[0], here, here + 1, here, here + 1, doc)]
     for _ in range(levels):
-        level = next_level(*level)
-        ladder.append(level)
-    anchor, done = least_inside(ladder[-1], start, width)
-    for level in ladder[-2::-1]:
-        left = np.flatnonzero(~done)
+        ladder.append(next_level(*ladder[-1]))
+    anchor, rung = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int8)
+    a, b = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    left = np.arange(len(start))
+    for k in range(levels, -1, -1):  # the words themselves always lie inside
+        x, y = inside(ladder[k], start[left], width)
+        some = y > x
+        mine = left[some]
+        a[mine], b[mine], rung[mine] = x[some], y[some], k
+        anchor[mine] = least(ladder[k][0], a[mine], b[mine])
+        left = left[~some]
         if not len(left):
             break
-        best, some = least_inside(level, start[left], width)
-        anchor[left], done[left] = best, some
-    return anchor, words, start, owner, inner
+    return (anchor, rung, a, b), ladder, words[1], start, owner, inner
+
+
+def sums(names: np.ndarray, roll: Roller) -> np.ndarray:
+    roll.powers(len(names) + 1)
+    c = np.zeros(len(names) + 1, dtype=np.uint64)
+    np.cumsum(names * roll.pow[: len(names)], out=c[1:])
+    return c
+
+
+def span_hash(c: np.ndarray, a: np.ndarray, b: np.ndarray, roll: Roller) -> np.ndarray:
+    """Polynomial hash of the names in [a, b), from their sums."""
+    return mix((c[b] - c[a]) * roll.inv[a])
 
 
-def window_hash(words: np.ndarray, start: np.ndarray, width: int, roll: Roller) -> np.ndarray:
-    """Polynomial hash over the names of the words in the windows at ``start``."""
-    roll.powers(len(words) + 1)
-    c = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * roll.pow[: len(words)], out=c[1:])
-    return mix((c[start + width] - c[start]) * roll.inv[start])
+def form(ladder, rung, a, b, start, width: int, roll: Roller) -> np.ndarray:
+    """Name of each window's form: level, shared symbols, where they begin, and the words at both edges that they leave."""
+    out = np.empty(len(start), dtype=np.uint64)
+    words = sums(ladder[0][0], roll)
+    for k, (name, first, last, *_) in enumerate(ladder):
+        at = np.flatnonzero(rung == k)
+        if not len(at):
+            continue
+        begin, x, y = start[at], a[at], b[at]
+        h = span_hash(sums(name, roll) if k else words, x, y, roll)
+        if k:
+            lead = first[x]
+            h = mix(h * _A + span_hash(words, begin, lead, roll))
+            h = mix(h * _B + span_hash(words, last[y - 1], begin + width, roll)) + (lead - begin).astype(np.uint64)
+        out[at] = h + np.uint64(k) * _A
+    return mix(out)
 
 
 def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int) -> DataFrame:
@@ -120,12 +152,13 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int)
         rolls = [Roller(41), Roller(42)]
         box = Outbox(buckets)
         for ids, data, offs in chunks(batches):
-            anchor, words, start, owner, inner = windows(ids, data, offs, rolls, width, levels)
+            (anchor, rung, a, b), ladder, words, start, owner, inner = windows(ids, data, offs, rolls, width, levels)
             place = mix(anchor ^ np.uint64(0x51ED))
             mine = np.flatnonzero(place % np.uint64(rounds) == turn)
             rows = np.empty(len(mine), dtype=WINDOW)
-            rows["h"] = window_hash(words[0], start[mine], width, rolls[0])
-            rows["check"] = window_hash(words[1], start[mine], width, rolls[1]) >> np.uint64(32)
+            begin = start[mine]
+            rows["h"] = form(ladder, rung[mine], a[mine], b[mine], begin, width, rolls[0])
+            rows["check"] = span_hash(sums(words, rolls[1]), begin, begin + width, rolls[1]) >> np.uint64(32)
             rows["doc"], rows["at"] = ids[owner[mine]], inner[mine]
             bucket = ((place[mine] // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int32)
             keep, known = settled(rows)

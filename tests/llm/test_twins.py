@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from factloom.llm import components, queries, secret_ledger, suffix_blocks
+from factloom.llm import components, queries, recompression, secret_ledger, suffix_blocks
 from factloom.llm.common import Roller
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,19 @@ def test_many_secrets_in_a_text(spark):
         want.append((at, at + 19))
         at += 19
     assert got == want
+
+
+@pytest.mark.parametrize("levels", [0, 2, 4])
+def test_equal_windows_have_equal_forms(levels):
+    """Runs, ties and document edges: a form is equal exactly where the words are, and its anchor with it."""
+    r = random.Random(levels)
+    texts = [" ".join(r.choice("ab" if i % 2 else "abcdef") for _ in range(r.choice([5, 13, 60, 400]))) for i in range(40)] + ["a " * 50, "", "a b " * 30]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    rolls = [Roller(41), Roller(42)]
+    (anchor, rung, a, b), ladder, _, start, owner, inner = recompression.windows(np.arange(len(texts)), data, offs, rolls, 13, levels)
+    forms = recompression.form(ladder, rung, a, b, start, 13, rolls[0])
+    words = [tuple(texts[o].split()[i : i + 13]) for o, i in zip(owner, inner, strict=True)]
+    pairs = set(zip(words, map(int, forms), map(int, anchor), strict=True))
+    assert len(pairs) == len(set(words)) == len(set(map(int, forms)))
+    assert not levels or (rung > 0).mean() > 0.5
