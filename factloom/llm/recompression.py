@@ -140,7 +140,7 @@ def form(ladder, rung, a, b, start, width: int, roll: Roller) -> np.ndarray:
             lead = first[x]
             h = mix(h * _A + span_hash(words, begin, lead, roll))
             h = mix(h * _B + span_hash(words, last[y - 1], begin + width, roll)) + (lead - begin).astype(np.uint64)
-        out[at] = h + np.uint64(k) * _A
+        out[at] = h + np.array([k], np.uint64) * _A
     return mix(out)
 
 
