@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PACKED, Outbox, Roller, chunks, cut, dealt, keyed_text, mix, packed, partitions_of, release, words_of
+from factloom.llm.common import PACKED, Outbox, Roller, by_bucket, chunks, cut, dealt, keyed_text, mix, packed, partitions_of, release, words_of
 
 WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("at", "<u4")])
 HIT = np.dtype([("doc", "<i8"), ("at", "<u4")])
+#: Bytes of hits that a task gathers before it writes them by document.
+HELD = 64 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -146,7 +148,8 @@ def form(ladder, rung, a, b, start, width: int, roll: Roller) -> np.ndarray:
 
 def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int) -> DataFrame:
     """Packed windows of one slice of symbols; buckets below 0 hold windows that are settled already."""
-    buckets = partitions_of(docs.sparkSession) * 2
+    few = partitions_of(docs.sparkSession) * 2
+    buckets = few * 8
 
     def run(batches):
         rolls = [Roller(41), Roller(42)]
@@ -166,7 +169,7 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int)
             if len(known):
                 out = np.empty(len(known), dtype=HIT)
                 out["doc"], out["at"] = rows["doc"][known], rows["at"][known]
-                yield packed(-1 - (mix(out["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), out)
+                yield packed(-1 - (mix(out["doc"].view(np.uint64)) % np.uint64(few)).astype(np.int32), out)
         yield from box.flush()
 
     return docs.mapInArrow(run, PACKED)
@@ -203,17 +206,23 @@ def by_document(hits: np.ndarray):
 
 def repeated(rows: DataFrame) -> DataFrame:
     def run(batches):
-        windows_, known = [], []
-        for b in batches:
-            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (windows_ if bucket >= 0 else known).append(payload)
-        rows = np.frombuffer(b"".join(windows_), dtype=WINDOW)
-        _, late = settled(rows)
-        out = np.empty(len(late), dtype=HIT)
-        out["doc"], out["at"] = rows["doc"][late], rows["at"][late]
-        yield from by_document(np.concatenate([out, np.frombuffer(b"".join(known), dtype=HIT)]))
-
-    return dealt(rows).mapInArrow(run, "doc_id long, starts binary")
+        held, size = [np.zeros(0, dtype=HIT)], 0
+        for bucket, packs in by_bucket(batches):  # the windows of one bucket of symbols at a time
+            found = np.frombuffer(b"".join(p for (p,) in packs), dtype=WINDOW if bucket >= 0 else HIT)
+            if bucket >= 0:
+                _, late = settled(found)
+                out = np.empty(len(late), dtype=HIT)
+                out["doc"], out["at"] = found["doc"][late], found["at"][late]
+                found = out
+            held.append(found)
+            size += found.nbytes
+            if size > HELD:
+                yield from by_document(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield from by_document(np.concatenate(held))
+
+    return dealt(rows).sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, starts binary")
 
 
 def dedup(docs: DataFrame, window: int = 13, rounds: int = 5, levels: int = 2) -> DataFrame:
