@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from factloom.functions import grounding
 from factloom.functions import text as T
-from factloom.operators import dependency, evaluation, paths, shadowing
+from factloom.operators import dependency, evaluation, paths, question_plan, shadowing
 from factloom.plans.catalogue import SENT, TOK, query
 from factloom.plans.state_queries import FS, NORM
 from factloom.sources import adapters as S
@@ -146,3 +146,21 @@ def continuity_shadowing(spark, d):
         F.date_trunc("day", "observed_at").alias("observation_id"), F.col("state_id").alias("sequence_index"), "observed_at", "t0", "t1", F.when(k % 19 == 0, "STALE").otherwise("CURRENT").alias("status"),
     )
     return shadowing.shadowed(s, "does the user still do that")
+
+
+@query("""SELECT c_custkey AS question_id, CASE WHEN c_custkey % 5 < 4 THEN lower(replace(c_name, '#', ' ')) END AS anchor,
+CASE c_custkey % 5 WHEN 0 THEN 'residence' WHEN 1 THEN 'occupation' WHEN 2 THEN 'citizenship' WHEN 3 THEN 'residence' END AS goal,
+CASE c_custkey % 5 WHEN 2 THEN 'occupation' WHEN 3 THEN 'citizenship>occupation' ELSE '' END AS hints,
+CAST(CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS BIGINT) AS hops FROM customer""")
+def question_plans(spark, d):
+    """Anchor, goal, hints and hops of a question about every customer, over facts of home, job and nationality."""
+    c, n = S.read(spark, d, "customer"), S.read(spark, d, "nation")
+    who = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_name").alias("c"), F.col("n_name").alias("n"))
+    k, said = F.col("c_custkey") % 5, lambda *parts: F.concat(*[F.col(x) if x in ("c", "n") else F.lit(x) for x in parts])
+    text = (
+        F.when(k == 0, said("Where does ", "c", " live?")).when(k == 1, said("What is the job of ", "c", " in ", "n", "?"))
+        .when(k == 2, said("Where is the country of the job of ", "c", " in ", "n", "?"))
+        .when(k == 3, said("Is ", "c", " a citizen, and where does the role lead home?")).otherwise("Who knows?")
+    )
+    facts = S.triples(spark, d).select("subject", "relation").unionByName(c.select(F.col("c_name").alias("subject"), F.explode(F.array(F.lit("job"), F.lit("nationality"))).alias("relation")))
+    return question_plan.plans(who.select(F.col("c_custkey").alias("question_id"), text.alias("text")), facts).withColumn("hints", F.array_join("hints", ">"))
