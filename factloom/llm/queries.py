@@ -75,7 +75,14 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import fill_in_middle as op
+
+    out = op.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(op.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree, op11_fill_in_middle)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,4 +120,9 @@ k13 AS ({windows_of(13)}), c13 AS (SELECT doc_id, count(DISTINCT i + o) AS n FRO
 b AS (SELECT t.*, coalesce(c3.n, 0) AS n3, coalesce(c13.n, 0) AS n13, len(w) < 50 OR 100 * coalesce(c3.n, 0) > 50 * len(w) AS failed, CAST(floor(0.35::DOUBLE * len(w)) AS BIGINT) + 1 AS lim FROM t LEFT JOIN c3 ON c3.doc_id = t.doc_id LEFT JOIN c13 ON c13.doc_id = t.doc_id),
 z AS (SELECT doc_id FROM (SELECT doc_id, md5(array_to_string(w[i:i + lim - 1], ' ')) AS key FROM (SELECT doc_id, w, lim, unnest(range(1, len(w) - lim + 2)) AS i FROM b WHERE NOT failed AND n3 >= lim)) GROUP BY doc_id HAVING count(DISTINCT key) < count(*))
 SELECT b.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n3 AS n_repeat_words, failed AS base_failed, NOT failed AND n13 <= 0.4::DOUBLE * len(w) AND z.doc_id IS NULL AS kept, n13 AS n_covered FROM b LEFT JOIN z ON z.doc_id = b.doc_id""",
+    "op11_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT doc_id, t, n, form, CASE WHEN a > 0 THEN array_to_string(u[1:a], '') ELSE '' END AS pre, CASE WHEN b > a THEN array_to_string(u[a + 1:b], '') ELSE '' END AS mid, CASE WHEN n > b THEN array_to_string(u[b + 1:n], '') ELSE '' END AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
