@@ -82,7 +82,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(op.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree, op11_fill_in_middle)}
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import max_sketch as op
+
+    return op.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree, op11_fill_in_middle, op12_max_sketch)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,4 +131,9 @@ g AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(4), lambda k: CAST(
 c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
 p AS (SELECT doc_id, t, n, form, CASE WHEN a > 0 THEN array_to_string(u[1:a], '') ELSE '' END AS pre, CASE WHEN b > a THEN array_to_string(u[a + 1:b], '') ELSE '' END AS mid, CASE WHEN n > b THEN array_to_string(u[b + 1:n], '') ELSE '' END AS suf FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_max_sketch": rf"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents), s AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM t WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark), q AS (SELECT b, term, count(*) AS times FROM (SELECT b, unnest(w) AS term FROM b) GROUP BY ALL),
+f AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL), g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s GROUP BY term, nn),
+i AS (SELECT f.k, f.term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * len(t.w) * nn) // l))) AS impact FROM f JOIN t ON t.k = f.k, s), c AS (SELECT q.b, i.k, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM q JOIN g ON g.term = q.term JOIN i ON i.term = q.term GROUP BY ALL),
+r AS (SELECT b, k, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c JOIN t USING (k) WHERE score > 0) SELECT item_id, CAST(rank AS INTEGER) AS rank, t.doc_id, score FROM r JOIN b USING (b) JOIN t ON t.k = r.k WHERE rank <= 10""",
 }
