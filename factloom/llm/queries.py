@@ -88,7 +88,13 @@ def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree, op11_fill_in_middle, op12_max_sketch)}
+def op13_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import additive as op
+
+    return op.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_ledger, op3_toxicity_chain, op4_jaccard_join, op5_recompression, op6_suffix_blocks, op7_decontaminate, op8_repetition_rules, op9_training_order, op10_html_tree, op11_fill_in_middle, op12_max_sketch, op13_additive_quality)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
