@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles; a longer single text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -180,13 +181,12 @@ def cut(df: DataFrame) -> DataFrame:
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the actions inside, where rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(ROWS_PER_BATCH)
+    spark.conf.set(ROWS_PER_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(ROWS_PER_BATCH, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -199,12 +199,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(text: str = "text"):
+    """A 64-bit name of a row from its doc_id and text; a null doc_id is left out."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, find) -> DataFrame:
+    """The rows of ``docs`` that ``find`` doesn't name, all columns kept.
+
+    ``find`` gets (doc_id, text) rows whose doc_id is the row's key, so rows without a doc_id and several texts of one
+    doc_id are judged each for itself; it returns rows with that doc_id.
+    """
+    named = find(docs.select(row_key().alias("doc_id"), "text")).select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(named, row_key() == named["key"], "left_anti")
+
+
 def keyed_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so extra columns (also with clashing names) never matter.
 
-    Texts are long: where the session leaves Arrow batches at Spark's 10,000 rows, they become 1,000, for bounded memory.
+    Texts are long: where nobody has set how many rows an Arrow batch holds, the session is set to 1,000, for bounded
+    memory; a number that has been set, whatever it is, stays.
     """
     conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if ROWS_PER_BATCH not in conf.getAll:
+        conf.set(ROWS_PER_BATCH, "1000")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Roller, chunks, cut, keyed_text, mix, words_of
+from factloom.llm.common import Roller, chunks, cut, keyed_text, mix, without, words_of
 
 SEED = 23
 
@@ -158,5 +158,5 @@ def _matcher(sets, size, threshold, hashes):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept. Rows without a doc_id pass."""
-    return docs.join(search(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows that hold no benchmark item, all columns kept; rows without a doc_id are searched like others."""
+    return without(docs, lambda rows: search(rows, items))

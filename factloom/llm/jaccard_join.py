@@ -390,6 +390,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents of the least doc_id in each component and those without a doc_id, all columns kept."""
-    keep = jaccard_components(docs, size, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null").select(docs.columns))
+    """The documents of the least doc_id in each component, all columns kept.
+
+    A row without a doc_id goes by a number above 2**62 made of its text, so it stays only where no document with a
+    doc_id is linked with it; of such rows with equal words one stays. Rows without words stay.
+    """
+    number = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    named = docs.select(number.alias("doc_id"), "text")
+    keep = jaccard_components(named, size, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    nameless = docs.where("doc_id is null")
+    every = docs.where("doc_id is not null").unionByName(nameless.where(worded).dropDuplicates(["text"])).unionByName(nameless.where(~worded))
+    return every.join(keep, number == keep["kept"], "left_semi")

@@ -13,12 +13,14 @@ independent of the symbols) verifies.
 The symbols are handled in ``rounds`` slices, each a pass over the texts and one shuffle whose files go before the next
 slice, which bounds the disk. A chunk of documents sends a window once, with its least doc_id; the others are settled
 where they are, so a passage in a third of all rows costs a row for each chunk. Defined cases: null or empty text has
-no words; texts under ``window`` words keep all; rows with one doc_id count as one document for "smaller doc_id";
-extra columns are ignored; empty tables give no rows.
+no words; texts under ``window`` words keep all; rows with one doc_id count as one document for "smaller doc_id", but
+each text of it has its own windows (told apart by its crc32); rows without a doc_id come before and after no other, so
+they keep all; equal rows get equal results; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import PACKED, Outbox, Roller, chunks, cut, dealt, keyed_text, mix, packed, partitions_of, release, words_of
 
-WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("at", "<u4")])
-HIT = np.dtype([("doc", "<i8"), ("at", "<u4")])
+WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("name", "<u4"), ("at", "<u4")])
+HIT = np.dtype([("doc", "<i8"), ("name", "<u4"), ("at", "<u4")])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -159,13 +161,15 @@ def slice_rows(docs: DataFrame, turn: int, rounds: int, width: int, levels: int)
             begin = start[mine]
             rows["h"] = form(ladder, rung[mine], a[mine], b[mine], begin, width, rolls[0])
             rows["check"] = span_hash(sums(words, rolls[1]), begin, begin + width, rolls[1]) >> np.uint64(32)
-            rows["doc"], rows["at"] = ids[owner[mine]], inner[mine]
+            text = data.tobytes()
+            names = np.array([zlib.crc32(text[offs[i] : offs[i + 1]]) for i in range(len(ids))], dtype=np.uint32)
+            rows["doc"], rows["name"], rows["at"] = ids[owner[mine]], names[owner[mine]], inner[mine]
             bucket = ((place[mine] // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int32)
             keep, known = settled(rows)
             yield from box.add(bucket[keep], rows[keep])
             if len(known):
                 out = np.empty(len(known), dtype=HIT)
-                out["doc"], out["at"] = rows["doc"][known], rows["at"][known]
+                out["doc"], out["name"], out["at"] = rows["doc"][known], rows["name"][known], rows["at"][known]
                 yield packed(-1 - (mix(out["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), out)
         yield from box.flush()
 
@@ -191,14 +195,14 @@ def settled(rows):
 
 
 def by_document(hits: np.ndarray):
-    """Batches (doc_id, starts): one row for each document, its starts as packed uint32."""
-    hits = hits[np.argsort(hits["doc"], kind="stable")]
-    doc, where = np.ascontiguousarray(hits["doc"]), np.ascontiguousarray(hits["at"])
-    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    """Batches (doc_id, name, starts): one row for each text of a document, its starts as packed uint32."""
+    hits = hits[np.lexsort((hits["name"], hits["doc"]))]
+    doc, name, where = (np.ascontiguousarray(hits[c]) for c in ("doc", "name", "at"))
+    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])]) if len(doc) else np.zeros(0, np.int64)
     stop = np.append(at[1:], len(doc))
     for i in range(0, len(at), 5000):
         part = range(i, min(i + 5000, len(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at[i : i + 5000]], pa.int64()), pa.array([where[at[k] : stop[k]].tobytes() for k in part], pa.binary())], ["doc_id", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at[i : i + 5000]], pa.int64()), pa.array(name[at[i : i + 5000]].astype(np.int64)), pa.array([where[at[k] : stop[k]].tobytes() for k in part], pa.binary())], ["doc_id", "name", "starts"])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -210,10 +214,10 @@ def repeated(rows: DataFrame) -> DataFrame:
         rows = np.frombuffer(b"".join(windows_), dtype=WINDOW)
         _, late = settled(rows)
         out = np.empty(len(late), dtype=HIT)
-        out["doc"], out["at"] = rows["doc"][late], rows["at"][late]
+        out["doc"], out["name"], out["at"] = rows["doc"][late], rows["name"][late], rows["at"][late]
         yield from by_document(np.concatenate([out, np.frombuffer(b"".join(known), dtype=HIT)]))
 
-    return dealt(rows).mapInArrow(run, "doc_id long, starts binary")
+    return dealt(rows).mapInArrow(run, "doc_id long, name long, starts binary")
 
 
 def dedup(docs: DataFrame, window: int = 13, rounds: int = 5, levels: int = 2) -> DataFrame:
@@ -225,7 +229,7 @@ def dedup(docs: DataFrame, window: int = 13, rounds: int = 5, levels: int = 2) -
     for turn in range(rounds):
         found.append(cut(repeated(slice_rows(keyed, turn, rounds, window, levels))))
         release(spark)
-    starts = reduce(DataFrame.union, found).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    starts = reduce(DataFrame.union, found).groupBy("doc_id", "name").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches):
         for batch in batches:
@@ -246,4 +250,4 @@ def dedup(docs: DataFrame, window: int = 13, rounds: int = 5, levels: int = 2) -
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans string, kept string")
+    return docs.withColumn("name", F.crc32("text")).join(starts, ["doc_id", "name"], "left").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans string, kept string")

@@ -109,12 +109,15 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Documents with each span (overlaps joined) replaced by ``mark``; all columns kept, n_chars follows the text."""
     findings, _ = scan(documents)
     hit = per_document(documents, findings).where(F.size("found") > 0).dropDuplicates(["doc_id", "blob"])
-    hit = hit.select(F.col("doc_id").alias("_hit_doc"), F.col("blob").alias("_hit_blob"), F.col("found").alias("_hit_spans"))
+    own = "_hit"
+    while any(c.lower().startswith(own) for c in documents.columns):  # columns of that name are the user's
+        own += "_"
+    hit = hit.select(F.col("doc_id").alias(f"{own}doc"), F.col("blob").alias(f"{own}blob"), F.col("found").alias(f"{own}spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_doc")) & (F.unhex(F.sha2(text, 256)) == F.col("_hit_blob")), "left")
+    both = documents.join(hit, F.col("doc_id").eqNullSafe(F.col(f"{own}doc")) & (F.unhex(F.sha2(text, 256)) == F.col(f"{own}blob")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     fold = F.aggregate(
-        "_hit_spans",
+        f"{own}spans",
         zero,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -122,7 +125,7 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    new = both.withColumn("text", F.when(F.col("_hit_spans").isNotNull(), fold).otherwise(F.col("text")))
+    new = both.withColumn("text", F.when(F.col(f"{own}spans").isNotNull(), fold).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         new = new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return new.select(*documents.columns)

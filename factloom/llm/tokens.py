@@ -28,7 +28,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """text -> little-endian uint32 ids as bytes (no special tokens added)."""
+    """text -> little-endian uint32 ids as bytes (no special tokens added; those that the text spells out are found, as the library does)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,7 +36,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("the vocabulary's special strings depend on what is around them")
+        # special strings are found in the raw text and cut it; what is between them is encoded apart
+        self.special = {t.content.encode(): i.to_bytes(4, "little") for i, t in added.items()}
+        self.split = regex.compile(b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))).split
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
@@ -45,6 +50,19 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
+        if not any(s in text for s in self.special):
+            return self.plain(text)
+        out, at = [], 0
+        for part in self.split(text):
+            out.append(self.plain(part))
+            at += len(part)
+            mark = next((s for s in self.special if text.startswith(s, at)), b"")
+            out.append(self.special.get(mark, b""))
+            at += len(mark)
+        return b"".join(out)
+
+    def plain(self, text: bytes) -> bytes:
+        """Ids of a text without special strings."""
         whole = text.decode("utf-8", "replace")
         if whole.isascii() or (unicodedata.is_normalized("NFC", whole) and "\u03a3" not in whole and "\u0130" not in whole):
             text = whole.lower().encode()

@@ -7,8 +7,9 @@ Adagrad), trained on a bounded sample of labelled rows (``train_rows``, chosen b
 scored, in one pass without a shuffle. The model that travels to the workers has at most 2**``bits`` weights.
 
 Defined cases: null or empty text has no features and gets the models' base probability; rows with null labels don't
-train; with no labelled rows or one class only, the category's probability is its share of ones (0.0 without rows);
-equal rows get equal scores; extra columns are ignored.
+train; of several labels of one doc_id a category's one counts; with no labelled rows or one class only, the category's probability is its share of ones (0.0 without rows);
+equal rows get equal scores, rows without a doc_id are scored and never train, several texts of a doc_id are rows each,
+within ``train_rows``; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import keyed_text
+from factloom.llm.common import keyed_text, without
 
 #: Categories in chain order: name, label column, the label's value that counts as one.
 CATEGORIES = (("junk", "quality", 0), ("toxic", "toxic", 1))
@@ -79,10 +80,9 @@ def predict(rows, ind, val, n, extra, model):
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: int = 5000, bits: int = 18, folds: int = 3, least_df: int = 4):
     """[(name, {feature: weight}, weights of earlier categories, bias)] in chain order."""
-    cols = [c for _, c, _ in categories]
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(cols)]).dropna()
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    names = [f"y{i}" for i in range(len(cols))]
+    names = [f"y{i}" for i in range(len(categories))]
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) == one).cast("int").alias(y) for y, (_, c, one) in zip(names, categories, strict=True)]).dropna()
+    chosen = chosen.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in names]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
     def run(batches):
         for batch in batches:
@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
             arrays = [pa.array(t["doc_id"], pa.int64()), pa.array([i.tobytes() for i, _ in out], pa.binary()), pa.array([v.tobytes() for _, v in out], pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(t[y], pa.int32()) for y in names)], ["doc_id", "ind", "val", *names])
 
-    got = keyed_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, ind binary, val binary, " + ", ".join(f"{y} int" for y in names)).toArrow().to_pylist()
+    got = keyed_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, ind binary, val binary, " + ", ".join(f"{y} int" for y in names))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "ind", "val").limit(train_rows).toArrow().to_pylist()  # a doc_id may have several texts
     got.sort(key=lambda r: (r["doc_id"], r["ind"]))
     n, dim = len(got), 1 << bits
     sizes = [len(r["ind"]) // 4 for r in got]
@@ -103,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     names_of, ind = np.unique(ind, return_inverse=True)
     fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % folds for r in got], dtype=int)
     extra, chain = np.zeros((n, 0)), []
-    for k, (name, _, one) in enumerate(categories):
-        y = np.array([float(r[names[k]] == one) for r in got])
+    for k, (name, _, _) in enumerate(categories):
+        y = np.array([float(r[names[k]]) for r in got])
         model = fit(rows, ind, val, y, np.ones(n, bool), extra, len(names_of))
         keep = np.flatnonzero(model[0])
         chain.append((name, dict(zip(names_of[keep].tolist(), model[0][keep].tolist(), strict=True)), model[1].tolist(), model[2]))
@@ -153,7 +154,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, **optio
     return out.withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the chain doesn't reject, all columns kept. Rows without a doc_id pass."""
-    bad = classify(docs, labels).where("toxic").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The rows that the chain doesn't reject, all columns kept; rows without a doc_id are judged like others."""
+    chain = train(docs, labels)
+    return without(docs, lambda rows: score(rows, chain).where(F.col("p_toxic") >= threshold))

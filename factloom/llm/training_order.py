@@ -5,7 +5,8 @@ keyed Feistel permutation over the number of sequences, with cycle-walking to st
 global slot; the slot alone says where a sequence lies: shard = slot // per_shard, byte = (slot % per_shard) * stride.
 Range partitions of whole shards are sorted by slot and written as fixed-stride files, so a reader goes through a
 shard sequentially and can resume at any slot by arithmetic. A shard is written under a task's own name and renamed
-when it is whole, so lost executors and repeated tasks leave complete files only.
+when it is whole, so lost executors and repeated tasks leave complete files only. A run writes to an empty folder; one
+that holds files already is refused.
 
 Between the passes sequences travel compressed. Counts per partition (not per row) come to the driver. Defined cases:
 null or empty text gives the end id alone; rows with null doc_id are kept (their tokens count); equal rows are
@@ -72,7 +73,7 @@ def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int
                 buffer += own.astype("<u2").tobytes() + end
                 at = 0
                 while len(buffer) - at >= stride:
-                    rows.append((part, number, length, None if first != first else int(first), squeeze(bytes(buffer[at : at + stride]))))
+                    rows.append((part, number, length, None if first is None else int(first), squeeze(bytes(buffer[at : at + stride]))))
                     number, at, first = number + 1, at + stride, doc
                 if at:
                     del buffer[:at]
@@ -81,7 +82,7 @@ def sequences(docs: DataFrame, length: int = 2048, end_id: int = 1, pad_id: int
                     rows = []
         if buffer:
             padded = bytes(buffer) + pad_id.to_bytes(2, "little") * (length - len(buffer) // 2)
-            rows.append((part, number, len(buffer) // 2, None if first != first else int(first), squeeze(padded)))
+            rows.append((part, number, len(buffer) // 2, None if first is None else int(first), squeeze(padded)))
         if rows:
             yield out()
 
@@ -172,6 +173,8 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 2024, len
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
+    if files.get_file_info(fs.FileSelector(root)):
+        raise FileExistsError(f"{folder} isn't empty: shards of another run would be taken for this one's")
     rows = cut(sequences(docs, length, **options))
     return cut(write_shards(slotted(rows, key, per_shard), folder, length, per_shard))
 
