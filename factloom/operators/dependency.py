@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from factloom.functions import evidence, identity
+from factloom.sources.durable import cut
 
 #: Signals that give a candidate a direction without a marker in its evidence (fixed values).
 DIRECTIONAL = ["used_by_relation", "derived_claim_relation", "action_precondition", "explicit_source_relation", "explicit_semantic_relation", "existing_semantic_relation", "causal_text_grounding"]
@@ -70,31 +72,61 @@ def competing(candidates: DataFrame) -> DataFrame:
     return candidates.select("*", F.coalesce(rank >= best, F.lit(True)).alias("kept"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, protected: DataFrame) -> DataFrame:
-    """node, depth, via, outcome of a cascade over edges (source, target, strength).
+ACTIVE = ["CURRENT", "UNCERTAIN"]
+#: So many levels are gathered before they are written as one, which keeps plans short on deep graphs.
+LEVELS = 12
 
-    Level by level from the seeds: a STRICT edge makes its target STALE and goes on from it, unless it is a protected
-    replacement with no other way down (PROTECTED, it goes no further); a WEAK edge marks its target for revalidation
-    (REVALIDATE) and never goes on. STRICT wins over WEAK. ``via`` is the least source of the first level that reached
-    the node. It ends when a level brings nothing new.
+
+def propagate(states: DataFrame, edges: DataFrame, seeds: DataFrame, protected: DataFrame) -> DataFrame:
+    """state_id, version, depth, via, root, outcome of a cascade through dependencies.
+
+    states: state_id, version (states of one version fall together), status. edges: source, target (state ids), strength;
+    seeds and protected: state_id. Level by level from the seeds' versions: a STRICT edge takes its target's version
+    along and goes on from it, also where it was no longer active. A protected version (a replacement that this
+    transaction brought) is taken only where another STRICT source supports it independently, one that is CURRENT and
+    hasn't been reached up to this level; else it stays (PROTECTED) and nothing goes on from it. A WEAK edge of a version
+    that has fallen marks its target (REVALIDATE) and never goes on; STRICT wins over WEAK. Active states (CURRENT,
+    UNCERTAIN) of a fallen version become STALE (SEED: of the seeds'), others are PASSED. ``via`` is the least source
+    version of the first level that reached a version, ``root`` the least seed version among those that did. Unknown
+    states in edges, seeds or protected are left out. It ends when a level brings nothing new: cycles end, no depth limit.
+
+    Edges are dealt by source once; a level joins its frontier with them, so it costs what it reaches.
     """
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    strict = edges.where("strength = 'STRICT'").select("source", "target").persist()
-    guard = protected.select(F.col("node").alias("target"), F.lit(True).alias("kept")).distinct()
-    done = keep(seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("via"), F.lit("SEED").alias("outcome")))
-    front = done
+    nodes = states.select("state_id", "version", "status")
+    version = lambda end: nodes.select(F.col("state_id").alias(end), F.col("version").alias(f"{end}_version"))
+    linked = edges.join(version("source"), "source").join(version("target"), "target")
+    linked = linked.where("source_version <> target_version").select(F.col("source_version").alias("from"), F.col("target_version").alias("to"), "strength", "source")
+    strict = cut(linked.where("strength = 'STRICT'").select("from", "to", "source").repartition("from"))
+    shut = cut(protected.join(nodes, "state_id").select(F.col("version").alias("to")).distinct())
+    # who else may support a protected version: its CURRENT strict sources
+    support = cut(strict.join(shut, "to").join(nodes.where("status = 'CURRENT'").select(F.col("state_id").alias("source")), "source", "left_semi").select("to", F.col("from").alias("by")).distinct())
+    one = seeds.join(nodes, "state_id").select("version").distinct()
+    kind = states.schema["version"].dataType
+    first = cut(one.select("version", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(kind).alias("via"), F.col("version").alias("root"), F.lit(True).alias("fallen")))
+    levels, front = [first], first
     for depth in count(1):
-        reached = strict.join(front.select(F.col("node").alias("source")), "source").groupBy("target").agg(F.min("source").alias("via"))
-        fresh = reached.join(done.select(F.col("node").alias("target")), "target", "left_anti").join(guard, "target", "left")
-        step = keep(fresh.select(F.col("target").alias("node"), F.lit(depth).cast("long").alias("depth"), "via", F.when(F.col("kept"), "PROTECTED").otherwise("STALE").alias("outcome")))
-        if step.isEmpty():
+        reached = strict.select("from", "to").join(front.select(F.col("version").alias("from"), "root"), "from").groupBy("to").agg(F.min("from").alias("via"), F.min("root").alias("root"))
+        for level in levels:
+            reached = reached.join(level.select(F.col("version").alias("to")), "to", "left_anti")
+        fresh = cut(reached)
+        if fresh.isEmpty():
             break
-        done = keep(done.unionByName(step))
-        front = step.where("outcome = 'STALE'")
-    fallen = done.where("outcome <> 'PROTECTED'")
-    weak = edges.where("strength = 'WEAK'").join(fallen.select(F.col("node").alias("source"), "depth"), "source")
-    flagged = weak.groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"), F.min("source").alias("via"))
-    flagged = flagged.join(done.select("node"), "node", "left_anti").withColumn("outcome", F.lit("REVALIDATE"))
-    strict.unpersist()
-    return done.unionByName(flagged.select("node", "depth", "via", "outcome"))
+        stands = support
+        for level in [*levels, fresh.withColumnRenamed("to", "version")]:
+            stands = stands.join(level.select(F.col("version").alias("by")), "by", "left_anti")
+        guarded = shut.join(stands.select("to").distinct(), "to", "left_anti").withColumn("kept", F.lit(True))
+        step = fresh.join(guarded, "to", "left").select(F.col("to").alias("version"), F.lit(depth).cast("long").alias("depth"), "via", "root", F.col("kept").isNull().alias("fallen"))
+        step = cut(step)
+        levels.append(step)
+        if len(levels) > LEVELS:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+        front = step.where("fallen")
+    done = reduce(DataFrame.unionByName, levels)
+    weak = linked.where("strength = 'WEAK'").join(done.where("fallen").select(F.col("version").alias("from"), "depth", "root"), "from")
+    weak = weak.groupBy(F.col("to").alias("version")).agg((F.min("depth") + 1).alias("depth"), F.min("from").alias("via"), F.min("root").alias("root"))
+    weak = weak.join(done.where("fallen").select("version"), "version", "left_anti")
+    active = F.col("status").isin(ACTIVE)
+    fell = F.when(~F.col("fallen"), "PROTECTED").when(~active, "PASSED").when(F.col("depth") == 0, "SEED").otherwise("STALE")
+    columns = ["state_id", "version", "depth", "via", "root"]
+    # a protected version may be marked for revalidation besides
+    return done.join(nodes, "version").select(*columns, fell.alias("outcome")).unionByName(weak.join(nodes.where(active), "version").select(*columns, F.lit("REVALIDATE").alias("outcome")))

@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.durable import cut
+
+#: So many levels are gathered before they are written as one.
+LEVELS = 12
+
 
 def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (source, target), seeds (node) -> (node, depth): least depth of everything reachable, cycles included once.
 
-    It goes on until a level brings nothing new; a graph deeper than a given ``max_depth`` is an error. Each level is an equi join of the frontier; visited nodes leave by an anti join, so cycles end. Frontiers are
-    written to the checkpoint folder where one is set, which keeps the plan short on deep graphs.
+    It goes on until a level brings nothing new; a graph deeper than a given ``max_depth`` is an error. Edges are dealt by
+    source once; each level is an equi join of the frontier with them, and nodes of earlier levels leave by anti joins, so
+    cycles end. Levels are written to the shared folder, one after another; only every so many are they put together.
     """
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.cache())
-    edges = edges.select("source", "target").persist()
-    visited = keep(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
-    frontier = visited
+    edges = cut(edges.select("source", "target").repartition("source"))
+    frontier = cut(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    levels = [frontier]
     for depth in count(1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        frontier = keep(step.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).cast("long").alias("depth")))
+        for level in levels:
+            step = step.join(level.select("node"), "node", "left_anti")
+        frontier = cut(step.select("node", F.lit(depth).cast("long").alias("depth")))
         if frontier.isEmpty():
-            edges.unpersist()
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"the graph is deeper than max_depth = {max_depth}")
-        visited = keep(visited.unionByName(frontier))
-    return visited
+        levels.append(frontier)
+        if len(levels) > LEVELS:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def protected_cascade(edges: DataFrame, seeds: DataFrame, protected: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.durable import cut
+
 
 def hint_index(index: Column, relation: Column, hints: list[str]) -> Column:
     """One more where the relation is the next hint in order."""
@@ -23,15 +25,14 @@ def goal_paths(facts: DataFrame, anchors: DataFrame, goal: str, hints: list[str]
     hops, then the lesser state ids. A hop's rows are the paths there are, so a subject with many objects costs as many.
     """
     hints = hints or []
-    # a hop is read for its goals and for the next hop; a checkpoint, where a folder is set, cuts the lineage too
-    keep = (lambda d: d.checkpoint()) if facts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
+    # a hop is read for its goals and for the next hop
     step = facts.select(F.col("subject").alias("at"), "relation", "object", "state_id", F.col("score").alias("gain"))
     none = F.array().cast("array<string>")
     front = anchors.select("anchor", F.col("anchor").alias("at"), none.alias("path"), F.array("anchor").alias("seen"), F.lit(0).alias("n_hints"), F.lit(0.0).alias("score"))
     found = None
     for hop in range(1, max_hops + 1):
         walked = front.join(step, "at").where(~F.array_contains("path", F.col("state_id")))
-        walked = keep(walked.select("anchor", F.col("object").alias("at"), "relation", F.concat("path", F.array("state_id")).alias("path"), "seen", hint_index(F.col("n_hints"), F.col("relation"), hints).alias("n_hints"), (F.col("score") + F.col("gain")).alias("score")))
+        walked = cut(walked.select("anchor", F.col("object").alias("at"), "relation", F.concat("path", F.array("state_id")).alias("path"), "seen", hint_index(F.col("n_hints"), F.col("relation"), hints).alias("n_hints"), (F.col("score") + F.col("gain")).alias("score")))
         done = walked.where(F.col("relation") == goal).select("anchor", "path", F.col("at").alias("target"), F.lit(hop).alias("hops"), "n_hints", "score")
         found = done if found is None else found.unionByName(done)
         front = walked.where((F.col("relation") != goal) & ~F.array_contains("seen", F.col("at"))).select("anchor", "at", "path", F.concat("seen", F.array("at")).alias("seen"), "n_hints", "score")

@@ -160,20 +160,33 @@ def guard_matrix(spark, d):
     return S.read(spark, d, "lineitem").groupBy(strength.alias("strength"), F.coalesce(cf.cast("string"), F.lit("null")).alias("counterfactual"), valid.alias("valid")).agg(F.count("*").alias("n"))
 
 
-PROP = """ed AS (SELECT DISTINCT 1000000000 + c_custkey AS source, o_orderkey AS target, 'STRICT' AS strength FROM customer JOIN orders ON c_custkey = o_custkey UNION ALL SELECT DISTINCT l_orderkey, 2000000000 + l_partkey, CASE WHEN l_linenumber = 1 THEN 'STRICT' ELSE 'WEAK' END FROM lineitem),
-se AS (SELECT 1000000000 + c_custkey AS node FROM customer WHERE c_acctbal < 0), pr AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT'),
-r AS (SELECT node, 0 AS depth, CAST(NULL AS BIGINT) AS via FROM se UNION ALL SELECT ed.target, depth + 1, ed.source FROM r JOIN ed ON r.node = ed.source AND ed.strength = 'STRICT' WHERE r.node NOT IN (SELECT node FROM pr)),
-dn AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth, min(via) AS via, CASE WHEN min(depth) = 0 THEN 'SEED' WHEN node IN (SELECT node FROM pr) THEN 'PROTECTED' ELSE 'STALE' END AS outcome FROM r GROUP BY node),
-wk AS (SELECT ed.target AS node, min(depth) + 1 AS depth, min(ed.source) AS via, 'REVALIDATE' AS outcome FROM ed JOIN dn ON dn.node = ed.source AND dn.outcome <> 'PROTECTED' WHERE ed.strength = 'WEAK' AND ed.target NOT IN (SELECT node FROM dn) GROUP BY 1)"""
-
-
-@query(f"WITH RECURSIVE {PROP} SELECT * FROM dn UNION ALL SELECT * FROM wk")
+PROP = """st AS (SELECT 1000000000 + c_custkey AS state_id, 1000000000 + c_custkey AS version, 'CURRENT' AS status FROM customer UNION ALL SELECT o_orderkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'HISTORICAL' WHEN o_orderstatus = 'P' THEN 'UNCERTAIN' ELSE 'CURRENT' END FROM orders
+UNION ALL SELECT 2000000000 + p_partkey, 2000000000 + p_partkey - p_partkey % 2, 'CURRENT' FROM part UNION ALL SELECT 3000000000 + s_suppkey, 3000000000 + s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'CURRENT' ELSE 'STALE' END FROM supplier),
+ex AS (SELECT 1000000000 + c_custkey AS source, o_orderkey AS target, 'STRICT' AS strength FROM customer JOIN orders ON c_custkey = o_custkey UNION ALL SELECT l_orderkey, 2000000000 + l_partkey, CASE WHEN l_linenumber = 1 THEN 'STRICT' ELSE 'WEAK' END FROM lineitem UNION ALL SELECT 3000000000 + l_suppkey, l_orderkey, 'STRICT' FROM lineitem WHERE l_linenumber = 2),
+ed AS (SELECT DISTINCT a.version AS source, b.version AS target, strength FROM ex JOIN st a ON a.state_id = source JOIN st b ON b.state_id = target),
+su AS (SELECT ed.target AS node FROM ed JOIN st ON st.version = ed.source WHERE ed.strength = 'STRICT' AND st.status = 'CURRENT' AND ed.source >= 3000000000),
+pr AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT node FROM su)),
+r AS (SELECT 1000000000 + c_custkey AS node, 0 AS depth, CAST(NULL AS BIGINT) AS via, 1000000000 + c_custkey AS root FROM customer WHERE c_acctbal < 0 UNION ALL SELECT ed.target, depth + 1, ed.source, root FROM r JOIN ed ON r.node = ed.source AND ed.strength = 'STRICT' WHERE r.node NOT IN (SELECT node FROM pr)),
+dn AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth, min(via) AS via, min(root) AS root, node NOT IN (SELECT node FROM pr) AS fallen FROM r GROUP BY node),
+wk AS (SELECT ed.target AS node, min(depth) + 1 AS depth, min(ed.source) AS via, min(root) AS root FROM ed JOIN dn ON dn.node = ed.source AND dn.fallen WHERE ed.strength = 'WEAK' AND ed.target NOT IN (SELECT node FROM dn WHERE fallen) GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {PROP} SELECT state_id, version, depth, via, root, CASE WHEN NOT fallen THEN 'PROTECTED' WHEN status NOT IN ('CURRENT', 'UNCERTAIN') THEN 'PASSED' WHEN depth = 0 THEN 'SEED' ELSE 'STALE' END AS outcome FROM dn JOIN st ON st.version = dn.node
+UNION ALL SELECT state_id, version, depth, via, root, 'REVALIDATE' FROM wk JOIN st ON st.version = wk.node WHERE status IN ('CURRENT', 'UNCERTAIN')""")
 def cascade_propagate(spark, d):
-    """Customers in debt take their orders with them, orders their first part; other parts are to be revalidated; urgent orders are protected."""
-    o, li, c = (S.read(spark, d, t) for t in ("orders", "lineitem", "customer"))
-    a = o.join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select((F.col("o_custkey") + 1000000000).alias("source"), F.col("o_orderkey").alias("target"), F.lit("STRICT").alias("strength"))
-    b = li.select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 2000000000).alias("target"), F.when(F.col("l_linenumber") == 1, "STRICT").otherwise("WEAK").alias("strength")).distinct()
-    return dependency.propagate(a.unionByName(b), c.where("c_acctbal < 0").select((F.col("c_custkey") + 1000000000).alias("node")), o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node")))
+    """Customers in debt take their orders with them, orders their first part, in whatever of its two states; other parts are to be revalidated; urgent orders are protected where no sound supplier supports them. Finished orders pass it on without falling."""
+    o, li, c, p, s = (S.read(spark, d, t) for t in ("orders", "lineitem", "customer", "part", "supplier"))
+    key = lambda name, base: F.col(name) + base
+    state = lambda t, i, status, version=None: t.select(i.alias("state_id"), (i if version is None else version).alias("version"), status.alias("status"))
+    closed = F.when(F.col("o_orderstatus") == "F", "HISTORICAL").when(F.col("o_orderstatus") == "P", "UNCERTAIN").otherwise("CURRENT")
+    states = state(c, key("c_custkey", 1_000_000_000), F.lit("CURRENT")).union(state(o, F.col("o_orderkey"), closed))
+    states = states.union(state(p, key("p_partkey", 2_000_000_000), F.lit("CURRENT"), key("p_partkey", 2_000_000_000) - F.col("p_partkey") % 2))
+    states = states.union(state(s, key("s_suppkey", 3_000_000_000), F.when(F.col("s_acctbal") > 5000, "CURRENT").otherwise("STALE")))
+    edge = lambda t, a, b, strength: t.select(a.alias("source"), b.alias("target"), strength.alias("strength"))
+    edges = edge(o, key("o_custkey", 1_000_000_000), F.col("o_orderkey"), F.lit("STRICT"))
+    edges = edges.union(edge(li, F.col("l_orderkey"), key("l_partkey", 2_000_000_000), F.when(F.col("l_linenumber") == 1, "STRICT").otherwise("WEAK")))
+    edges = edges.union(edge(li.where("l_linenumber = 2"), key("l_suppkey", 3_000_000_000), F.col("l_orderkey"), F.lit("STRICT")))
+    return dependency.propagate(states, edges, c.where("c_acctbal < 0").select(key("c_custkey", 1_000_000_000).alias("state_id")), o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("state_id")))
 
 
 @query("WITH RECURSIVE e AS (SELECT ps.c AS source, ps.s AS target FROM (SELECT DISTINCT 'n' || c_nationkey AS c, 'c' || c_custkey AS s FROM customer UNION SELECT DISTINCT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) ps), u AS (SELECT source, target FROM e UNION SELECT target, source FROM e), r AS (SELECT 'c1' AS node UNION SELECT u.target FROM r JOIN u ON r.node = u.source) SELECT node FROM r")
