@@ -16,6 +16,8 @@ NEGATIVE = "not no never cannot unable unavailable invalidated cancelled cancele
 INDEPENDENT = r"\b(?:unrelated|independent|separately|separate)\b"
 CONTINUITY = "still remain remains continue continues yet anymore".split()
 MARKER = r"\b(?:because|requires?|only\s+(?:if|when)|provided\s+that|after|without|unless|derived\s+from|computed\s+from|calculated\s+from|inferred\s+from|summar(?:y|ized)\s+from|based\s+on|depends?\s+on|relies?\s+on|necessary\s+for)\b"
+PROVENANCE = r"\b(?:because|due\s+to|requires?|is\s+required\s+for|depends?\s+on|relies?\s+on|only\s+(?:if|when|while)|provided\s+that|unless|without|derived\s+from|computed\s+from|calculated\s+from|inferred\s+from|based\s+on|causes?|leads?\s+to|enables?|may\s+affect|might\s+affect|could\s+affect|affects?|results?\s+in|necessary\s+for|prerequisite\s+for)\b"
+CAUSAL_CLAUSE = r"\b(?:because|requires?|only\s+(?:if|when)|provided\s+that|after)\b"
 DERIVATION = r"\b(?:derived\s+from|computed\s+from|calculated\s+from|inferred\s+from|summar(?:y|ized)\s+from|based\s+on)\b"
 ACTION_CUE = r"\b(?:action|plan|schedule|scheduled|execute|execution|proceed|deploy|reserve|reserved|book|arrange|arranged)\b"
 PRECONDITION = r"\b(?:requires?|without|unless|must|only\s+(?:if|when))\b"

@@ -96,7 +96,8 @@ def propagate(states: DataFrame, edges: DataFrame, seeds: DataFrame, protected:
     version = lambda end: nodes.select(F.col("state_id").alias(end), F.col("version").alias(f"{end}_version"))
     linked = edges.join(version("source"), "source").join(version("target"), "target")
     linked = linked.where("source_version <> target_version").select(F.col("source_version").alias("from"), F.col("target_version").alias("to"), "strength", "source")
-    strict = cut(linked.where("strength = 'STRICT'").select("from", "to", "source").repartition("from"))
+    linked = cut(linked.repartition("from"))
+    strict = linked.where("strength = 'STRICT'").select("from", "to", "source")
     shut = cut(protected.join(nodes, "state_id").select(F.col("version").alias("to")).distinct())
     # who else may support a protected version: its CURRENT strict sources
     support = cut(strict.join(shut, "to").join(nodes.where("status = 'CURRENT'").select(F.col("state_id").alias("source")), "source", "left_semi").select("to", F.col("from").alias("by")).distinct())
@@ -104,7 +105,7 @@ def propagate(states: DataFrame, edges: DataFrame, seeds: DataFrame, protected:
     kind = states.schema["version"].dataType
     first = cut(one.select("version", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(kind).alias("via"), F.col("version").alias("root"), F.lit(True).alias("fallen")))
     levels, front = [first], first
-    for depth in count(1):
+    for depth in count(1) if not strict.isEmpty() else ():
         reached = strict.select("from", "to").join(front.select(F.col("version").alias("from"), "root"), "from").groupBy("to").agg(F.min("from").alias("via"), F.min("root").alias("root"))
         for level in levels:
             reached = reached.join(level.select(F.col("version").alias("to")), "to", "left_anti")

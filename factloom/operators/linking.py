@@ -18,18 +18,21 @@ def pool(pairs: DataFrame, limit: int = POOL) -> DataFrame:
     """The best ``limit`` old states of each new one, from pairs of one subject (columns as in ``conflict``).
 
     A pair that isn't the same slot, and isn't a grounded negation of a direct statement with a time in common, stays
-    with score 0: it is seen, but decides nothing.
+    with score 0: it is seen, but decides nothing. Where pairs have a column ``named`` (an effect or a conflict of the
+    new state names the old one), such a pair counts too, also of another subject.
     """
     n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
     slot = conflict.same_slot()
+    named = F.coalesce("named", F.lit(False)) if "named" in pairs.columns else F.lit(False)
+    subject = identity.norm(n("entity").cast("string")) == identity.norm(o("entity").cast("string"))
     direct = evidence.directness(o("span"), o("entity").cast("string"))
     apart = evidence.has(F.coalesce(o("span"), F.lit("")), evidence.INDEPENDENT)
     times = evidence.temporal_overlap(n("span"), o("span"))
-    crossed = ~slot & evidence.negative(n("attribute"), n("value").cast("string"), n("span")) & (direct > 0) & ~apart & (times > 0)
+    crossed = subject & ~slot & evidence.negative(n("attribute"), n("value").cast("string"), n("span")) & (direct > 0) & ~apart & (times > 0)
     shared = evidence.overlap(n("span"), o("span"), n("entity").cast("string"), o("entity").cast("string"))
     yes = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
     score = (
-        F.lit(2.0)
+        yes(subject, 2.0)
         + yes(crossed, 0.75)
         + yes(identity.attributes_compatible(n("attribute"), o("attribute")), 1.0)
         + yes(scope.overlaps(n("t0"), n("t1"), o("t0"), o("t1")), 0.5)
@@ -39,7 +42,7 @@ def pool(pairs: DataFrame, limit: int = POOL) -> DataFrame:
         + direct
         - yes(apart, 2.0)
     )
-    scored = pairs.select("n_state_id", "o_state_id", (slot | crossed).alias("eligible"), F.when(slot | crossed, score).otherwise(0.0).alias("score"))
+    scored = pairs.select("n_state_id", "o_state_id", (slot | crossed | named).alias("eligible"), F.when(slot | crossed | named, score).otherwise(0.0).alias("score"))
     rank = W.partitionBy("n_state_id").orderBy(F.desc("score"), "o_state_id")
     ranked = scored.select("*", F.row_number().over(rank).cast("long").alias("pool_rank"), F.lead("score").over(rank).alias("next"))
     decisive = (F.col("pool_rank") == 1) & F.col("eligible") & (F.col("score") - F.coalesce("next", F.col("score") - LEAD) >= LEAD)

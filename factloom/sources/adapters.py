@@ -63,6 +63,27 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("observation_index"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as observations with candidates (see ``operators.ingest``), read off their sentences of three words and more.
+
+    The subject and the field follow from the lengths of the first word and of the sentence, the value is its last word;
+    field f1 rests on f0 of its subject, sentences of 7k words end the subject's f2.
+    """
+    from factloom.operators.ingest import DEPENDENCY, SELECTOR
+
+    c = read(spark, sf_dir, "conversations")
+    base = c.select(F.col("conv_id").cast("string").alias("group_id"), F.concat_ws("-", "conv_id", "turn").alias("observation_id"), F.col("turn").alias("observation_index"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("turn").cast("int"))).alias("observed_at"), F.coalesce("text", F.lit("")).alias("text"))
+    s = base.select("*", F.posexplode(F.filter(F.split("text", r"[.!?\n]+"), lambda x: F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))) >= 3)).alias("sequence_index", "span"))
+    w = F.regexp_extract_all("span", F.lit(r"\S+"), F.lit(0))
+    s = s.select("*", F.size(w).alias("n"), F.length(w[0]).alias("first"), F.lower(F.element_at(w, -1)).alias("value"))
+    who, none = F.concat(F.lit("s"), (F.col("first") % 3).cast("string")), F.lit(None).cast("string")
+    named = lambda field, *more: F.array(F.struct(who.alias("entity"), F.lit(field).alias("attribute"), none.alias("value"), *more))
+    s = s.select("group_id", "observation_id", F.col("sequence_index").cast("long").alias("sequence_index"), who.alias("entity"), F.concat(F.lit("f"), (F.col("n") % 4).cast("string")).alias("attribute"), "value", ((F.col("n") % 10) / 10).alias("confidence"), F.trim("span").alias("span"), F.when(F.col("n") % 7 == 0, named("f2")).cast(f"array<{SELECTOR}>").alias("effects"), F.when(F.col("n") % 4 == 1, named("f0", F.lit("STRICT").alias("strength"))).cast(f"array<{DEPENDENCY}>").alias("depends"))
+    out = base.join(s, ["group_id", "observation_id"], "left")
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    return out.select("group_id", "observation_id", "observation_index", "observed_at", "text", "sequence_index", "entity", "attribute", "value", null("t0", "timestamp_ntz"), null("t1", "timestamp_ntz"), null("cond", "array<struct<key:string,value:string>>"), "confidence", "span", "effects", null("conflicts", f"array<{SELECTOR}>"), "depends")
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, relation, object) facts of the star schema's geography."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
