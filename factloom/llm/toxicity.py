@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import keyed_text, without
@@ -83,6 +83,10 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     names = [f"y{i}" for i in range(len(categories))]
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) == one).cast("int").alias(y) for y, (_, c, one) in zip(names, categories, strict=True)]).dropna()
     chosen = chosen.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in names]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # a doc_id may have several texts: ids are taken in the same order while their rows fit, told by the ids alone
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most train_rows rows
+    chosen = texts.withColumn("n", so_far).where(F.col("n") <= train_rows).drop("n")
 
     def run(batches):
         for batch in batches:
@@ -91,21 +95,22 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
             arrays = [pa.array(t["doc_id"], pa.int64()), pa.array([i.tobytes() for i, _ in out], pa.binary()), pa.array([v.tobytes() for _, v in out], pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(t[y], pa.int32()) for y in names)], ["doc_id", "ind", "val", *names])
 
-    got = keyed_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, ind binary, val binary, " + ", ".join(f"{y} int" for y in names))
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "ind", "val").limit(train_rows).toArrow().to_pylist()  # a doc_id may have several texts
+    got = keyed_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, ind binary, val binary, " + ", ".join(f"{y} int" for y in names)).toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["ind"]))
     n, dim = len(got), 1 << bits
     sizes = [len(r["ind"]) // 4 for r in got]
     rows = np.repeat(np.arange(n), sizes)
     ind = np.frombuffer(b"".join(r["ind"] for r in got), np.int32)
     val = np.frombuffer(b"".join(r["val"] for r in got), np.float64)
+    fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % folds for r in got], dtype=int)
+    truth = np.array([[float(r[y]) for y in names] for r in got]).reshape(n, len(names))
+    del got
     common = np.bincount(ind, minlength=dim) >= least_df
     rows, ind, val = rows[common[ind]], ind[common[ind]], val[common[ind]]
     names_of, ind = np.unique(ind, return_inverse=True)
-    fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % folds for r in got], dtype=int)
     extra, chain = np.zeros((n, 0)), []
     for k, (name, _, _) in enumerate(categories):
-        y = np.array([float(r[names[k]]) for r in got])
+        y = truth[:, k]
         model = fit(rows, ind, val, y, np.ones(n, bool), extra, len(names_of))
         keep = np.flatnonzero(model[0])
         chain.append((name, dict(zip(names_of[keep].tolist(), model[0][keep].tolist(), strict=True)), model[1].tolist(), model[2]))
