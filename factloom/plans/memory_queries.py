@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from factloom.operators import ingest
+from factloom.operators import discovery, filling, ingest, intervals, selectors, spans
 from factloom.plans.catalogue import query
+from factloom.plans.state_queries import FS
 from factloom.sources import adapters as S
 from factloom.sources.durable import shared_folder
 from factloom.sources.store import Store
@@ -19,3 +21,115 @@ def ingest_fold(spark, d):
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     ingest.ingest(store, S.candidates(spark, d), "conversations")
     return store.table("states").select("group_id", "state_id", "entity", "attribute", "value", "status", "uncertainty", "observation_index", "sequence_index", F.size("evidence_ids").cast("long").alias("n_evidence"), "revalidate")
+
+
+#: current states: the last of each slot, in groups of users; a fifth of all events share an evidence id by fives
+CURRENT = f"""{FS}, cu AS (SELECT 'g' || entity % 10 AS group_id, * FROM (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY observed_at DESC, state_id DESC) AS r FROM fs) WHERE r = 1)"""
+
+
+def current_states(spark, d):
+    s = S.full_states(spark, d)
+    last = F.row_number().over(W.partitionBy("entity", "attribute").orderBy(F.desc("observed_at"), F.desc("state_id")))
+    s = s.withColumn("_r", last).where("_r = 1").drop("_r")
+    return s.withColumn("group_id", F.concat(F.lit("g"), (F.col("entity") % 10).cast("string")))
+
+
+@query(f"""WITH {CURRENT}, nw AS (SELECT * FROM cu WHERE k % 7 = 1 OR attribute = 'signup'),
+a AS (SELECT n.group_id, o.state_id AS prerequisite, n.state_id AS dependent, ['explicit_semantic_relation', 'used_by_relation'] AS s, 0 AS o, 'stated' AS reason FROM nw n JOIN cu o ON o.entity = n.entity AND o.attribute = 'purchase' WHERE n.attribute = 'signup'),
+b AS (SELECT n.group_id, o.state_id, n.state_id, ['causal_text_grounding', 'explicit_source_relation'], 1, n.span FROM nw n JOIN cu o ON o.group_id = n.group_id AND o.state_id <> n.state_id AND list_contains(regexp_extract_all(n.span, '[\\p{{L}}\\p{{N}}_]+'), CAST(o.entity AS VARCHAR)) WHERE n.k % 7 = 1),
+c AS (SELECT n.group_id, o.state_id, n.state_id, ['execution_provenance'], 2, 'shared evidence' FROM nw n JOIN cu o ON o.group_id = n.group_id AND o.state_id <> n.state_id AND o.state_id // 5 = n.state_id // 5)
+SELECT group_id, prerequisite, dependent, array_to_string(list_sort(list_distinct(flatten(list(s)))), ',') AS signals, arg_min(reason, o) AS reason FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY ALL""")
+def dependency_candidates(spark, d):
+    """Who may depend on whom among the current states: signups rest on purchases, causal clauses name users, neighbours share evidence."""
+    s = current_states(spark, d)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    selector = F.struct(F.col("entity").cast("string").alias("entity"), F.lit("purchase").alias("attribute"), F.lit(None).cast("string").alias("value"), F.lit("depends-on").alias("relation_type"))
+    none = F.array().cast("array<struct<entity:string,attribute:string,value:string,relation_type:string>>")
+    s = s.select("group_id", "state_id", text("entity"), "attribute", text("value"), F.lit("CURRENT").alias("status"), "span", F.array(F.floor(F.col("state_id") / 5).cast("string")).alias("evidence_ids"), F.when(F.col("attribute") == "signup", F.array(selector)).otherwise(none).alias("depends"), "observation_index", "sequence_index", "k")
+    got = discovery.candidates(s.where("k % 7 = 1 or attribute = 'signup'"), s)
+    return got.select("group_id", "prerequisite", "dependent", F.array_join("signals", ",").alias("signals"), "reason")
+
+
+@query()
+def ranked_fill(spark, d):
+    """For each nation the ten customers, orders and parts of orders that a question about its richest covers; a fill in order of choices, tested against a plain walk."""
+    c, o, li = (S.read(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    tag = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    mine = c.select(F.col("c_nationkey").alias("question_id"), "c_custkey", F.col("c_acctbal").alias("score"))
+    people = mine.select("question_id", tag("c", "c_custkey").alias("state_id"), "score", F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1).alias("intent"))
+    orders = mine.join(o, F.col("c_custkey") == F.col("o_custkey")).select("question_id", "o_orderkey", tag("o", "o_orderkey").alias("state_id"), (F.col("o_totalprice") / 1e6).alias("score"))
+    lines = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("question_id", F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("state_id"), (F.col("l_extendedprice") / 1e7).alias("score"))
+    states = people.select("question_id", "state_id", "score").unionByName(orders.select("question_id", "state_id", "score")).unionByName(lines)
+    cover = filling.coverage(people.where("score > 0").select("question_id", "state_id", "intent", F.col("score").alias("overlap")))
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "state_id"))
+    ranked = states.withColumn("rank", place).join(cover, ["question_id", "state_id"], "left").withColumn("relevant", F.col("score") > 0).withColumn("provenance", F.lit(False))
+    edges = o.select(tag("c", "o_custkey").alias("source"), tag("o", "o_orderkey").alias("target"), F.lit("depends-on").alias("relation_type")).unionByName(li.select(tag("o", "l_orderkey").alias("source"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("target"), F.lit("derived-from").alias("relation_type")))
+    return filling.fill(ranked, edges)
+
+
+@query(f"""WITH {FS}, s AS (SELECT *, CASE WHEN t0 = observed_at THEN NULL ELSE t0 END AS a, t1 AS b, observed_at - to_hours(3) AS c0 FROM fs), x AS (SELECT state_id, entity, attribute, value, c0 AS t0, coalesce(t1, observed_at + to_hours(12)) AS t1, cond FROM s)
+SELECT n.state_id, n.entity, n.attribute FROM x n WHERE EXISTS (SELECT 1 FROM x o WHERE o.entity = n.entity AND o.attribute = n.attribute AND o.value = n.value AND o.state_id <> n.state_id AND o.t0 < n.t1 AND n.t0 < o.t1 AND (o.t0 < n.t0 OR (o.t0 = n.t0 AND (o.t1 < n.t1 OR (o.t1 = n.t1 AND o.state_id < n.state_id)))) AND len(list_filter(n.cond, lambda a: len(list_filter(o.cond, lambda b: a.key = b.key AND a.value <> b.value)) > 0)) = 0)""")
+def active_slot_overlaps(spark, d):
+    """States that say the same as an earlier one of their slot, at times and under conditions that meet: what must not be active twice."""
+    s = S.full_states(spark, d)
+    hours = lambda n: F.make_dt_interval(hours=F.lit(n))
+    s = s.select("entity", "attribute", "value", F.col("state_id").alias("id"), (F.col("observed_at") - hours(3)).alias("t0"), F.coalesce("t1", F.col("observed_at") + hours(12)).alias("t1"), "cond")
+    return intervals.overlapping(s, ["entity", "attribute", "value"]).select(F.col("id").alias("state_id"), "entity", "attribute")
+
+
+SENTENCES = r"""sp AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s)[^.!?。！？]+[.!?。！？]*|[.!?。！？]+') AS p FROM conversations), su AS (SELECT conv_id, turn, t, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM sp),
+sq AS (SELECT conv_id, turn, t, piece, i, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM su),
+se AS (SELECT conv_id, turn, t, e - length(piece) AS start, e AS "end", row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS sentence FROM sq WHERE regexp_matches(regexp_replace(piece, '[.!?。！？]+$', ''), '\S'))"""
+
+
+@query(f"""WITH {SENTENCES}, c AS (SELECT conv_id, turn, start + 2 AS a, "end" AS b FROM se WHERE sentence % 3 = 0 UNION ALL SELECT conv_id, turn, start, start + 40 FROM se WHERE sentence % 5 = 1), w AS (SELECT conv_id, turn, length(t) AS n FROM sp),
+k AS (SELECT conv_id, turn, greatest(a, 0) AS a, least(b, n) AS b FROM c JOIN w USING (conv_id, turn)), g AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY conv_id, turn ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS o FROM k WHERE b > a),
+i AS (SELECT conv_id, turn, min(a) AS a, max(b) AS b FROM (SELECT *, sum(CAST(o AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM g) GROUP BY conv_id, turn, isl), e AS (SELECT conv_id, turn, a, b FROM i UNION ALL SELECT conv_id, turn, n, n FROM w),
+r AS (SELECT conv_id, turn, coalesce(lag(b) OVER (PARTITION BY conv_id, turn ORDER BY a, b), 0) AS start, a AS "end" FROM e) SELECT conv_id, turn, start, "end" FROM r WHERE "end" > start""")
+def uncovered_ranges(spark, d):
+    """What the spans of candidates (every third sentence, and the head of some others) leave of each turn: the targets of a recovery pass."""
+    t = S.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    s = spans.sentences(t, ["conv_id", "turn"])
+    covered = s.where("sentence % 3 = 0").select("conv_id", "turn", (F.col("start") + 2).alias("start"), "end").unionByName(s.where("sentence % 5 = 1").select("conv_id", "turn", "start", (F.col("start") + 40).alias("end")))
+    return intervals.gaps(covered, t.select("conv_id", "turn", F.length("text").cast("long").alias("length")), ["conv_id", "turn"])
+
+
+@query(f"""WITH {SENTENCES}, ch AS (SELECT conv_id, turn, unnest(range(0, greatest(length(t), 1), 300)) AS a, length(t) AS n FROM sp), c AS (SELECT conv_id, turn, a // 300 AS chunk_id, a AS c0, least(a + 400, n) AS c1 FROM ch),
+m AS (SELECT se.conv_id, se.turn, sentence, c.chunk_id, c.c0, c.c0 <= start AND "end" <= c.c1 AS holds, least("end", c.c1) - greatest(start, c.c0) AS shared FROM se JOIN c ON c.conv_id = se.conv_id AND c.turn = se.turn AND c.c0 < "end" AND start < c.c1),
+b AS (SELECT conv_id, turn, sentence, arg_min(chunk_id, (NOT holds, CASE WHEN holds THEN 0 ELSE -shared END, c0, chunk_id)) AS chunk_id, count(*) FILTER (holds) AS n_chunks FROM m GROUP BY ALL)
+SELECT conv_id, turn, sentence AS range_id, chunk_id, n_chunks, CASE WHEN n_chunks = 1 THEN 'CONTAINED' WHEN n_chunks > 1 THEN 'FIRST' ELSE 'OVERLAP' END AS how FROM b""")
+def fact_chunks(spark, d):
+    """The chunk (400 characters every 300) that holds each sentence of a turn."""
+    t = S.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = spans.sentences(t, ["conv_id", "turn"]).withColumnRenamed("sentence", "range_id")
+    n = F.length("text")
+    cuts = t.select("conv_id", "turn", n.cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(300))).alias("chunk_start"))
+    cuts = cuts.select("conv_id", "turn", F.floor(F.col("chunk_start") / 300).cast("long").alias("chunk_id"), F.col("chunk_start").cast("long").alias("chunk_start"), F.least(F.col("chunk_start") + 400, F.col("n")).alias("chunk_end"))
+    return intervals.containing(ranges, cuts, ["conv_id", "turn"], 300).select("conv_id", "turn", "range_id", "chunk_id", "n_chunks", "how")
+
+
+@query(f"""WITH {SENTENCES}, q AS (SELECT conv_id, turn, sentence, t, trim(t[start + 1:"end"], ' ' || chr(9) || chr(10) || chr(13)) AS q FROM se), n AS (SELECT *, len(string_split(t, q)) - 1 AS n FROM q)
+SELECT conv_id, turn, sentence AS quote_id, CASE WHEN n = 1 THEN strpos(t, q) - 1 END AS start, CASE WHEN n = 1 THEN strpos(t, q) - 1 + length(q) END AS "end", n AS n_found, CASE WHEN n = 1 THEN 'EXACT' ELSE 'AMBIGUOUS' END AS how FROM n""")
+def quote_spans(spark, d):
+    """Where each sentence of a turn stands in it, found again from its words."""
+    t = S.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    s = spans.sentences(t, ["conv_id", "turn"]).join(t, ["conv_id", "turn"])
+    said = F.regexp_replace(F.expr("substring(text, cast(start as int) + 1, cast(end - start as int))"), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return spans.located(t, s.select("conv_id", "turn", F.col("sentence").alias("quote_id"), said.alias("quote"), F.lit(None).cast("long").alias("hint")), ["conv_id", "turn"])
+
+
+@query()
+def boundary_chunks(spark, d):
+    """Chunks of at most 1,200 characters of all documents, cut at lines, sentences or white space, sharing 120 (an ordered fold: tested against a plain one)."""
+    return spans.chunks(S.read(spark, d, "documents"), ["doc_id"], 1200, 120)
+
+
+@query(f"""WITH {CURRENT}, s AS (SELECT o_orderkey AS n, 'g' || o_custkey % 10 AS group_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS e, CASE WHEN o_orderkey % 2 = 0 THEN upper(CASE WHEN o_orderstatus = 'F' THEN 'view' ELSE 'click' END) END AS a, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 4 AS VARCHAR) END AS v FROM orders),
+m AS (SELECT n, count(DISTINCT state_id // 2) AS c, arg_min(state_id, (observation_index, state_id)) AS f FROM s JOIN (SELECT *, state_id AS observation_index FROM cu) cu ON cu.group_id = s.group_id AND (e IS NULL OR e = CAST(entity AS VARCHAR)) AND (a IS NULL OR lower(a) = attribute) AND (v IS NULL OR v = CAST(value AS VARCHAR)) GROUP BY n)
+SELECT s.n, CASE WHEN c = 1 THEN 'ONE' WHEN c > 1 THEN 'SEVERAL' ELSE 'NONE' END AS found, coalesce(c, 0) AS n_versions, CASE WHEN c = 1 THEN f END AS state_id FROM s LEFT JOIN m ON m.n = s.n""")
+def selector_hits(spark, d):
+    """Which version each order's selector hits, of eight patterns of wildcards; neighbouring events are one version."""
+    s = current_states(spark, d).select("group_id", "state_id", F.floor(F.col("state_id") / 2).alias("version_id"), F.col("entity").cast("string").alias("entity"), "attribute", F.col("value").cast("string").alias("value"), "observation_index", "sequence_index")
+    k = F.col("o_orderkey")
+    o = S.read(spark, d, "orders").select(k.alias("n"), F.concat(F.lit("g"), (F.col("o_custkey") % 10).cast("string")).alias("group_id"), F.when(k % 3 > 0, F.col("o_custkey").cast("string")).alias("sel_entity"), F.when(k % 2 == 0, F.upper(F.when(F.col("o_orderstatus") == "F", "view").otherwise("click"))).alias("sel_attribute"), F.when(k % 5 == 0, (k % 4).cast("string")).alias("sel_value"))
+    return selectors.exactly_one(o, s).select("n", "found", "n_versions", "state_id")

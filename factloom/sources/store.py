@@ -77,7 +77,7 @@ class Store:
         java = self.spark._jvm
         flag, parent = java.java.util.EnumSet, self.spark.sparkContext._gateway.new_array(self._hadoop.Options.CreateOpts, 1)
         parent[0] = self._hadoop.Options.CreateOpts.createParent()
-        part = f"{name.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part"
+        part = f"{name.rpartition('/')[0] or '.'}/.{uuid.uuid4().hex}.part"
         stream = self._files.create(self._at(part), flag.of(self._hadoop.CreateFlag.CREATE), parent)
         try:
             stream.write(bytearray(text.encode()))

@@ -108,7 +108,7 @@ def some(seed, groups=6, turns=4):
 
 
 def test_waves_against_a_plain_fold(spark, tmp_path):
-    rows = some(1)
+    rows = some(1, groups=8, turns=3)
     store = S.Store(spark, f"{tmp_path}/store")
     out = {r.observation_id: r.status for r in I.ingest(store, frame(spark, rows).repartition(3), "k").collect()}
     states, outcome = plainly(rows)
@@ -120,11 +120,11 @@ def test_waves_against_a_plain_fold(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = some(2, groups=3, turns=3)
-    for k in range(3):
+    rows = some(2, groups=3, turns=2)
+    for k in range(2):
         frame(spark, [r for r in rows if r[2] == k]).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
     store = S.Store(spark, f"{tmp_path}/store")
-    for k in range(3):  # a file at a time, as it arrives
+    for k in range(2):  # a file at a time, as it arrives
         source = spark.readStream.schema(frame(spark, rows[:1]).schema).parquet(f"{tmp_path}/in/part{k}")
         q = I.stream(source, store, f"{tmp_path}/cp{k}", f"s{k}")
         q.awaitTermination()
