@@ -49,6 +49,24 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the least node that edges (source, target), walked either way, connect a node with.
+
+    A round takes the least label of the neighbours and then the label of the label, so chains halve; each is cut in the
+    shared folder. It ends when no label changes.
+    """
+    both = cut(undirected(edges.where("source <> target")).repartition("source"))
+    now = cut(both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("label")))
+    while True:
+        near = both.join(now.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
+        step = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = cut(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
+        now = new.select("node", "label")
+        if new.where("was <> label").isEmpty():
+            return now
+
+
 def two_hops(triples: DataFrame) -> DataFrame:
     """Paths subject -> middle -> object over facts, not returning to the subject."""
     a = triples.select("subject", F.col("relation").alias("first"), F.col("object").alias("middle"))

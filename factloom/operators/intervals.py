@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def overlapping(rows: DataFrame, keys: list[str], label: str = "cond") -> DataFrame:
+def overlapping(rows: DataFrame, keys: list[str], label: str = "cond", every: bool = False) -> DataFrame:
     """Rows (keys, id, t0, t1, label) that overlap an earlier one of their keys whose label goes with theirs: id, other.
 
     Half-open intervals, null bounds unbounded. Labels are arrays of (key, value); two go together unless a key they
     share has two values. Within keys only the distinct labels meet each other, and each pair of labels that go together
     is one sweep by start that remembers the greatest end so far of the other label, so a row costs as many steps as its
-    slot has labels, never as many as it has rows. ``other`` is the row with that end.
+    slot has labels, never as many as it has rows. ``other`` is the row with that end, the least of those for all labels;
+    ``every``: a row for each of them, so that the pairs connect what overlaps, directly or over others.
     """
     labels = rows.select(*keys, label).distinct()
     both = labels.join(labels.withColumnRenamed(label, "_with"), keys)
@@ -29,6 +30,8 @@ def overlapping(rows: DataFrame, keys: list[str], label: str = "cond") -> DataFr
     swept = own.withColumn("_one", of(same | F.col("_first"))).withColumn("_two", of(same | ~F.col("_first")))
     before = F.when(same | ~F.col("_first"), F.col("_one")).otherwise(F.col("_two"))
     swept = swept.withColumn("_before", before).where("_before is not null and (_before.open or t0 is null or _before.at > t0)")
+    if every:
+        return swept.select(*keys, "id", F.col("_before.id").alias("other")).distinct()
     return swept.groupBy(*keys, "id").agg(F.min("_before.id").alias("other"))
 
 

@@ -16,13 +16,16 @@ def hint_index(index: Column, relation: Column, hints: list[str]) -> Column:
     return index + step.cast("int")
 
 
-def goal_paths(facts: DataFrame, anchors: DataFrame, goal: str, hints: list[str] | None = None, blocked: DataFrame | None = None, max_hops: int = 3) -> DataFrame:
+def goal_paths(facts: DataFrame, anchors: DataFrame, goal: str, hints: list[str] | None = None, blocked: DataFrame | None = None, max_hops: int = 3, prune: bool = False) -> DataFrame:
     """anchor, path (state ids), target, hops, n_hints, score: the best path of at most ``max_hops`` facts to the goal.
 
     facts: subject, relation, object, state_id, score. anchors: anchor. blocked: anchor, entity (entities that only
     superseded facts of the anchor lead to; a path may end in one but not go on from it). Any relation may be walked on;
     entities and facts occur once in a path. Best: most hints met in order, then the higher sum of scores, then fewer
-    hops, then the lesser state ids. A hop's rows are the paths there are, so a subject with many objects costs as many.
+    hops, then the lesser state ids. A hop's rows are the paths there are, so a subject with many objects costs as many;
+    ``prune`` keeps of the paths of one length from an anchor to a node with the same hints met the best one alone, so a
+    hop has at most as many rows as there are nodes in reach, whatever hubs lie between (a worse one that avoids an
+    entity which the best one has used is then not walked on).
     """
     hints = hints or []
     # a hop is read for its goals and for the next hop
@@ -36,6 +39,9 @@ def goal_paths(facts: DataFrame, anchors: DataFrame, goal: str, hints: list[str]
         done = walked.where(F.col("relation") == goal).select("anchor", "path", F.col("at").alias("target"), F.lit(hop).alias("hops"), "n_hints", "score")
         found = done if found is None else found.unionByName(done)
         front = walked.where((F.col("relation") != goal) & ~F.array_contains("seen", F.col("at"))).select("anchor", "at", "path", F.concat("seen", F.array("at")).alias("seen"), "n_hints", "score")
+        if prune:
+            rank = F.struct((-F.col("score")).alias("s"), "path")
+            front = front.groupBy("anchor", "at", "n_hints").agg(F.min_by(F.struct("path", "seen", "score"), rank).alias("b")).select("anchor", "at", "b.path", "b.seen", "n_hints", "b.score")
         if blocked is not None:
             front = front.join(blocked.select("anchor", F.col("entity").alias("at")).distinct(), ["anchor", "at"], "left_anti").select(*front.columns)
     best = F.min(F.struct((-F.col("n_hints")).alias("a"), (-F.col("score")).alias("b"), "hops", "path", "target"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.operators import discovery, filling, ingest, intervals, selectors, spans
+from factloom.operators import consolidation, discovery, filling, ingest, intervals, paths, relations, selectors, spans
 from factloom.plans.catalogue import query
 from factloom.plans.state_queries import FS
 from factloom.sources import adapters as S
@@ -133,3 +133,47 @@ def selector_hits(spark, d):
     k = F.col("o_orderkey")
     o = S.read(spark, d, "orders").select(k.alias("n"), F.concat(F.lit("g"), (F.col("o_custkey") % 10).cast("string")).alias("group_id"), F.when(k % 3 > 0, F.col("o_custkey").cast("string")).alias("sel_entity"), F.when(k % 2 == 0, F.upper(F.when(F.col("o_orderstatus") == "F", "view").otherwise("click"))).alias("sel_attribute"), F.when(k % 5 == 0, (k % 4).cast("string")).alias("sel_value"))
     return selectors.exactly_one(o, s).select("n", "found", "n_versions", "state_id")
+
+
+@query(r"""WITH f AS (SELECT 'Customer ' || c_custkey AS a, 'Nation ' || c_nationkey AS b, 'residence' AS r, 'c' || c_custkey AS id, c_acctbal AS score FROM customer WHERE c_custkey % 3 > 0
+UNION ALL SELECT 'CUSTOMER  ' || c_custkey, 'nation ' || c_nationkey, 'residence', 'd' || c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 4 = 0 AND c_nationkey % 2 = 0 UNION ALL SELECT 'Order ' || o_orderkey, 'Customer ' || o_custkey, 'author', 'o' || o_orderkey, o_totalprice FROM orders
+UNION ALL SELECT 'Customer ' || c_custkey, 'Supplier ' || c_custkey % 7, 'spouse', 'm' || c_custkey, 1.0 FROM customer), n AS (SELECT lower(trim(regexp_replace(a, '\s+', ' ', 'g'))) AS s, r AS relation, lower(b) AS o, id, score FROM f) SELECT s AS subject, relation, o AS object, min(id) AS state_id, max(score)::DOUBLE AS score, count(*) AS n_forms FROM n GROUP BY ALL""")
+def canonical_facts(spark, d):
+    """Facts of customers, orders and suppliers, stated directly, the other way round, in either order and as "the author of ...", each once."""
+    c, o = S.read(spark, d, "customer"), S.read(spark, d, "orders")
+    name = lambda p, x: F.concat(F.lit(p + " "), F.col(x).cast("string"))
+    say = lambda t, e, a, v, i, s: t.select(e.alias("entity"), F.lit(a).alias("attribute"), v.alias("value"), i.alias("state_id"), s.cast("double").alias("score"))
+    tag = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    facts = say(c.where("c_custkey % 3 > 0"), name("Customer", "c_custkey"), "lives in", name("Nation", "c_nationkey"), tag("c", "c_custkey"), F.col("c_acctbal"))
+    facts = facts.union(say(c.where("c_custkey % 4 = 0 and c_nationkey % 2 = 0"), name("CUSTOMER ", "c_custkey"), "Residence", name("nation", "c_nationkey"), tag("d", "c_custkey"), F.col("c_acctbal") + 1))
+    for m, form in enumerate(("written by", "is")):
+        part = o.where(F.col("o_orderkey") % 3 == m)
+        who = name("Order", "o_orderkey") if m == 0 else F.concat(F.lit("The writer of "), name("Order", "o_orderkey"))
+        facts = facts.union(say(part, who, form, name("Customer", "o_custkey"), tag("o", "o_orderkey"), F.col("o_totalprice")))
+    facts = facts.union(say(o.where("o_orderkey % 3 = 2"), name("Customer", "o_custkey"), "wrote", name("Order", "o_orderkey"), tag("o", "o_orderkey"), F.col("o_totalprice")))
+    other = F.concat(F.lit("Supplier "), (F.col("c_custkey") % 7).cast("string"))
+    facts = facts.union(say(c.where("c_custkey % 2 = 0"), name("Customer", "c_custkey"), "married to", other, tag("m", "c_custkey"), F.lit(1.0))).union(say(c.where("c_custkey % 2 = 1"), other, "husband", name("Customer", "c_custkey"), tag("m", "c_custkey"), F.lit(1.0)))
+    got = relations.merged(relations.projected(facts).where("form <> 'unknown'"))
+    return got.select(F.lower("subject").alias("subject"), "relation", F.lower("object").alias("object"), "state_id", "score", "n_forms")
+
+
+@query()
+def hub_paths(spark, d):
+    """From every order, over whom it was written by and the nation they live in, to a neighbour's orders: walked both ways through hubs, the best way to each node kept (paths are tested against plain ones)."""
+    facts = canonical_facts(spark, d)
+    steps = relations.both_ways(facts).select("subject", F.when(F.col("reverse"), F.concat(F.lit("of_"), "relation")).otherwise(F.col("relation")).alias("relation"), "object", "state_id", "score")
+    anchors = facts.where("relation = 'author'").select(F.col("subject").alias("anchor")).distinct()
+    return paths.goal_paths(steps, anchors, "residence", ["author", "spouse"], max_hops=3, prune=True)
+
+
+@query(f"""WITH {CURRENT}, s AS (SELECT 'u' || entity % 50 AS e, 'f' || value % 3 AS f, CAST(value // 3 AS VARCHAR) AS v, state_id AS id, observed_at AS o, CASE WHEN k % 3 <> 0 THEN observed_at + to_hours(1) END AS t0, CASE WHEN k % 4 = 0 THEN observed_at + to_hours(k + 1) ELSE observed_at + to_hours(6) END AS t1, cond, confidence FROM cu),
+p AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.e = b.e AND a.f = b.f AND a.v = b.v AND a.id <> b.id AND NOT coalesce(a.t1 <= b.t0, false) AND NOT coalesce(b.t1 <= a.t0, false) AND len(list_filter(a.cond, lambda q: len(list_filter(b.cond, lambda r: q.key = r.key AND q.value <> r.value)) > 0)) = 0),
+r AS (SELECT id AS node, id AS root FROM s UNION SELECT p.y, root FROM r JOIN p ON p.x = node), l AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT l.root AS candidate_id, min(e) AS entity, CASE WHEN bool_or(t0 IS NULL) THEN NULL ELSE min(t0) END AS t0, max(t1) AS t1, max(confidence) AS confidence, array_to_string(list_sort(list(id)), ',') AS evidence, count(*) AS n_merged FROM s JOIN l ON l.node = id GROUP BY l.root""".replace("WITH", "WITH RECURSIVE", 1))
+def consolidated_candidates(spark, d):
+    """Current states read as candidates of one observation: what says the same at times and under conditions that meet is one."""
+    s = current_states(spark, d)
+    hours = lambda n: F.make_dt_interval(hours=n)
+    c = s.select(F.lit("g").alias("group_id"), F.lit("o").alias("observation_id"), F.col("state_id").alias("candidate_id"), F.col("state_id").alias("sequence_index"), F.concat(F.lit("u"), (F.col("entity") % 50).cast("string")).alias("entity"), F.concat(F.lit("f"), (F.col("value") % 3).cast("string")).alias("attribute"), F.floor(F.col("value") / 3).cast("string").alias("value"), F.when(F.col("k") % 3 != 0, F.col("observed_at") + hours(F.lit(1))).alias("t0"), F.when(F.col("k") % 4 == 0, F.col("observed_at") + hours((F.col("k") + 1).cast("int"))).otherwise(F.col("observed_at") + hours(F.lit(6))).alias("t1"), "cond", "confidence", "observed_at", F.array("state_id").alias("evidence_ids"))
+    got = consolidation.consolidated(c)
+    return got.select("candidate_id", "entity", "t0", "t1", "confidence", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence"), "n_merged")
