@@ -26,8 +26,9 @@ def traits(states: DataFrame) -> DataFrame:
     value = F.col("value").cast("string")
     text = F.lower(F.concat_ws(" ", F.coalesce("span", F.lit("")), "attribute", value))
     content = F.array_except(F.array_except(identity.words(F.concat_ws(" ", value, "span")), identity.words(F.col("entity"))), identity.literal_set(PROVENANCE_STOPWORDS))
+    group = [F.col("group_id")] if "group_id" in states.columns else [F.lit(0).alias("group_id")]
     return states.select(
-        "state_id", "status", "observation_id", "sequence_index", "observed_at", "t0", "t1", "span",
+        *group, "state_id", "status", "observation_id", "sequence_index", "observed_at", "t0", "t1", "span",
         F.array_join(subject, " ").alias("subject"),
         F.coalesce("field", "attribute").alias("slot"),
         F.coalesce(F.size(identity.words(F.col("field"))) == 1, F.lit(False)).alias("plain"),
@@ -42,7 +43,7 @@ def shadowed(states: DataFrame, question: str) -> DataFrame:
     """state_id of the CURRENT states that a newer state of the same subject hides; none unless the question asks for continuity.
 
     states: state_id, entity, attribute, field (canonical, may be null), value, span, observation_id, sequence_index,
-    observed_at, t0, t1, status. A later STALE state hides one whose time meets its own and whose field is compatible or
+    observed_at, t0, t1, status; with a group_id only states of one group are compared. A later STALE state hides one whose time meets its own and whose field is compatible or
     which shares two content words. Another CURRENT state of a compatible field hides one if observed later; within one
     observation only an equal value goes, the earlier of two spans and the later within one span, and a relation about
     the facts and a direct assertion never hide each other. Lifecycle statuses stay as they are.
@@ -65,4 +66,4 @@ def shadowed(states: DataFrame, question: str) -> DataFrame:
     within = F.when(one_span, x("sequence_index") > y("sequence_index")).otherwise(x("sequence_index") < y("sequence_index"))
     order = F.when(together, ~apart & equal & within).otherwise(newer)
     live = (x("state_id") != y("state_id")) & order & (alike | (x("plain") & y("plain") & common))
-    return a.join(b, (x("subject") == y("subject")) & F.when(y("status") == "STALE", stale).otherwise(live), "left_semi").select("state_id")
+    return a.join(b, (x("group_id") == y("group_id")) & (x("subject") == y("subject")) & F.when(y("status") == "STALE", stale).otherwise(live), "left_semi").select("state_id")

@@ -133,14 +133,14 @@ def best_answers(spark, d):
     return evaluation.best_answer(o, ["group_id", "observation_index"], "answer", "references")
 
 
-@query(rf"""WITH {FS}, x AS (SELECT * REPLACE (regexp_replace(span, '^separate', 'unrelated') AS span), date_trunc('day', observed_at) AS day, CASE WHEN k % 19 = 0 THEN 'STALE' ELSE 'CURRENT' END AS status, CASE k % 4 WHEN 0 THEN attribute WHEN 1 THEN attribute || '_state' END AS field FROM fs WHERE k % 19 = 0 OR k % 9 = 1),
+@query(rf"""WITH {FS}, x AS (SELECT * REPLACE (regexp_replace(span, '^separate', 'unrelated') AS span), date_trunc('day', observed_at) AS day, CASE WHEN k % 19 = 0 THEN 'STALE' ELSE 'CURRENT' END AS status, CASE k % 4 WHEN 0 THEN attribute WHEN 1 THEN attribute || '_state' END AS field FROM fs),
 y AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(value || ' ' || span), '\w+')), lambda w: w <> CAST(entity AS VARCHAR) AND NOT list_contains({shadowing.PROVENANCE_STOPWORDS}, w)) AS said, starts_with(span, entity || ' ') AS direct, starts_with(span, 'unrelated') AS meta FROM x)
 SELECT DISTINCT a.state_id FROM y a JOIN y b ON a.entity = b.entity WHERE a.status = 'CURRENT' AND CASE WHEN b.status = 'STALE' THEN a.observed_at < b.observed_at AND NOT coalesce(a.t1 <= b.t0, false) AND NOT coalesce(b.t1 <= a.t0, false) AND (a.attribute = b.attribute OR len(list_intersect(a.said, b.said)) >= 2)
 ELSE a.state_id <> b.state_id AND (a.attribute = b.attribute OR (a.k % 4 < 2 AND b.k % 4 < 2 AND len(list_intersect(a.said, b.said)) >= 2)) AND CASE WHEN a.day <> b.day THEN a.observed_at < b.observed_at WHEN (a.meta AND b.direct) OR (a.direct AND b.meta) THEN false WHEN a.value <> b.value THEN false WHEN a.span = b.span THEN a.state_id > b.state_id ELSE a.state_id < b.state_id END END""")
 def continuity_shadowing(spark, d):
     """Current states that newer ones of their user hide from a question of continuity."""
     k = F.col("k")
-    s = S.full_states(spark, d).where((k % 19 == 0) | (k % 9 == 1)).select(
+    s = S.full_states(spark, d).select(
         "state_id", F.col("entity").cast("string").alias("entity"), "attribute", "value", F.regexp_replace("span", "^separate", "unrelated").alias("span"),
         F.when(k % 4 == 0, F.col("attribute")).when(k % 4 == 1, F.concat("attribute", F.lit("_state"))).alias("field"),
         F.date_trunc("day", "observed_at").alias("observation_id"), F.col("state_id").alias("sequence_index"), "observed_at", "t0", "t1", F.when(k % 19 == 0, "STALE").otherwise("CURRENT").alias("status"),

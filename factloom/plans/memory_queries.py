@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.operators import consolidation, discovery, filling, ingest, intervals, paths, relations, selectors, spans
+from factloom.operators import consolidation, discovery, filling, ingest, intervals, paths, relations, retrieve, selectors, spans
 from factloom.plans.catalogue import query
 from factloom.plans.state_queries import FS
 from factloom.sources import adapters as S
@@ -177,3 +178,24 @@ def consolidated_candidates(spark, d):
     c = s.select(F.lit("g").alias("group_id"), F.lit("o").alias("observation_id"), F.col("state_id").alias("candidate_id"), F.col("state_id").alias("sequence_index"), F.concat(F.lit("u"), (F.col("entity") % 50).cast("string")).alias("entity"), F.concat(F.lit("f"), (F.col("value") % 3).cast("string")).alias("attribute"), F.floor(F.col("value") / 3).cast("string").alias("value"), F.when(F.col("k") % 3 != 0, F.col("observed_at") + hours(F.lit(1))).alias("t0"), F.when(F.col("k") % 4 == 0, F.col("observed_at") + hours((F.col("k") + 1).cast("int"))).otherwise(F.col("observed_at") + hours(F.lit(6))).alias("t1"), "cond", "confidence", "observed_at", F.array("state_id").alias("evidence_ids"))
     got = consolidation.consolidated(c)
     return got.select("candidate_id", "entity", "t0", "t1", "confidence", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence"), "n_merged")
+
+
+@query()
+def whole_retrieval(spark, d):
+    """What answers a question about views in the memory of each ten users: a store of all states, older ones of a slot STALE, with their evidence and dependencies (the parts have twins; the whole is tested on a small store)."""
+    s = S.full_states(spark, d)
+    newer = F.row_number().over(W.partitionBy("entity", "attribute").orderBy(F.desc("observed_at"), F.desc("state_id")))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    key = F.col("state_id").cast("string")
+    s = s.withColumn("group_id", F.concat(F.lit("g"), (F.col("entity") % 10).cast("string"))).withColumn("_n", newer)
+    null = lambda name: F.lit(None).cast("string").alias(name)
+    states = s.select("group_id", text("state_id"), key.alias("version_id"), F.concat_ws("-", "entity", "attribute").alias("slot_id"), text("entity"), "attribute", text("value"), F.when(F.col("_n") == 1, "CURRENT").otherwise("STALE").alias("status"), null("uncertainty"), F.lit(False).alias("revalidate"), F.lit(None).cast("timestamp_ntz").alias("t0"), F.lit(None).cast("timestamp_ntz").alias("t1"), "cond", "confidence", "observed_at", F.date_format("observed_at", "yyyy-MM-dd").alias("observation_id"), "observation_index", "sequence_index", "span", F.array(key).alias("evidence_ids"), null("duplicate_of"))
+    evidence = s.select("group_id", key.alias("evidence_id"), F.date_format("observed_at", "yyyy-MM-dd").alias("observation_id"), "observed_at", F.col("span").alias("source_text"), "span")
+    last = s.where("_n = 1")
+    side = lambda a, name: last.where(F.col("attribute") == a).select("group_id", "entity", key.alias(name), "observed_at")
+    edges = side("purchase", "source").drop("observed_at").join(side("view", "target"), ["group_id", "entity"])
+    edges = edges.select("group_id", F.concat_ws("-", "source", "target").alias("relation_id"), "source", "target", F.lit("depends-on").alias("relation_type"), F.lit("STRICT").alias("strength"), F.lit("stated").alias("reason"), null("evidence_id"), F.col("observed_at").alias("created_at"))
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.commit({"states": states, "evidence": evidence, "relations": edges}, "events")
+    got = retrieve.retrieve(store, "which view is seen on tuesday", dt.datetime(2024, 6, 1))
+    return got.select("group_id", "place", "state_id", "entity", "attribute", "value", "status", "score", "via", "relation", F.size("evidence").alias("n_evidence"))
