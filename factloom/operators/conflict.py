@@ -28,11 +28,15 @@ def same_slot() -> Column:
     return subject & identity.attributes_compatible(F.col("n_attribute"), F.col("o_attribute")) & same_scope()
 
 
-def provenance_order() -> Column:
-    """1 or -1 where observation order, then order within the observation, tells; else 0."""
+def provenance_order(columns=()) -> Column:
+    """1 or -1 where observation order, then order within the observation, tells; else 0.
+
+    Where ``columns`` have observation ids, equal ones tell the order within them also without indexes.
+    """
     first, then = (F.signum(F.col(f"n_{c}") - F.col(f"o_{c}")) for c in ("observation_index", "sequence_index"))
     known = F.col("n_observation_index").isNotNull() & F.col("o_observation_index").isNotNull()
-    return F.when(known & (first != 0), first).when(known, then).otherwise(F.lit(0)).cast("int")
+    together = F.coalesce(F.col("n_observation_id") == F.col("o_observation_id"), F.lit(False)) if "n_observation_id" in columns else F.lit(False)
+    return F.when(known & (first != 0), first).when(known | together, then).otherwise(F.lit(0)).cast("int")
 
 
 def classified(pairs: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def classified(pairs: DataFrame) -> DataFrame:
     bounded = scope.contains(o("t0"), o("t1"), n("t0"), n("t1")) & ~(n("t0").eqNullSafe(o("t0")) & n("t1").eqNullSafe(o("t1"))) & n("t1").isNotNull() & (o("t1").isNull() | (n("t1") < o("t1")))
     flipped = evidence.revoked(n("span"), n("attribute"), n("value")) != evidence.revoked(o("span"), o("attribute"), o("value"))
     order = F.col("_order")
-    marked = pairs.select("*", slot.alias("_slot"), value.alias("_value"), provenance_order().alias("_order"))
+    marked = pairs.select("*", slot.alias("_slot"), value.alias("_value"), provenance_order(pairs.columns).alias("_order"))
     slot, value = F.col("_slot"), F.col("_value")
     kind = (
         F.when(F.array_contains("n_invalidates", o("state_id")) | effect, "IMPLICIT_INVALIDATION")
@@ -75,13 +79,15 @@ def revised(decisions: DataFrame) -> DataFrame:
     """n_state_id, o_state_id, conflict, edge, o_status, n_status, duplicate_of of classified pairs (o_status in, null: CURRENT).
 
     One window over a new state's links: a current duplicate ends it (the winner merges, other duplicates become
-    HISTORICAL); else each link brings its own edge and status and together they decide the new state's.
+    HISTORICAL; of several the one of the same attribute, the first place in its source where there is a column
+    o_span_start, and the first observation wins); else each link brings its own edge and status and together they decide the new state's.
     """
     w = W.partitionBy("n_state_id")
     was = F.coalesce("o_status", F.lit("CURRENT"))
     d = decisions.withColumn("was", was)
     duplicate = (F.col("conflict") == "DUPLICATE") & (F.col("was") == "CURRENT")
-    rank = F.struct((F.lower("o_attribute") != F.lower("n_attribute")).cast("int").alias("a"), F.coalesce("o_observation_index", F.lit(FAR)).alias("b"), F.col("o_sequence_index").alias("c"), F.col("o_state_id").alias("d"))
+    place = F.coalesce("o_span_start", F.lit(FAR)) if "o_span_start" in decisions.columns else F.lit(FAR)
+    rank = F.struct((F.lower("o_attribute") != F.lower("n_attribute")).cast("int").alias("a"), place.alias("s"), F.coalesce("o_observation_index", F.lit(FAR)).alias("b"), F.col("o_sequence_index").alias("c"), F.col("o_state_id").alias("d"))
     d = d.withColumn("winner", F.min(F.when(duplicate, rank)).over(w)["d"])
     is_ = lambda *k: F.col("conflict").isin(*k)
     fells = is_("UPDATE", "IMPLICIT_INVALIDATION") | (is_("EXPLICIT_CONFLICT") & (F.col("polarity") | (F.col("n_confidence") > F.col("o_confidence"))))

@@ -45,9 +45,10 @@ def strict_step(state: dict, row: dict) -> tuple:
     row: version, value, positive, cardinality (FUNCTIONAL, SET_VALUED, UNKNOWN), plain (asserted, unconditional, in
     effect), supported, observation, at, ended.
     """
-    if row["version"] in state["seen"]:
+    here = row["at"], row["version"]
+    if here == state["last"]:  # rows come in this order, so a replay follows its first directly
         return "REPLAY", row["version"]
-    state["seen"].add(row["version"])
+    state["last"] = here
     now = state["current"]
     same = now is not None and now["value"] == row["value"] and now["positive"] == row["positive"]
     if row["positive"] and row["plain"] and same and row["supported"]:
@@ -75,8 +76,8 @@ def strict_step(state: dict, row: dict) -> tuple:
 
 
 def strict(rows: DataFrame) -> DataFrame:
-    """Candidates (slot and the columns of ``strict_step``) with outcome and target, in order of at and version."""
-    return fold(rows, ["slot"], ["at", "version"], lambda: {"seen": set(), "current": None}, strict_step, "outcome string, target string")
+    """Candidates (slot and the columns of ``strict_step``) with outcome and target, in order of at and version; a version is at one time."""
+    return fold(rows, ["slot"], ["at", "version"], lambda: {"last": None, "current": None}, strict_step, "outcome string, target string")
 
 
 def frame_step(state: dict, row: dict) -> tuple:

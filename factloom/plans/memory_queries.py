@@ -199,3 +199,14 @@ def whole_retrieval(spark, d):
     store.commit({"states": states, "evidence": evidence, "relations": edges}, "events")
     got = retrieve.retrieve(store, "which view is seen on tuesday", dt.datetime(2024, 6, 1))
     return got.select("group_id", "place", "state_id", "entity", "attribute", "value", "status", "score", "via", "relation", F.size("evidence").alias("n_evidence"))
+
+
+@query("SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS tokens FROM events")
+def rolling_tokens(spark, d):
+    """Tokens of the sixty seconds up to each event. Each minute is a partition that also holds the minute before it, so no task reads all events."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = S.read(spark, d, "events").select("event_id", micros.alias("at"), F.floor("value").cast("long").alias("n"))
+    own = F.floor(F.col("at") / 60_000_000)
+    e = e.select("*", own.alias("own"), F.explode(F.array(own, own + 1)).alias("minute"))
+    last = W.partitionBy("minute").orderBy("at").rangeBetween(-60_000_000, 0)
+    return e.withColumn("tokens", F.sum("n").over(last)).where("minute = own").select("event_id", "tokens")

@@ -137,7 +137,7 @@ class Store:
         written = {}
         paths = {table: f"data/{table}/{uuid.uuid4().hex}" for table in tables}
         for table, df in tables.items():
-            df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)]).write.parquet(f"{self.path}/{paths[table]}")
+            df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)]).hint("rebalance").write.parquet(f"{self.path}/{paths[table]}")
         for table, (rows, digest) in self._digests({t: self._data(t, p) for t, p in paths.items()}).items():
             if rows:
                 written[table] = {"path": paths[table], "rows": rows, "digest": digest}
