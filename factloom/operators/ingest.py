@@ -76,19 +76,18 @@ def asked(new: DataFrame, column: str) -> DataFrame:
     return s.select("group_id", "n_state_id", *[F.col(f"s.{f}").alias(f"sel_{f}") for f in selectors.FIELDS])
 
 
-def _named(new: DataFrame, column: str, active: DataFrame) -> DataFrame:
+def _named(new: DataFrame, column: str, active: DataFrame, cases: list) -> DataFrame:
     """(n_state_id, o_state_id, column) of the states that the selectors in ``column`` name."""
     s = asked(new, column)
-    cases = selectors.patterns(s)
     none = "n_state_id string, o_state_id string"
     got = selectors.matches(s, active, cases).select("n_state_id", F.col("state_id").alias("o_state_id")).where("n_state_id <> o_state_id").distinct() if cases else new.sparkSession.createDataFrame([], none)
     return got.withColumn(column, F.lit(True))
 
 
-def linked(new: DataFrame, active: DataFrame) -> DataFrame:
+def linked(new: DataFrame, active: DataFrame, cases: dict) -> DataFrame:
     """Classified links of new states: to the slot of the decisive target of the pool, else to all of their slots and to what they name."""
     ids = ["n_state_id", "o_state_id"]
-    effect, against = (_named(new, c, active) for c in ("effects", "conflicts"))
+    effect, against = (_named(new, c, active, cases[c]) for c in ("effects", "conflicts"))
     subject = identity.norm(F.col("entity")).alias("subject")
     by_subject = new.select("group_id", subject, F.col("state_id").alias("n_state_id")).join(active.select("group_id", subject, F.col("state_id").alias("o_state_id")), ["group_id", "subject"]).select(*ids)
     pair = by_subject.unionByName(effect.select(*ids)).unionByName(against.select(*ids)).distinct()
@@ -110,9 +109,9 @@ def linked(new: DataFrame, active: DataFrame) -> DataFrame:
     return conflict.classified(links)
 
 
-def revised(new: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def revised(new: DataFrame, active: DataFrame, cases: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new states, changed old states, relations) of a wave; columns of the store's tables, and ``fell`` of old ones."""
-    decisions = cut(conflict.revised(linked(new, active)))
+    decisions = cut(conflict.revised(linked(new, active, cases)))
     fate = decisions.groupBy(F.col("n_state_id").alias("state_id")).agg(F.max("n_status").alias("_status"), F.max("uncertainty_kind").alias("_kind"), F.max("duplicate_of").alias("_merged"))
     n = new.join(fate, "state_id", "left")
     doubtful = F.col("confidence") < conflict.UNCERTAIN_BELOW
@@ -138,12 +137,12 @@ def revised(new: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return n, o, edges
 
 
-def resolved_dependencies(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolved_dependencies(new: DataFrame, current: DataFrame, cases: list) -> tuple[DataFrame, DataFrame]:
     """(relations, unresolved selectors) of CURRENT new states; a selector must name one version of the CURRENT others."""
     mine = [F.col(f).alias(f"own_{f}") for f in selectors.FIELDS]
     s = new.where("status = 'CURRENT'").select("group_id", F.col("state_id").alias("dependent"), F.col("version_id").alias("own"), *mine, "evidence_id", "observed_at", F.posexplode("depends").alias("position", "s"))
     s = s.select("*", F.col("s.strength").alias("strength"), *[F.col(f"s.{f}").alias(f"sel_{f}") for f in selectors.FIELDS]).drop("s")
-    got = selectors.exactly_one(s, current, selectors.patterns(s), own="own")
+    got = selectors.exactly_one(s, current, cases or [(True, True, True)], own="own")
     good = (F.col("found") == "ONE") & (F.col("state_id") != F.col("dependent")) & F.col("strength").isin("STRICT", "WEAK")
     relations = got.where(good).dropDuplicates(["state_id", "dependent", "strength"])
     relations = relations.select("group_id", F.col("state_id").alias("source"), F.col("dependent").alias("target"), F.lit("depends-on").alias("relation_type"), "strength", F.lit("stated").alias("reason"), "evidence_id", F.col("observed_at").alias("created_at"))
@@ -155,21 +154,23 @@ def with_relation_ids(relations: DataFrame) -> DataFrame:
     return relations.withColumn("relation_id", identity.uuid5(F.concat_ws("|", F.lit("relation"), *parts))).dropDuplicates(["relation_id"])
 
 
-def wave(store: Store, rows: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables to commit, failures (group_id, observation_id, reason)) of one observation of each group."""
-    rows = cut(prepared(rows))
+def wave(store: Store, rows: DataFrame, cases: dict) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables to commit, failures (group_id, observation_id, reason)) of one observation of each group.
+
+    ``rows`` as ``prepared``, cut; ``cases``: the patterns of the selectors in each of effects, conflicts and depends.
+    """
     groups = rows.select("group_id").distinct()
     known = cut(store.states(groups))
     active = known.where(F.col("status").isin(dependency.ACTIVE))
     faulty = rows.where("fault is not null").groupBy("group_id").agg(F.min("fault").alias("reason"))
     new = cut(merged_in_observation(rows.where("is_candidate and fault is null").join(faulty, "group_id", "left_anti")))
-    n, o, edges = revised(new, active)
+    n, o, edges = revised(new, active, cases)
     n, o = cut(n), cut(o)
     states = list(known.columns)
     fresh = n.where("status <> 'MERGED'").select(*states)
     touched = lambda df, yes: df.select(*states, F.lit(yes).alias("_touched"))
     after = touched(known.join(o.select("state_id"), "state_id", "left_anti"), False).unionByName(touched(o, True)).unionByName(touched(fresh, True))
-    depends, _ = resolved_dependencies(n, after.where("status = 'CURRENT'"))
+    depends, _ = resolved_dependencies(n, after.where("status = 'CURRENT'"), cases["depends"])
     depends = cut(with_relation_ids(depends))
     seeds = o.where("fell").select("state_id")
     if not seeds.isEmpty():
@@ -207,7 +208,8 @@ def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
     status: COMMITTED, REPLAYED (it was in the store), FAILED (with a reason) or WAITING (behind one that failed). The
     store's commits are named by ``key`` and their number, and a run that is repeated goes on where the first one ended.
     """
-    rows = cut(rows)
+    rows = cut(prepared(rows))
+    cases = {c: selectors.patterns(asked(rows, c)) for c in ("effects", "conflicts", "depends")}
     name = ["group_id", "observation_id"]
     every = rows.select(*name, "observation_index").distinct()
     done = lambda: store.table("observations").where("status = 'COMMITTED'")
@@ -225,10 +227,10 @@ def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
         if heads.isEmpty():
             break
         back = heads.where("back").select(*name, F.lit("ORDER_GOES_BACK").alias("reason"))
-        tables, failures = wave(store, rows.join(heads.where("not back").select(*name), name))
+        tables, failures = wave(store, cut(rows.join(heads.where("not back").select(*name), name)), cases)
         number += 1
         store.commit(tables, f"{key}-{number}")
-        failures = cut(failures.unionByName(back))
+        failures = failures.unionByName(back)
         if not failures.isEmpty():
             failed = cut(failed.unionByName(failures))
         log = done()

@@ -108,7 +108,7 @@ def some(seed, groups=6, turns=4):
 
 
 def test_waves_against_a_plain_fold(spark, tmp_path):
-    rows = some(1, groups=8, turns=3)
+    rows = some(1, groups=8, turns=3) + [row("w", 0, "Ann", "city", "Rome"), row("w", 1, "Ann", "city"), row("w", 2, "Ann", "city", "Ulm")]
     store = S.Store(spark, f"{tmp_path}/store")
     out = {r.observation_id: r.status for r in I.ingest(store, frame(spark, rows).repartition(3), "k").collect()}
     states, outcome = plainly(rows)
