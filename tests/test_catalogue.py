@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import catalogue, grounding_queries, memory_queries, state_queries  # noqa: F401
+from factloom.plans import answer_queries, catalogue, grounding_queries, memory_queries, state_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
