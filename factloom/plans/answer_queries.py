@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import answers, directions, frames, lifecycle, premises
+from factloom.operators import answers, directions, frames, intents, lifecycle, premises
 from factloom.plans.catalogue import RUNS, query
 from factloom.plans.memory_queries import CURRENT, current_states
 from factloom.sources import adapters as S
@@ -86,3 +86,16 @@ def typed_frames(spark, d):
     )
     rules = spark.createDataFrame([("FACT", "view", None, "SET_VALUED", []), ("FACT", "click", None, "FUNCTIONAL", []), ("FACT", "signup", None, "FUNCTIONAL", [])], "kind string, predicate string, facet string, cardinality string, keys array<string>")
     return frames.resolved(frames.identified(c, rules)).select("candidate_id", "status", "reason", "stale")
+
+
+@query("""WITH c AS (SELECT c_custkey, lower(c_name) AS n, array_to_string(regexp_extract_all(lower(c_name), '[\\p{L}\\p{M}\\p{N}_]+'), ' ') AS v, c_nationkey FROM customer), s AS (SELECT o_orderkey, o_custkey, o_custkey - o_orderkey % 3 AS other FROM orders)
+SELECT o_orderkey AS observation_id, d.c_custkey AS downstream, p.c_custkey AS prerequisite FROM s JOIN c d ON d.c_custkey = o_custkey JOIN c p ON p.c_custkey = other WHERE o_orderkey % 3 <> 0 AND d.c_nationkey = p.c_nationkey""")
+def stated_dependencies(spark, d):
+    """What every order says of its customer, "... depends on ...", read back: the names must each be one known customer of the nation that the observation belongs to."""
+    c = S.read(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("group_id"))
+    o = S.read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    other = S.read(spark, d, "customer").select(F.col("c_custkey").alias("other"), F.col("c_name").alias("other_name"))
+    said = o.join(other, F.col("other") == F.col("o_custkey") - F.col("o_orderkey") % 3)
+    obs = said.select("group_id", F.col("o_orderkey").alias("observation_id"), F.concat(F.lit("An order of "), "c_name", F.lit(" depends on that of "), "other_name", F.lit(". It is noted!")).alias("text"))
+    states = c.select("group_id", F.col("c_custkey").alias("state_id"), F.col("group_id").alias("entity"), F.lit("customer").alias("attribute"), F.col("c_name").alias("value"))
+    return intents.stated(obs, states).select("observation_id", "downstream", "prerequisite")
