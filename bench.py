@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from factloom.plans import answer_queries, catalogue, grounding_queries, memory_queries, state_queries  # noqa: F401  (they register their queries)
 
-HEADLINE = ["slot_versions", "state_as_of", "late_data_uncertain", "interval_conflicts", "link_pool_top8", "cascade_strict", "protected_replacement", "relational_path_2hop", "retrieval_score_topk", "semantic_dedup", "chunk_windows", "token_f1", "session_window", "pricing_summary", "cube_orders", "cascade_propagate", "goal_path_3hop", "dependency_candidates", "selector_hits", "active_slot_overlaps", "consolidated_candidates", "canonical_facts", "quote_spans", "uncovered_ranges", "fact_chunks", "boundary_chunks", "rolling_tokens"]
+HEADLINE = ["slot_versions", "state_as_of", "late_data_uncertain", "interval_conflicts", "link_pool_top8", "cascade_strict", "protected_replacement", "relational_path_2hop", "retrieval_score_topk", "semantic_dedup", "chunk_windows", "token_f1", "session_window", "pricing_summary", "cube_orders", "cascade_propagate", "goal_path_3hop", "dependency_candidates", "selector_hits", "active_slot_overlaps", "consolidated_candidates", "canonical_facts", "quote_spans", "uncovered_ranges", "fact_chunks", "boundary_chunks", "rolling_tokens", "premise_verdicts", "answer_contexts", "stated_dependencies"]
 
 
 def main() -> None:

@@ -18,7 +18,7 @@ q AS (SELECT who, attribute AS a, v AS x, kind FROM s, (VALUES ('named'), ('loos
 p AS (SELECT q.*, s.*, (v IN ('available', 'unavailable') AND x IN ('available', 'unavailable') AND v <> x) OR (v IN ('open', 'closed') AND x IN ('open', 'closed') AND v <> x) AS against, attribute = 'signup' AS acts FROM q JOIN s USING (who)),
 m AS (SELECT who, a, kind, id, CASE WHEN NOT cur THEN 'STALE' WHEN acts AND x = 'closed' AND (kind = 'loose' OR a = 'error') THEN 'CONFLICTS' WHEN kind = 'named' THEN CASE WHEN v = x THEN 'SUPPORTS' ELSE 'CONFLICTS' END WHEN v IN (who, 'went', x) THEN 'SUPPORTS' WHEN against THEN 'CONFLICTS' ELSE 'SILENT' END AS f
 FROM p WHERE CASE kind WHEN 'named' THEN attribute = a OR (acts AND a = 'error') ELSE attribute IN (who, x) OR v IN (who, 'went', x) OR against END),
-c AS (SELECT who, a, kind, count_if(f = 'SUPPORTS') AS n_supporting, count_if(f = 'CONFLICTS') AS n_conflicting, count_if(f = 'STALE') AS n_stale, min(id) FILTER (f = 'SUPPORTS') AS s, min(id) FILTER (f = 'CONFLICTS') AS k, min(id) FILTER (f = 'STALE') AS o FROM m GROUP BY ALL),
+c AS (SELECT who, a, kind, count(*) FILTER (f = 'SUPPORTS') AS n_supporting, count(*) FILTER (f = 'CONFLICTS') AS n_conflicting, count(*) FILTER (f = 'STALE') AS n_stale, min(id) FILTER (f = 'SUPPORTS') AS s, min(id) FILTER (f = 'CONFLICTS') AS k, min(id) FILTER (f = 'STALE') AS o FROM m GROUP BY ALL),
 w AS (SELECT q.who || '-' || q.a || '-' || kind AS query_id, CASE WHEN n_conflicting > 0 THEN 'CONFLICTED' WHEN n_supporting > 0 THEN 'SUPPORTED' WHEN n_stale > 0 THEN 'CONFLICTED' ELSE 'UNVERIFIED' END AS verdict, coalesce(n_supporting, 0) AS n_supporting, coalesce(n_conflicting, 0) AS n_conflicting, coalesce(n_stale, 0) AS n_stale, CASE WHEN n_conflicting > 0 THEN k WHEN n_supporting > 0 THEN s ELSE o END AS witness FROM q LEFT JOIN c USING (who, a, kind))
 SELECT *, CASE verdict WHEN 'CONFLICTED' THEN 'REJECT_STALE_PREMISE' WHEN 'UNVERIFIED' THEN 'CLARIFY' ELSE 'PROCEED' END AS policy FROM w""".replace("AS STRING)", "AS VARCHAR)"))
 def premise_verdicts(spark, d):
