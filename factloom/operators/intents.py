@@ -37,7 +37,8 @@ def stated(observations: DataFrame, states: DataFrame) -> DataFrame:
     as words, stands in it (also within a word); it must be one, and the sides must not name the same slot and value. Values
     without words name nothing; rows that are repeated count once.
 
-    Values are looked up by equal texts: of each fragment the pieces of those lengths that values of its group have.
+    Values are looked up by equal texts: of each fragment the pieces of those lengths that values of its group have,
+    one row for each length, so a very long sentence costs its characters times the lengths.
     """
     said = cut(statements(observations).dropDuplicates(["group_id", "observation_id", "sentence"]))
     known = states.select("group_id", "state_id", identity.norm(F.col("entity").cast("string")).alias("entity"), identity.norm(F.col("attribute")).alias("attribute"), spoken(F.col("value")).alias("value")).where("value <> ''").dropDuplicates(["group_id", "state_id"])
