@@ -17,12 +17,35 @@ def answer_words(c: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: ~w.isin("", "a", "an", "the"))
 
 
+def _numbered(p: DataFrame, words: str) -> DataFrame:
+    """p with ``words`` as a set: each word with its number among its equals, so that two sets share what two bags do."""
+    s = p.withColumn(words, F.array_sort(words))
+    at = F.array_compact(F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1) != w), i)))
+    n = lambda a, j: F.coalesce(F.get("_at", j + 1), F.size(words)) - a
+    runs = F.transform("_at", lambda a, j: F.transform(F.sequence(F.lit(1), n(a, j)), lambda k: F.concat_ws(" ", F.get(words, a), k.cast("string"))))
+    return s.withColumn("_at", at).withColumn(words, F.flatten(runs)).drop("_at")
+
+
+def _shared(p: DataFrame, key: list[str]) -> DataFrame:
+    """p with tp, the words that p and r share; rows of one key count together."""
+    one = p.where("_rows = 1").withColumn("_p", F.col("p")).withColumn("_r", F.col("r"))
+    one = _numbered(_numbered(one, "_p"), "_r").withColumn("tp", F.size(F.array_intersect("_p", "_r")).cast("long")).drop("_p", "_r")
+    several = p.where("_rows > 1")
+    mark = lambda c, a: F.transform(c, lambda w: F.struct(w.alias("w"), F.lit(a).alias("a")))
+    said = several.select(*key, F.explode(F.concat(mark("p", True), mark("r", False))).alias("x")).select(*key, "x.*")
+    said = said.groupBy(*key, "w").agg(F.count_if("a").alias("np"), F.count_if(~F.col("a")).alias("nr"))
+    both = said.groupBy(*key).agg(F.sum(F.least("np", "nr")).alias("tp"))
+    # sizes of files of like texts say little, so nothing is sent to all tasks on their word
+    more = several.join(both.hint("merge"), key, "left")
+    return one.unionByName(more.select(*one.columns))
+
+
 def answer_f1(pairs: DataFrame, key: list[str], prediction: str, reference: str) -> DataFrame:
-    """key, exact, contained, f1 of answers, by counting shared words for each key."""
-    p = pairs.select(*key, answer_words(F.col(prediction)).alias("p"), answer_words(F.col(reference)).alias("r"))
-    count = lambda c, n: p.select(*key, F.explode(c).alias("w")).groupBy(*key, "w").agg(F.count("*").alias(n))
-    both = count("p", "np").join(count("r", "nr"), [*key, "w"]).groupBy(*key).agg(F.sum(F.least("np", "nr")).alias("tp"))
-    p = p.join(both, key, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    """key, exact, contained, f1 of answers, by the words shared in each key, within the row where a key has one."""
+    if "_rows" not in pairs.columns:
+        pairs = pairs.withColumn("_rows", F.count("*").over(W.partitionBy(*key)))
+    p = pairs.select(*key, "_rows", answer_words(F.col(prediction)).alias("p"), answer_words(F.col(reference)).alias("r"))
+    p = _shared(p, key).withColumn("tp", F.coalesce("tp", F.lit(0)))
     a, b = F.array_join("p", " "), F.array_join("r", " ")
     whole = (a.isin(*SPECIAL) | b.isin(*SPECIAL)) & (a != b)
     f1 = F.when(whole, 0.0).when((F.size("p") == 0) | (F.size("r") == 0), (a == b).cast("double")).when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (F.size("p") + F.size("r")))
@@ -87,6 +110,7 @@ def parsed_answer(c: Column) -> Column:
 def best_answer(answers: DataFrame, key: list[str], answer: str, references: str) -> DataFrame:
     """key, exact, contained, f1: the best of the answer and its parsed form over all references (an array)."""
     forms = F.array_compact(F.array(F.col(answer), parsed_answer(F.col(answer))))
-    pairs = answers.select(*key, F.posexplode(forms).alias("_form", "_p"), references).select(*key, "_form", "_p", F.posexplode(references).alias("_reference", "_r"))
+    answers = answers.withColumn("_rows", F.count("*").over(W.partitionBy(*key)))
+    pairs = answers.select(*key, "_rows", F.posexplode(forms).alias("_form", "_p"), references).select(*key, "_rows", "_form", "_p", F.posexplode(references).alias("_reference", "_r"))
     scored = answer_f1(pairs, [*key, "_form", "_reference"], "_p", "_r")
     return scored.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("exact", "contained", "f1")])
