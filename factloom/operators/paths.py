@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.durable import cut
+from factloom.sources.durable import written
 
 
 def hint_index(index: Column, relation: Column, hints: list[str]) -> Column:
@@ -25,17 +25,27 @@ def goal_paths(facts: DataFrame, anchors: DataFrame, goal: str, hints: list[str]
     hops, then the lesser state ids. A hop's rows are the paths there are, so a subject with many objects costs as many;
     ``prune`` keeps of the paths of one length from an anchor to a node with the same hints met the best one alone, so a
     hop has at most as many rows as there are nodes in reach, whatever hubs lie between (a worse one that avoids an
-    entity which the best one has used is then not walked on).
+    entity which the best one has used is then not walked on). A hop takes only facts of the goal and those to an entity
+    from which a fact of the goal is still in reach: hubs that lead nowhere in the hops left are not walked to.
     """
     hints = hints or []
-    # a hop is read for its goals and for the next hop
-    step = facts.select(F.col("subject").alias("at"), "relation", "object", "state_id", F.col("score").alias("gain"))
+    # the facts are read for each hop, a hop for its goals and for the next one
+    step = written(facts.select(F.col("subject").alias("at"), "relation", "object", "state_id", F.col("score").alias("gain")))
     none = F.array().cast("array<string>")
     front = anchors.select("anchor", F.col("anchor").alias("at"), none.alias("path"), F.array("anchor").alias("seen"), F.lit(0).alias("n_hints"), F.lit(0.0).alias("score"))
     found = None
+    # ahead[r]: from where a fact of the goal is at most r hops away
+    aim = F.col("relation") == goal
+    ahead = [written(step.where(aim).select("at").distinct())]
+    for _ in range(max_hops - 2):
+        before = step.where(~aim).join(ahead[-1].select(F.col("at").alias("object")), "object", "left_semi").select("at")
+        ahead.append(written(before.union(ahead[-1]).distinct()))
     for hop in range(1, max_hops + 1):
-        walked = front.join(step, "at").where(~F.array_contains("path", F.col("state_id")))
-        walked = cut(walked.select("anchor", F.col("object").alias("at"), "relation", F.concat("path", F.array("state_id")).alias("path"), "seen", hint_index(F.col("n_hints"), F.col("relation"), hints).alias("n_hints"), (F.col("score") + F.col("gain")).alias("score")))
+        onward = step.where(aim)
+        if hop < max_hops:
+            onward = onward.unionByName(step.where(~aim).join(ahead[max_hops - hop - 1].select(F.col("at").alias("object")), "object", "left_semi").select(*step.columns))
+        walked = front.join(onward, "at").where(~F.array_contains("path", F.col("state_id")))
+        walked = written(walked.select("anchor", F.col("object").alias("at"), "relation", F.concat("path", F.array("state_id")).alias("path"), "seen", hint_index(F.col("n_hints"), F.col("relation"), hints).alias("n_hints"), (F.col("score") + F.col("gain")).alias("score")))
         done = walked.where(F.col("relation") == goal).select("anchor", "path", F.col("at").alias("target"), F.lit(hop).alias("hops"), "n_hints", "score")
         found = done if found is None else found.unionByName(done)
         front = walked.where((F.col("relation") != goal) & ~F.array_contains("seen", F.col("at"))).select("anchor", "at", "path", F.concat("seen", F.array("at")).alias("seen"), "n_hints", "score")

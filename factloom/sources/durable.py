@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, read from the shared folder from now on."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, as Parquet, for what a loop joins again and again.
+
+    A checkpoint keeps its plan's estimated size. Estimates of joins are products, so in a loop their digits multiply
+    with each round, which fills the driver after a dozen; files have the size they have. How rows were dealt is lost.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

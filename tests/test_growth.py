@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-from factloom.operators import evaluation
+from factloom.operators import evaluation, paths
+from factloom.sources.durable import cut
 
 
 def test_answers_are_scored_without_broadcasts_also_with_repeated_keys(spark):
@@ -18,3 +19,19 @@ def test_answers_are_scored_without_broadcasts_also_with_repeated_keys(spark):
         return float(p == r) if not p or not r else round(2 * tp / (len(p) + len(r)), 6)
 
     assert sorted(x.f1 for x in got.collect()) == sorted(f1(*row) for row in said)
+
+
+def test_a_hub_without_a_way_to_the_goal_is_not_walked(spark, monkeypatch):
+    n, sizes = 60, []
+
+    def counted(df):
+        sizes.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(paths, "written", counted)
+    facts = [(f"a{i}", "in", f"m{i}", f"i{i}", 1.0) for i in range(n)] + [(f"m{i}", "near", "hub", f"h{i}", 1.0) for i in range(n)]
+    facts += [("hub", "of", f"x{i}", f"o{i}", 1.0) for i in range(n)] + [(f"m{i}", "goal", "end", f"g{i}", 1.0) for i in range(0, n, 2)]
+    got = paths.goal_paths(spark.createDataFrame(facts, "subject string, relation string, object string, state_id string, score double"), spark.createDataFrame([(f"a{i}",) for i in range(n)], "anchor string"), "goal", max_hops=3)
+    assert {(r.anchor, r.path, r.hops) for r in got.collect()} == {(f"a{i}", f"i{i}>g{i}", 2) for i in range(0, n, 2)}
+    # not one row for each pair of an anchor and a leaf of the hub
+    assert max(sizes) <= len(facts)
