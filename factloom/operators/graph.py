@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.durable import cut
+from factloom.sources.durable import cut, written
 
 #: So many levels are gathered before they are written as one.
 LEVELS = 12
@@ -22,20 +22,20 @@ def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     cycles end. Levels are written to the shared folder, one after another; only every so many are they put together.
     """
     edges = cut(edges.select("source", "target").repartition("source"))
-    frontier = cut(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    frontier = written(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     levels = [frontier]
     for depth in count(1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         for level in levels:
             step = step.join(level.select("node"), "node", "left_anti")
-        frontier = cut(step.select("node", F.lit(depth).cast("long").alias("depth")))
+        frontier = written(step.select("node", F.lit(depth).cast("long").alias("depth")))
         if frontier.isEmpty():
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"the graph is deeper than max_depth = {max_depth}")
         levels.append(frontier)
         if len(levels) > LEVELS:
-            levels = [cut(reduce(DataFrame.unionByName, levels))]
+            levels = [written(reduce(DataFrame.unionByName, levels))]
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -52,16 +52,19 @@ def undirected(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (source, target), walked either way, connect a node with.
 
-    A round takes the least label of the neighbours and then the label of the label, so chains halve; each is cut in the
-    shared folder. It ends when no label changes.
+    A round takes the least label of the neighbours, for the node and for the node that its label names, and then the
+    label of the label: whole components hook on to a lesser one, so rounds grow with the logarithm of a chain in any
+    order of its nodes. Each round is written to the shared folder. It ends when no label changes.
     """
-    both = cut(undirected(edges.where("source <> target")).repartition("source"))
-    now = cut(both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("label")))
+    both = cut(undirected(written(edges.select("source", "target").where("source <> target"))).repartition("source"))
+    now = written(both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("label")))
     while True:
         near = both.join(now.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
-        step = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        own = F.struct("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        hook = F.struct(F.col("label").alias("node"), F.col("near").alias("label"), F.lit(None).alias("was"))
+        step = now.join(near, "node").select(F.explode(F.array(own, hook)).alias("x")).groupBy("x.node").agg(F.min("x.label").alias("label"), F.max("x.was").alias("was"))
         up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = cut(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
+        new = written(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
         now = new.select("node", "label")
         if new.where("was <> label").isEmpty():
             return now

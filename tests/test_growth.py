@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from factloom.operators import evaluation, paths
+from factloom.operators import evaluation, graph, linking, paths
 from factloom.sources.durable import cut
 
 
@@ -35,3 +35,32 @@ def test_a_hub_without_a_way_to_the_goal_is_not_walked(spark, monkeypatch):
     assert {(r.anchor, r.path, r.hops) for r in got.collect()} == {(f"a{i}", f"i{i}>g{i}", 2) for i in range(0, n, 2)}
     # not one row for each pair of an anchor and a leaf of the hub
     assert max(sizes) <= len(facts)
+
+
+def bits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimates_of_loops_stay_in_bounds(spark):
+    n = 300
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "source long, target long")
+    label = graph.components(chain)
+    assert bits(label) < 64
+    assert {tuple(r) for r in label.collect()} == {(i, 0) for i in range(n + 1)}
+    assert bits(linking.roots(chain.select(chain.source.alias("state"), chain.target.alias("parent")))) < 200
+    assert bits(graph.cascade(chain.where("source < 20"), spark.createDataFrame([(0,)], "node long"))) < 64
+
+
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    n, sizes = 600, []
+    real = graph.written
+
+    def counted(df):
+        sizes.append(1)
+        return real(df)
+
+    monkeypatch.setattr(graph, "written", counted)
+    at = [i * 233 % n for i in range(n)]
+    label = graph.components(spark.createDataFrame(list(zip(at, at[1:], strict=False)), "source long, target long"))
+    assert {tuple(r) for r in label.collect()} == {(i, 0) for i in range(n)}
+    assert len(sizes) <= 12
