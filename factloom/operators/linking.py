@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from factloom.functions import evidence, identity, scope
 from factloom.operators import conflict
-from factloom.sources.durable import cut
+from factloom.sources.durable import written
 
 #: Fixed values of the pool: its size and the lead that decides.
 POOL, LEAD = 8, 0.5
@@ -54,10 +54,10 @@ def roots(aliases: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     A chain that ends in no state of its own resolves to that end; a cycle resolves to null (fail closed).
     """
-    now = cut(aliases.select("state", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops")))
+    now = written(aliases.select("state", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops")))
     for _ in range(max_rounds):
         up = now.select(F.col("state").alias("root"), F.col("root").alias("top"), F.col("hops").alias("more"))
-        new = cut(now.join(up, "root", "left").select("state", F.coalesce("top", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("top").isNotNull().alias("moved"), (F.col("top") == F.col("state")).alias("loop")))
+        new = written(now.join(up, "root", "left").select("state", F.coalesce("top", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("top").isNotNull().alias("moved"), (F.col("top") == F.col("state")).alias("loop")))
         now = new.select("state", "root", "hops")
         if new.where("moved and not coalesce(loop, false)").isEmpty():
             break
