@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, release
+from factloom.sources.durable import written
 
 #: Edges that ``contracted`` replaces at a time.
 CHUNK = 500_000
@@ -56,19 +57,21 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """edges (a, b) -> (node, label): label is the smallest node of the component.
 
-    Each round takes the least label among neighbours (partial aggregation, so a hub costs a row per task) and then
-    jumps to the label's own label. Label tables are checkpoints, so each join is a sort-merge join over two plain
-    exchanges, whose skewed partitions AQE splits. Nulls and self-loops are dropped; an empty table gives no rows.
+    Each round takes the least label among neighbours (partial aggregation, so a hub costs a row per task), for the node
+    and for the node that its label names, and then jumps to the label's own label, so rounds grow with the logarithm of
+    a chain. Label tables are files, whose sizes Spark knows, also after many rounds. Nulls and self-loops are dropped; an empty table gives no rows.
     """
     spark = edges.sparkSession
     e = cut(contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")))
     both = cut(e.union(e.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), "label")
-        up = labels.select(F.col("node").alias("next"), F.col("label").alias("top"))
-        new = cut(step.join(up, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("label"), F.col("label").alias("old")))
+        own = F.struct("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("old"))
+        hook = F.struct(F.col("label").alias("node"), F.coalesce("m", "label").alias("next"), F.lit(None).cast("long").alias("old"))
+        step = labels.join(near, "node", "left").select(F.explode(F.array(own, hook)).alias("x")).groupBy("x.node").agg(F.min("x.next").alias("next"), F.max("x.old").alias("old"))
+        up = step.select(F.col("node").alias("next"), F.col("next").alias("top"))
+        new = written(step.join(up, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "old"))
         moved = not new.where("label <> old").isEmpty()
         labels = new.select("node", "label")
         if not moved:
