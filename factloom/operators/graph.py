@@ -14,17 +14,21 @@ from factloom.sources.durable import cut, written
 LEVELS = 12
 
 
-def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, within: int | None = None) -> DataFrame:
     """edges (source, target), seeds (node) -> (node, depth): least depth of everything reachable, cycles included once.
 
-    It goes on until a level brings nothing new; a graph deeper than a given ``max_depth`` is an error. Edges are dealt by
-    source once; each level is an equi join of the frontier with them, and nodes of earlier levels leave by anti joins, so
-    cycles end. Levels are written to the shared folder, one after another; only every so many are they put together.
+    It goes on until a level brings nothing new; a graph deeper than a given ``max_depth`` is an error, and with ``within``
+    only what is at most so deep is asked for. Edges are dealt by source once; each level is an equi join of the frontier
+    with them, and nodes of earlier levels leave by anti joins, so cycles end. Levels are written to the shared folder, one
+    after another; only every so many are they put together. If it is deeper than that and no source has two targets,
+    steps are doubled from there on, so that rounds grow with the logarithm of the depth.
     """
     edges = cut(edges.select("source", "target").repartition("source"))
     frontier = written(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
-    levels = [frontier]
+    levels, asked = [frontier], False
     for depth in count(1):
+        if within is not None and depth > within:
+            break
         step = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         for level in levels:
             step = step.join(level.select("node"), "node", "left_anti")
@@ -36,9 +40,42 @@ def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         levels.append(frontier)
         if len(levels) > LEVELS:
             levels = [written(reduce(DataFrame.unionByName, levels))]
+            step = None if asked else only_target(edges)
+            asked = True
+            if step is not None:
+                return _doubled(step, levels[0], depth + 1, max_depth, within)
     return reduce(DataFrame.unionByName, levels)
 
 
+def only_target(edges: DataFrame) -> DataFrame | None:
+    """Each source with its target; None if one has several."""
+    many = (F.min("target") != F.max("target")) | (F.count("target") < F.count("*"))
+    one = written(edges.where("source is not null").groupBy("source").agg(F.min("target").alias("target"), many.alias("many")))
+    return one.select("source", "target") if one.where("many").isEmpty() else None
+
+
+def _doubled(step: DataFrame, reached: DataFrame, below: int, max_depth: int | None, within: int | None) -> DataFrame:
+    """The rest of a cascade from ``reached``, all nodes of depths ``below`` that; ``step`` has one target a source.
+
+    A node that is up to ``width`` deeper is the end of a jump of that width from one that has been reached; the jumps of
+    twice the width are two of them. It ends when a jump brings nothing new, since nothing can then be deeper.
+    """
+    width = 1
+    while within is None or below <= within:
+        end = reached.join(step.select(F.col("source").alias("node"), "target"), "node").select(F.col("target").alias("node"), (F.col("depth") + width).alias("depth"))
+        new = written(end.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("depth").alias("depth")))
+        if new.isEmpty():
+            break
+        below += width
+        reached = written(reached.unionByName(new))
+        if max_depth is not None and not reached.where(F.col("depth") > max_depth).isEmpty():
+            raise RuntimeError(f"the graph is deeper than max_depth = {max_depth}")
+        if below > width * 2:
+            step = written(step.join(step.select(F.col("source").alias("target"), F.col("target").alias("end")), "target").select("source", F.col("end").alias("target")))
+            width *= 2
+    return reached if within is None else reached.where(F.col("depth") <= within)
+
+
 def protected_cascade(edges: DataFrame, seeds: DataFrame, protected: DataFrame, max_depth: int | None = None) -> DataFrame:
     """As ``cascade``, but protected nodes neither fall nor pass it on."""
     open_edges = edges.join(protected.select(F.col("node").alias("target")), "target", "left_anti")
