@@ -64,3 +64,14 @@ def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
     label = graph.components(spark.createDataFrame(list(zip(at, at[1:], strict=False)), "source long, target long"))
     assert {tuple(r) for r in label.collect()} == {(i, 0) for i in range(n)}
     assert len(sizes) <= 12
+
+
+def test_state_pairs_are_not_gathered(spark):
+    """One shuffle, of narrow rows: pairs once went through an aggregate by all of their columns."""
+    from factloom.sources import adapters
+
+    pairs = adapters.state_pairs(adapters.full_states(spark, "/root/testdata/sf0.001"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    ids = [(r.n_state_id, r.o_state_id) for r in pairs.select("n_state_id", "o_state_id").collect()]
+    assert ids and len(ids) == len(set(ids))
