@@ -30,7 +30,7 @@ def traits(states: DataFrame) -> DataFrame:
     return states.select(
         *group, "state_id", "status", "observation_id", "sequence_index", "observed_at", "t0", "t1", "span",
         F.array_join(subject, " ").alias("subject"),
-        F.coalesce("field", "attribute").alias("slot"),
+        identity.attribute_parts(F.coalesce("field", "attribute")).alias("slot"),
         F.coalesce(F.size(identity.words(F.col("field"))) == 1, F.lit(False)).alias("plain"),
         content.alias("content"),
         identity.norm(value).alias("value"),
@@ -56,7 +56,7 @@ def shadowed(states: DataFrame, question: str) -> DataFrame:
     t = traits(states.where(F.col("status").isin("CURRENT", "STALE") & F.col("entity").isNotNull()))
     a, b = t.where("status = 'CURRENT'").alias("a"), t.alias("b")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    alike = identity.attributes_compatible(x("slot"), y("slot"))
+    alike = identity.parts_compatible(x("slot"), y("slot"))
     common = F.size(F.array_intersect(x("content"), y("content"))) >= 2
     newer = x("observed_at") < y("observed_at")
     stale = newer & scope.overlaps(x("t0"), x("t1"), y("t0"), y("t1")) & (alike | common)
