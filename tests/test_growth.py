@@ -75,3 +75,50 @@ def test_state_pairs_are_not_gathered(spark):
     assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
     ids = [(r.n_state_id, r.o_state_id) for r in pairs.select("n_state_id", "o_state_id").collect()]
     assert ids and len(ids) == len(set(ids))
+
+
+ATTRIBUTES = ["home", "Home", "home_city", "city", "city of", "of", "of ", "the", "job", "occupation", "current_job", "current job", "free_on", "availability", "", " ", "-", "home city-name", "name", "used_tool", "tool"]
+
+
+def test_compatible_attributes_share_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.functions import identity
+
+    a = spark.createDataFrame([(x,) for x in [*ATTRIBUTES, None]], "a string")
+    pairs = a.crossJoin(a.withColumnRenamed("a", "b"))
+    keys = lambda c: identity.attribute_keys(identity.attribute_parts(F.col(c)))
+    got = pairs.select(identity.attributes_compatible(F.col("a"), F.col("b")).alias("yes"), F.arrays_overlap(keys("a"), keys("b")).alias("meet")).collect()
+    assert all(r.meet for r in got if r.yes) and any(not r.meet for r in got)
+
+
+def test_overrides_meet_by_attribute_and_compare_no_texts_in_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.functions import identity
+    from factloom.operators import conflict, shadowing
+
+    day = lambda i: f"timestamp_ntz'2024-01-{i:02d}'"
+    rows = [(i, "ann", a, str(i % 3), i % 9 + 1, i % 9 + 1 + i % 4) for i, a in enumerate(ATTRIBUTES * 3)]
+    s = spark.createDataFrame(rows, "state_id long, entity string, attribute string, value string, x int, y int")
+    at = lambda c: F.when(F.col(c) % 5 != 0, F.expr(day(1)) + F.make_dt_interval(days=F.col(c)))
+    cond = F.when(F.col("x") % 3 == 0, F.array(F.struct(F.lit("m").alias("key"), F.col("value").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    s = s.select("state_id", "entity", "attribute", "value", at("x").alias("t0"), at("y").alias("t1"), cond.alias("cond")).cache()
+    got = conflict.suppressed(s, ["1"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(join) == 1 and "key#" in join[0] and "regexp" not in join[0]
+    # the pairs one by one, by the rules themselves
+    from factloom.functions import scope
+
+    b, n = s.alias("b"), s.alias("n")
+    c = lambda p, x: F.col(f"{p}.{x}")
+    told = scope.more_specific(c("n", "cond"), c("b", "cond")) & ~F.exists(c("n", "cond"), lambda x: x["value"] != "1")
+    inside = scope.contains(c("b", "t0"), c("b", "t1"), c("n", "t0"), c("n", "t1")) & ~(c("b", "t0").eqNullSafe(c("n", "t0")) & c("b", "t1").eqNullSafe(c("n", "t1")))
+    every = b.crossJoin(n).where((c("b", "value") != c("n", "value")) & (told | inside) & identity.attributes_compatible(c("b", "attribute"), c("n", "attribute")))
+    want = every.groupBy(c("b", "state_id")).agg(F.min(c("n", "state_id"))).collect()
+    assert want and {tuple(r) for r in got.collect()} == {tuple(r) for r in want}
+    said = s.select("state_id", "entity", "attribute", F.lit(None).cast("string").alias("field"), "value", F.lit("x").alias("span"), F.lit("o").alias("observation_id"), F.col("state_id").alias("sequence_index"), F.expr(day(1)).alias("observed_at"), "t0", "t1", F.lit("CURRENT").alias("status"))
+    plan = shadowing.shadowed(said, "still there?")._jdf.queryExecution().optimizedPlan().toString()
+    join = [line for line in plan.splitlines() if "Join LeftSemi" in line]
+    assert len(join) == 1 and "regexp" not in join[0]
