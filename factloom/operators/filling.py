@@ -30,7 +30,7 @@ def coverage(overlaps: DataFrame) -> DataFrame:
         mine = left.where(F.col("intent") == i)
         if taken is not None:
             mine = mine.join(taken.select(QUESTION, "state_id"), [QUESTION, "state_id"], "left_anti")
-        best = mine.withColumn("_best", F.max("overlap").over(W.partitionBy(QUESTION))).where("overlap = _best").select(QUESTION, "state_id", "intent").distinct()
+        best = mine.join(mine.groupBy(QUESTION).agg(F.max("overlap").alias("_best")), QUESTION).where("overlap = _best").select(QUESTION, "state_id", "intent").distinct()
         taken = best if taken is None else taken.unionByName(best)
     return taken if taken is not None else left.select(QUESTION, "state_id", "intent")
 
@@ -68,7 +68,8 @@ def _one(anchors: list[dict], near: dict[str, list[tuple]], limit: int, depth: i
 def fill(ranked: DataFrame, edges: DataFrame, limit: int = 10, depth: int = 2, beam: int = 4) -> DataFrame:
     """question_id, place (from 1), state_id, via, relation, level of the states chosen for each question.
 
-    ranked: question_id, state_id, rank (1 is best, unique in a question), relevant, intent (of ``coverage``, else null),
+    ranked: question_id, state_id, rank (the least is best, unique in a question; a struct to sort by saves numbering all
+    states of a question in one task), relevant, intent (of ``coverage``, else null),
     provenance (a sibling of the question's anchor). edges: source, target, relation_type, walked both ways. First the
     covering states go in by intent and rank, then the siblings; then each covering state is expanded, breadth first to
     ``depth``, along at most ``beam`` edges a state to states not yet chosen, depends-on before others and then by rank;

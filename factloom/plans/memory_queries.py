@@ -62,7 +62,7 @@ def ranked_fill(spark, d):
     lines = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("question_id", F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("state_id"), (F.col("l_extendedprice") / 1e7).alias("score"))
     states = people.select("question_id", "state_id", "score").unionByName(orders.select("question_id", "state_id", "score")).unionByName(lines)
     cover = filling.coverage(people.where("score > 0").select("question_id", "state_id", "intent", F.col("score").alias("overlap")))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "state_id"))
+    place = F.struct(F.col("score").isNull().alias("a"), (-F.col("score")).alias("b"), F.col("state_id").alias("c"))
     ranked = states.withColumn("rank", place).join(cover, ["question_id", "state_id"], "left").withColumn("relevant", F.col("score") > 0).withColumn("provenance", F.lit(False))
     edges = o.select(tag("c", "o_custkey").alias("source"), tag("o", "o_orderkey").alias("target"), F.lit("depends-on").alias("relation_type")).unionByName(li.select(tag("o", "l_orderkey").alias("source"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("target"), F.lit("derived-from").alias("relation_type")))
     return filling.fill(ranked, edges)

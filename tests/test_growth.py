@@ -122,3 +122,24 @@ def test_overrides_meet_by_attribute_and_compare_no_texts_in_pairs(spark):
     plan = shadowing.shadowed(said, "still there?")._jdf.queryExecution().optimizedPlan().toString()
     join = [line for line in plan.splitlines() if "Join LeftSemi" in line]
     assert len(join) == 1 and "regexp" not in join[0]
+
+
+def test_no_task_holds_a_whole_question(spark):
+    """States of a question are sorted by a struct and cut before they meet; they were once numbered in one task."""
+    from factloom.operators import filling
+    from factloom.plans import memory_queries  # noqa: F401
+    from factloom.plans.catalogue import QUERIES
+
+    seen = []
+    real = filling.fill
+
+    def looked_at(ranked, edges, *more):
+        seen.append(ranked._jdf.queryExecution().executedPlan().toString())
+        return ranked.limit(0)
+
+    filling.fill = looked_at
+    try:
+        QUERIES["ranked_fill"](spark, "/root/testdata/sf0.001")
+    finally:
+        filling.fill = real
+    assert len(seen) == 1 and "Window" not in seen[0]
