@@ -1,9 +1,10 @@
 """Ingest of observations in order, one transaction an observation, for many groups at once.
 
-A wave takes the next observation of every group that has one. Its candidates are linked against the states that were
-active before it, classified, and revise them; its dependencies are resolved; what it made stale cascades; and the
-group's active states are checked. All of that are joins and aggregates over the wave, and one commit of the store
-ends it. An observation that fails (a candidate that can't be a state, two active states of one slot and value) leaves
+A wave takes the next observations of every group that has any, up to ``BLOCK`` of them with ``CANDIDATES`` rows. What
+texts, times and names say of a candidate and the states it may meet is found by joins, for all groups and observations
+of the wave at once; the order of a group, in which an observation's candidates are linked against the states that were
+active before it and revise them, dependencies are resolved, stale states cascade and the active ones are checked, is a fold
+over those few figures (``folding``). One commit of the store ends the wave. An observation that fails (a candidate that can't be a state, two active states of one slot and value) leaves
 its group as it was: none of its states, evidence and relations are part of the commit, the log says why, and the group's
 later observations wait, in this call and in later ones, until it has come again and gone in. One whose index goes back
 behind what has been committed is refused. What has been committed is a replay when it comes again and changes nothing.
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.functions import identity, scope
-from factloom.operators import conflict, dependency, intervals, linking, selectors
+from factloom.functions import evidence, identity, scope
+from factloom.operators import conflict, dependency, folding, linking, selectors
 from factloom.sources.durable import cut
 from factloom.sources.store import CONDITIONS, Store
 
@@ -28,6 +29,8 @@ SELECTOR = "struct<entity:string,attribute:string,value:string>"
 DEPENDENCY = "struct<entity:string,attribute:string,value:string,strength:string>"
 ROW = f"""group_id string, observation_id string, observation_index long, observed_at timestamp_ntz, text string, sequence_index long, entity string, attribute string, value string, t0 timestamp_ntz, t1 timestamp_ntz, cond {CONDITIONS}, confidence double, span string, effects array<{SELECTOR}>, conflicts array<{SELECTOR}>, depends array<{DEPENDENCY}>"""
 OBSERVATION = ["group_id", "observation_id", "observation_index", "observed_at", "text"]
+#: A group's share of a wave: so many observations and rows (one observation at least). Pairs within it grow with its square.
+BLOCK, CANDIDATES = 64, 512
 #: What a state is compared by (see ``conflict``).
 COMPARED = ["state_id", "entity", "attribute", "value", "t0", "t1", "cond", "confidence", "observed_at", "observation_index", "sequence_index", "span"]
 
@@ -76,77 +79,50 @@ def asked(new: DataFrame, column: str) -> DataFrame:
     return s.select("group_id", "n_state_id", *[F.col(f"s.{f}").alias(f"sel_{f}") for f in selectors.FIELDS])
 
 
-def _named(new: DataFrame, column: str, active: DataFrame, cases: list) -> DataFrame:
+def _named(new: DataFrame, column: str, older: DataFrame, cases: list) -> DataFrame:
     """(n_state_id, o_state_id, column) of the states that the selectors in ``column`` name."""
     s = asked(new, column)
     none = "n_state_id string, o_state_id string"
-    got = selectors.matches(s, active, cases).select("n_state_id", F.col("state_id").alias("o_state_id")).where("n_state_id <> o_state_id").distinct() if cases else new.sparkSession.createDataFrame([], none)
+    got = selectors.matches(s, older, cases).select("n_state_id", F.col("state_id").alias("o_state_id")) if cases else new.sparkSession.createDataFrame([], none)
     return got.withColumn(column, F.lit(True))
 
 
-def linked(new: DataFrame, active: DataFrame, cases: dict) -> DataFrame:
-    """Classified links of new states: to the slot of the decisive target of the pool, else to all of their slots and to what they name."""
+def weighed(new: DataFrame, older: DataFrame, cases: dict) -> DataFrame:
+    """group_id, n_state_id, o_state_id and what a link of the two would mean: of each new state and those of its subject, or named by it, that are placed before it.
+
+    Pairs that can't be linked are left out. slot: one slot; named: an effect or a conflict names the old one; score as in
+    the pool; conflict, polarity, ended, other_field as ``conflict.revised`` needs them.
+    """
     ids = ["n_state_id", "o_state_id"]
-    effect, against = (_named(new, c, active, cases[c]) for c in ("effects", "conflicts"))
     subject = identity.norm(F.col("entity")).alias("subject")
-    by_subject = new.select("group_id", subject, F.col("state_id").alias("n_state_id")).join(active.select("group_id", subject, F.col("state_id").alias("o_state_id")), ["group_id", "subject"]).select(*ids)
-    pair = by_subject.unionByName(effect.select(*ids)).unionByName(against.select(*ids)).distinct()
-    pair = pair.join(effect, ids, "left").join(against, ids, "left")
-    side = lambda df, p, more: df.select(*[F.col(c).alias(f"{p}_{c}") for c in [*COMPARED, *more]])
-    pair = pair.join(side(new, "n", ["effects"]), "n_state_id").join(side(active, "o", ["slot_id", "status"]), "o_state_id")
-    named = F.coalesce("effects", F.lit(False)) | F.coalesce("conflicts", F.lit(False))
-    pair = cut(pair.withColumn("named", named).withColumn("linked", F.lit(False)))
-    target = linking.pool(pair).where("decisive").select("n_state_id", F.col("o_state_id").alias("target"))
-    target = target.join(active.select(F.col("state_id").alias("target"), F.col("slot_id").alias("target_slot")), "target")
-    pair = pair.join(target, "n_state_id", "left")
-    slot = conflict.same_slot()
-    chosen = (F.col("o_state_id") == F.col("target")) | (slot & (F.col("o_slot_id") == F.col("target_slot")))
-    links = pair.where(F.when(F.col("target").isNotNull(), chosen).otherwise(slot | F.col("named")))
-    # without a decisive target what the selectors name goes in by id
-    free = F.col("target").isNull()
-    by_id = lambda c: F.when(free & F.coalesce(c, F.lit(False)), F.array("o_state_id")).otherwise(F.array().cast("array<string>"))
-    links = links.withColumn("n_invalidates", by_id("effects")).withColumn("n_conflicts", by_id("conflicts")).withColumn("linked", F.lit(True))
-    return conflict.classified(links)
-
-
-def revised(new: DataFrame, active: DataFrame, cases: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new states, changed old states, relations) of a wave; columns of the store's tables, and ``fell`` of old ones."""
-    decisions = cut(conflict.revised(linked(new, active, cases)))
-    fate = decisions.groupBy(F.col("n_state_id").alias("state_id")).agg(F.max("n_status").alias("_status"), F.max("uncertainty_kind").alias("_kind"), F.max("duplicate_of").alias("_merged"))
-    n = new.join(fate, "state_id", "left")
-    doubtful = F.col("confidence") < conflict.UNCERTAIN_BELOW
-    status = F.coalesce("_status", F.when(doubtful, "UNCERTAIN").otherwise("CURRENT"))
-    n = n.withColumn("status", status).withColumn("uncertainty", F.when(F.col("_status").isNull() & doubtful, "low_confidence").otherwise(F.col("_kind"))).withColumn("duplicate_of", F.col("_merged"))
-    n = n.withColumn("evidence_ids", F.array("evidence_id")).withColumn("revalidate", F.lit(False))
-    # of the new states of one observation that touch an old one the last decides, but what one of them made stale falls
-    order = F.struct("sequence_index", F.col("state_id").alias("_n"))
-    old = decisions.join(n.select(F.col("state_id").alias("n_state_id"), "sequence_index", F.col("state_id"), "evidence_id", F.col("confidence").alias("_more")), "n_state_id")
-    merge = F.col("duplicate_of") == F.col("o_state_id")
-    joins = merge | (F.col("duplicate_of").isNotNull() & (F.col("conflict") == "DUPLICATE"))
-    touch = F.struct(F.col("o_status").alias("status"), F.when(joins & ~merge, F.col("duplicate_of")).alias("into"))
-    changes = old.join(active.select(F.col("state_id").alias("o_state_id"), F.col("status").alias("_was")), "o_state_id").where(merge | (F.col("o_status") != F.col("_was")))
-    changes = changes.groupBy("o_state_id").agg(F.max_by(touch, order).alias("_t"), F.max((F.col("o_status") == "STALE") & (F.col("_was") == "CURRENT")).alias("fell"), F.array_sort(F.collect_set(F.when(merge, F.col("evidence_id")))).alias("_e"), F.max(F.when(merge, F.col("_more"))).alias("_c"))
-    # duplicates that a merge put away leave their evidence with the one that stays
-    left = changes.where("_t.into is not null").join(active.select(F.col("state_id").alias("o_state_id"), "evidence_ids"), "o_state_id").groupBy(F.col("_t.into").alias("o_state_id")).agg(F.flatten(F.collect_list("evidence_ids")).alias("_left"))
+    mine = new.select("group_id", subject, F.col("state_id").alias("n_state_id"), F.col("place").alias("_n"))
+    by_subject = mine.join(older.select("group_id", subject, F.col("state_id").alias("o_state_id"), F.col("place").alias("_o")), ["group_id", "subject"]).where("_o < _n").select(*ids)
+    effect, against = (_named(new, c, older, cases[c]) for c in ("effects", "conflicts"))
+    pair = by_subject.unionByName(effect, allowMissingColumns=True).unionByName(against, allowMissingColumns=True) if cases["effects"] or cases["conflicts"] else by_subject.withColumn("effects", F.lit(None).cast("boolean")).withColumn("conflicts", F.lit(None).cast("boolean"))
+    pair = pair.groupBy(*ids).agg(F.coalesce(F.max(F.coalesce("effects", F.lit(False)) | F.coalesce("conflicts", F.lit(False))), F.lit(False)).alias("named"))
+    # what tells most pairs that can't be linked is read once a row, before texts are compared
+    parts, negative = identity.attribute_parts(F.col("attribute")), evidence.negative(F.col("attribute"), F.col("value").cast("string"), F.col("span"))
+    side = lambda df, p, *more: df.select(*[F.col(c).alias(f"{p}_{c}") for c in [*COMPARED, "place"]], parts.alias(f"{p}_parts"), *more)
+    pair = pair.join(side(new, "n", F.col("effects").alias("n_effects"), F.col("group_id").alias("n_group_id"), negative.alias("n_negative")), "n_state_id").join(side(older, "o"), "o_state_id").where("o_place < n_place")
+    pair = pair.where(F.col("named") | F.coalesce("n_negative", F.lit(False)) | (identity.parts_compatible(F.col("n_parts"), F.col("o_parts")) & conflict.same_scope()))
+    pair = linking.weighed(pair.withColumn("linked", F.lit(False))).where("eligible")
     none = F.array().cast("array<string>")
-    o = active.join(changes, active["state_id"] == changes["o_state_id"]).join(left, "o_state_id", "left")
-    o = o.withColumn("evidence_ids", F.array_distinct(F.concat("evidence_ids", F.coalesce("_left", none), F.coalesce("_e", none)))).withColumn("confidence", F.greatest("confidence", F.coalesce("_c", "confidence")))
-    o = o.withColumn("status", F.when(F.col("fell"), "STALE").otherwise(F.col("_t.status"))).withColumn("duplicate_of", F.coalesce("_t.into", "duplicate_of"))
-    edges = decisions.where("edge is not null").join(n.select(F.col("state_id").alias("n_state_id"), "group_id", "evidence_id", "observed_at"), "n_state_id")
-    edges = edges.select("group_id", F.col("n_state_id").alias("source"), F.col("o_state_id").alias("target"), F.col("edge").alias("relation_type"), F.lit(None).cast("string").alias("strength"), F.lower("conflict").alias("reason"), "evidence_id", F.col("observed_at").alias("created_at"))
-    return n, o, edges
-
-
-def resolved_dependencies(new: DataFrame, current: DataFrame, cases: list) -> tuple[DataFrame, DataFrame]:
-    """(relations, unresolved selectors) of CURRENT new states; a selector must name one version of the CURRENT others."""
-    mine = [F.col(f).alias(f"own_{f}") for f in selectors.FIELDS]
-    s = new.where("status = 'CURRENT'").select("group_id", F.col("state_id").alias("dependent"), F.col("version_id").alias("own"), *mine, "evidence_id", "observed_at", F.posexplode("depends").alias("position", "s"))
-    s = s.select("*", F.col("s.strength").alias("strength"), *[F.col(f"s.{f}").alias(f"sel_{f}") for f in selectors.FIELDS]).drop("s")
-    got = selectors.exactly_one(s, current, cases or [(True, True, True)], own="own")
-    good = (F.col("found") == "ONE") & (F.col("state_id") != F.col("dependent")) & F.col("strength").isin("STRICT", "WEAK")
-    relations = got.where(good).dropDuplicates(["state_id", "dependent", "strength"])
-    relations = relations.select("group_id", F.col("state_id").alias("source"), F.col("dependent").alias("target"), F.lit("depends-on").alias("relation_type"), "strength", F.lit("stated").alias("reason"), "evidence_id", F.col("observed_at").alias("created_at"))
-    return relations, got.where(~good).select("group_id", "dependent", "position", "found", "n_versions")
+    links = pair.withColumn("slot", conflict.same_slot()).withColumn("linked", F.lit(True)).withColumn("n_invalidates", none).withColumn("n_conflicts", none)
+    ended = F.coalesce((F.col("conflict") == "CONSISTENT") & (F.col("o_t1") <= F.col("n_observed_at")), F.lit(False))
+    other = F.lower("o_attribute") != F.lower("n_attribute")
+    return conflict.classified(links).select(F.col("n_group_id").alias("group_id"), *ids, "score", "slot", "named", "conflict", "polarity", ended.alias("ended"), other.alias("other_field"))
+
+
+def cells(states: DataFrame) -> DataFrame:
+    """group_id and a struct of what the fold needs of a state: status and what follows it, its slot and value as keys, what selectors compare."""
+    norm = lambda c: identity.norm(F.col(c).cast("string"))
+    t0, t1 = scope.semantic_scope(F.col("t0"), F.col("t1"), F.col("observed_at"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    key = F.concat_ws("\x1f", norm("entity"), identity.attribute_id(F.col("attribute")), value_key())
+    depends = F.transform("depends", lambda s: F.struct(*[identity.norm(s[f]).alias(f) for f in selectors.FIELDS], s["strength"].alias("strength")))
+    kept = ["state_id", "version_id", "slot_id", "status", "uncertainty", "revalidate", "confidence", "evidence_ids", "duplicate_of", "observation_index", "sequence_index", "cond", "place"]
+    cell = F.struct(*kept, norm("entity").alias("entity"), norm("attribute").alias("attribute"), norm("value").alias("value"), key.alias("key"), micros(t0).alias("t0"), micros(t1).alias("t1"), depends.alias("depends"))
+    return states.select("group_id", cell.alias("cell"))
 
 
 def with_relation_ids(relations: DataFrame) -> DataFrame:
@@ -154,52 +130,52 @@ def with_relation_ids(relations: DataFrame) -> DataFrame:
     return relations.withColumn("relation_id", identity.uuid5(F.concat_ws("|", F.lit("relation"), *parts))).dropDuplicates(["relation_id"])
 
 
-def wave(store: Store, rows: DataFrame, cases: dict) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables to commit, failures (group_id, observation_id, reason)) of one observation of each group.
+def wave(store: Store, rows: DataFrame, blocks: DataFrame, cases: dict) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables to commit, failures (group_id, observation_id, reason)) of the next observations of each group.
 
-    ``rows`` as ``prepared``, cut; ``cases``: the patterns of the selectors in each of effects, conflicts and depends.
+    ``rows`` as ``prepared``; ``blocks``: group_id, observation_id, observation_index, place (from 0, their order in the
+    group), last (the group's index so far), cut; ``cases``: the patterns of the selectors in each of effects, conflicts
+    and depends.
     """
-    groups = rows.select("group_id").distinct()
+    name = ["group_id", "observation_id"]
+    groups = blocks.select("group_id").distinct()
     known = cut(store.states(groups))
-    active = known.where(F.col("status").isin(dependency.ACTIVE))
-    faulty = rows.where("fault is not null").groupBy("group_id").agg(F.min("fault").alias("reason"))
-    new = cut(merged_in_observation(rows.where("is_candidate and fault is null").join(faulty, "group_id", "left_anti")))
-    n, o, edges = revised(new, active, cases)
-    n, o = cut(n), cut(o)
-    states = list(known.columns)
-    fresh = n.where("status <> 'MERGED'").select(*states)
-    touched = lambda df, yes: df.select(*states, F.lit(yes).alias("_touched"))
-    after = touched(known.join(o.select("state_id"), "state_id", "left_anti"), False).unionByName(touched(o, True)).unionByName(touched(fresh, True))
-    depends, _ = resolved_dependencies(n, after.where("status = 'CURRENT'"), cases["depends"])
-    depends = cut(with_relation_ids(depends))
-    seeds = o.where("fell").select("state_id")
-    if not seeds.isEmpty():
-        held = store.relations(groups, ["depends-on"]).select(*depends.columns).unionByName(depends)
-        replacing = edges.join(seeds, edges["target"] == seeds["state_id"], "left_semi").select(F.col("source").alias("state_id")).distinct()
-        fallen = cut(dependency.propagate(after.select("state_id", F.col("version_id").alias("version"), "status"), held.select("source", "target", "strength"), seeds, replacing))
-        fate = fallen.where("outcome in ('SEED', 'STALE', 'REVALIDATE')").select("state_id", F.col("outcome").alias("_o"))
-        down = F.col("_o").isin("SEED", "STALE")
-        after = after.join(fate, "state_id", "left").withColumn("status", F.when(down, "STALE").otherwise(F.col("status")))
-        after = after.withColumn("revalidate", F.col("revalidate") | F.coalesce(F.col("_o") == "REVALIDATE", F.lit(False))).withColumn("_touched", F.col("_touched") | F.col("_o").isNotNull()).drop("_o")
-        by_version = after.groupBy(F.col("version_id").alias("via")).agg(F.min("state_id").alias("source"))
-        cascaded = fallen.where("outcome = 'STALE'").join(after.select("state_id", "group_id"), "state_id").join(by_version, "via").join(rows.select("group_id", F.col("observed_at").alias("created_at")).distinct(), "group_id")
-        edges = edges.unionByName(cascaded.select("group_id", "source", F.col("state_id").alias("target"), F.lit("invalidates").alias("relation_type"), F.lit(None).cast("string").alias("strength"), F.lit("cascade").alias("reason"), F.lit(None).cast("string").alias("evidence_id"), "created_at"))
-    after = cut(after)
-    t0, t1 = scope.semantic_scope(F.col("t0"), F.col("t1"), F.col("observed_at"))
-    slots = after.where(F.col("status").isin(dependency.ACTIVE)).select("group_id", identity.norm(F.col("entity")).alias("subject"), identity.attribute_id(F.col("attribute")).alias("field"), value_key().alias("key"), F.col("state_id").alias("id"), t0.alias("t0"), t1.alias("t1"), "cond")
-    twice = intervals.overlapping(slots, ["group_id", "subject", "field", "key"]).groupBy("group_id").agg(F.lit("TWO_ACTIVE_STATES_OF_ONE_SLOT").alias("reason"))
-    bad = cut(faulty.unionByName(twice).groupBy("group_id").agg(F.min("reason").alias("reason")))
-    good = lambda df: df.join(bad, "group_id", "left_anti")
-    observation = rows.select(*OBSERVATION).distinct()
+    rows = cut(rows.join(blocks.select(*name, "place"), name))
+    faults = rows.where("fault is not null").groupBy(*name).agg(F.min("fault").alias("fault"))
+    new = merged_in_observation(rows.where("is_candidate and fault is null").join(faults, name, "left_anti"))
+    new = cut(new.withColumn("status", F.lit(None).cast("string")).withColumn("uncertainty", F.lit(None).cast("string")).withColumn("duplicate_of", F.lit(None).cast("string")).withColumn("revalidate", F.lit(False)).withColumn("evidence_ids", F.array("evidence_id")))
+    base = known.withColumn("place", F.lit(-1)).withColumn("depends", F.array().cast(f"array<{DEPENDENCY}>"))
+    active = F.col("status").isin(dependency.ACTIVE)
+    both = [c for c in base.columns if c in new.columns]
+    older = base.where(active).select(*both).unionByName(new.select(*both))
+    pairs = weighed(new, older, cases)
+    # besides active states those of versions that a dependency has at an end
+    held = store.relations(groups, ["depends-on"]).select("group_id", "source", "target", "strength")
+    ends = held.select(F.explode(F.array("source", "target")).alias("state_id")).distinct()
+    versions = known.join(ends, "state_id").select("version_id", F.lit(True).alias("_end")).distinct()
+    met = base.join(versions, "version_id", "left").where(active | F.col("_end")).select(*both).unionByName(new.select(*both))
+    listed = lambda df, what, column: df.groupBy("group_id").agg(F.collect_list(column).alias(what))
+    seen = listed(blocks.join(faults, name, "left"), "observations", F.struct("place", "observation_id", "observation_index", "last", "fault"))
+    seen = seen.join(listed(cells(met), "cells", "cell"), "group_id", "left")
+    seen = seen.join(listed(pairs, "pairs", F.struct(*[c for c in pairs.columns if c != "group_id"])), "group_id", "left")
+    seen = seen.join(listed(held, "held", F.struct("source", "target", "strength")), "group_id", "left")
+    done = cut(seen.select("group_id", F.udf(folding.fold, folding.RESULT, useArrow=False)("observations", "cells", "pairs", "held").alias("r")))
+    part = lambda what: done.select("group_id", F.explode(f"r.{what}").alias("x")).select("group_id", "x.*")
+    outcome = part("outcomes")
+    observation = rows.select(*OBSERVATION).dropDuplicates(name)
+    went_in = outcome.where("status = 'COMMITTED'").select(*name)
     whole = observation.where("text is not null").select("group_id", _id("evidence", F.col("group_id"), F.col("observation_id"), F.col("text")).alias("evidence_id"), "observation_id", "observed_at", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("span"))
-    spans = n.where("span is not null").select("group_id", "evidence_id", "observation_id", "observed_at", F.col("text").alias("source_text"), "span")
+    spans = new.where("span is not null").select("group_id", "evidence_id", "observation_id", "observed_at", F.col("text").alias("source_text"), "span")
+    changed = part("states")
+    fixed = [c for c in known.columns if c not in changed.columns or c in ("group_id", "state_id")]
+    related = part("relations").join(observation.select(*name, F.col("observed_at").alias("created_at")), name).drop("observation_id")
     tables = {
-        "observations": observation.join(bad, "group_id", "left").select("group_id", "observation_id", "observation_index", "observed_at", F.when(F.col("reason").isNull(), "COMMITTED").otherwise("FAILED").alias("status"), "reason"),
-        "evidence": good(whole.unionByName(spans).dropDuplicates(["group_id", "evidence_id"])),
-        "states": good(after.where("_touched")),
-        "relations": good(with_relation_ids(edges).unionByName(depends)),
+        "observations": outcome.where("stored").join(observation, name).select(*name, "observation_index", "observed_at", "status", "reason"),
+        "evidence": whole.unionByName(spans).join(went_in, name, "left_semi").dropDuplicates(["group_id", "evidence_id"]),
+        "states": known.select(*fixed).unionByName(new.select(*fixed)).join(changed, ["group_id", "state_id"]),
+        "relations": with_relation_ids(related),
     }
-    return tables, observation.join(bad, "group_id").select("group_id", "observation_id", "reason")
+    return tables, outcome.where("status = 'FAILED'").select(*name, "reason")
 
 
 def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
@@ -211,26 +187,26 @@ def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
     rows = cut(prepared(rows))
     cases = {c: selectors.patterns(asked(rows, c)) for c in ("effects", "conflicts", "depends")}
     name = ["group_id", "observation_id"]
-    every = rows.select(*name, "observation_index").distinct()
+    every = cut(rows.groupBy(*name).agg(F.min("observation_index").alias("observation_index"), F.count("*").alias("n")))
     done = lambda: store.table("observations").where("status = 'COMMITTED'")
     log = done()
     replayed = cut(every.join(log.select(*name), name, "left_semi").select(*name))
     failed = rows.sparkSession.createDataFrame([], "group_id string, observation_id string, reason string")
     number = len(store.load())
+    w = W.partitionBy("group_id").orderBy("observation_index", "observation_id")
     while True:
         ahead = every.join(log.select(*name), name, "left_anti").join(failed.select("group_id"), "group_id", "left_anti")
-        heads = ahead.groupBy("group_id").agg(F.min(F.struct("observation_index", "observation_id")).alias("h")).select("group_id", "h.*")
         last = log.groupBy("group_id").agg(F.max("observation_index").alias("last"))
         broken = store.table("observations").where("status = 'FAILED'").groupBy("group_id").agg(F.min("observation_index").alias("broken"))
-        heads = heads.join(last, "group_id", "left").join(broken, "group_id", "left").where("broken is null or observation_index <= broken")
-        heads = cut(heads.select(*name, (F.col("observation_index") <= F.coalesce("last", F.lit(-1))).alias("back")))
-        if heads.isEmpty():
+        ahead = ahead.join(broken, "group_id", "left").where("broken is null or observation_index <= broken")
+        placed = ahead.withColumn("place", F.row_number().over(w) - 1).withColumn("_sum", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        blocks = placed.where((F.col("place") == 0) | ((F.col("place") < BLOCK) & (F.col("_sum") <= CANDIDATES))).join(last, "group_id", "left")
+        blocks = cut(blocks.select(*name, "observation_index", "place", F.coalesce("last", F.lit(-1)).alias("last")))
+        if blocks.isEmpty():
             break
-        back = heads.where("back").select(*name, F.lit("ORDER_GOES_BACK").alias("reason"))
-        tables, failures = wave(store, cut(rows.join(heads.where("not back").select(*name), name)), cases)
+        tables, failures = wave(store, rows, blocks, cases)
         number += 1
         store.commit(tables, f"{key}-{number}")
-        failures = failures.unionByName(back)
         if not failures.isEmpty():
             failed = cut(failed.unionByName(failures))
         log = done()

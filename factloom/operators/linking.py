@@ -14,8 +14,8 @@ from factloom.sources.durable import written
 POOL, LEAD = 8, 0.5
 
 
-def pool(pairs: DataFrame, limit: int = POOL) -> DataFrame:
-    """The best ``limit`` old states of each new one, from pairs of one subject (columns as in ``conflict``).
+def weighed(pairs: DataFrame) -> DataFrame:
+    """pairs of one subject (columns as in ``conflict``) with ``eligible`` and ``score``.
 
     A pair that isn't the same slot, and isn't a grounded negation of a direct statement with a time in common, stays
     with score 0: it is seen, but decides nothing. Where pairs have a column ``named`` (an effect or a conflict of the
@@ -42,7 +42,12 @@ def pool(pairs: DataFrame, limit: int = POOL) -> DataFrame:
         + direct
         - yes(apart, 2.0)
     )
-    scored = pairs.select("n_state_id", "o_state_id", (slot | crossed | named).alias("eligible"), F.when(slot | crossed | named, score).otherwise(0.0).alias("score"))
+    return pairs.select("*", (slot | crossed | named).alias("eligible"), F.when(slot | crossed | named, score).otherwise(0.0).alias("score"))
+
+
+def pool(pairs: DataFrame, limit: int = POOL) -> DataFrame:
+    """The best ``limit`` old states of each new one, from pairs of one subject as ``weighed`` takes them."""
+    scored = weighed(pairs).select("n_state_id", "o_state_id", "eligible", "score")
     rank = W.partitionBy("n_state_id").orderBy(F.desc("score"), "o_state_id")
     ranked = scored.select("*", F.row_number().over(rank).cast("long").alias("pool_rank"), F.lead("score").over(rank).alias("next"))
     decisive = (F.col("pool_rank") == 1) & F.col("eligible") & (F.col("score") - F.coalesce("next", F.col("score") - LEAD) >= LEAD)

@@ -218,3 +218,14 @@ def test_damaged_snapshots(spark, tmp_path):
     spark.createDataFrame(kept[:1]).write.mode("overwrite").parquet(f"{tmp_path}/snap/states")
     with pytest.raises(S.StoreError, match="isn't what was exported"):
         S.Store.restore(spark, f"{tmp_path}/snap", f"{tmp_path}/copy")
+
+
+def test_a_long_group_takes_few_commits(spark, tmp_path, monkeypatch):
+    """A commit for each turn of the longest group, once; what a block leaves is what its observations leave one by one."""
+    rows = [r for r in some(3, groups=2, turns=14) if r[8] is not None or r[6] is None] + [row("h", i, "Ann", "city", v) for i, v in enumerate("xyxxzyx")]
+    states, outcome = plainly(rows)
+    for block, commits in ((64, 1), (5, 3)):
+        monkeypatch.setattr(I, "BLOCK", block)
+        store = S.Store(spark, f"{tmp_path}/store{block}")
+        assert {r.observation_id: r.status for r in I.ingest(store, frame(spark, rows), "k").collect()} == outcome
+        assert held(store) == states and len(store.load()) == commits
