@@ -12,6 +12,8 @@ from factloom.sources.durable import cut
 SENTENCE = r"[^.!?]+(?:[.!?]+|$)"
 DEPENDS = r"(?iUd)^\s*(.+?)\s+depends\s+on\s+(.+?)\s*[.!?]*$"
 SIDES = ["downstream", "prerequisite"]
+#: So many first characters of a piece are looked at before it is looked up, where a group's values begin in at most so many ways.
+HEAD, HEADS = 4, 256
 
 
 def spoken(c: Column) -> Column:
@@ -19,15 +21,26 @@ def spoken(c: Column) -> Column:
     return F.array_join(identity.words(c.cast("string")), " ")
 
 
+def sentences(observations: DataFrame) -> DataFrame:
+    """group_id, observation_id, sentence (from 0), _s of the sentences that state a dependency."""
+    s = observations.select("group_id", "observation_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))).alias("sentence", "_s"))
+    return s.where(F.col("_s").rlike(DEPENDS)).withColumn("sentence", F.col("sentence").cast("long"))
+
+
+def side(i: int) -> Column:
+    return spoken(F.regexp_extract("_s", DEPENDS, i))
+
+
+def reason() -> Column:
+    return F.regexp_replace("_s", r"(?U)^\s+|\s+$", "").alias("reason")
+
+
 def statements(observations: DataFrame) -> DataFrame:
     """group_id, observation_id, sentence (from 0), downstream, prerequisite, reason of the sentences that state a dependency.
 
     observations: group_id, observation_id, text (null: none). The first "depends on" of a sentence parts its sides.
     """
-    s = observations.select("group_id", "observation_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))).alias("sentence", "_s"))
-    s = s.where(F.col("_s").rlike(DEPENDS))
-    part = lambda i: spoken(F.regexp_extract("_s", DEPENDS, i))
-    return s.select("group_id", "observation_id", F.col("sentence").cast("long").alias("sentence"), part(1).alias("downstream"), part(2).alias("prerequisite"), F.regexp_replace("_s", r"(?U)^\s+|\s+$", "").alias("reason"))
+    return sentences(observations).select("group_id", "observation_id", "sentence", *[side(i + 1).alias(s) for i, s in enumerate(SIDES)], reason())
 
 
 def stated(observations: DataFrame, states: DataFrame) -> DataFrame:
@@ -38,19 +51,23 @@ def stated(observations: DataFrame, states: DataFrame) -> DataFrame:
     without words name nothing; rows that are repeated count once.
 
     Values are looked up by equal texts: of each fragment the pieces of those lengths that values of its group have,
-    one row for each length, so a very long sentence costs its characters times the lengths.
+    one row for each length, so a very long sentence costs its characters times the lengths. Pieces that begin as no value
+    of their length in the group does are left out before rows are dealt (where values begin in more than ``HEADS`` ways,
+    none are).
     """
-    said = cut(statements(observations).dropDuplicates(["group_id", "observation_id", "sentence"]))
-    known = states.select("group_id", "state_id", identity.norm(F.col("entity").cast("string")).alias("entity"), identity.norm(F.col("attribute")).alias("attribute"), spoken(F.col("value")).alias("value")).where("value <> ''").dropDuplicates(["group_id", "state_id"])
-    lengths = known.select("group_id", F.length("value").alias("n")).distinct()
     keys = ["group_id", "observation_id", "sentence"]
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("fragment")) for s in SIDES])
+    said = cut(sentences(observations).dropDuplicates(keys))
+    known = states.select("group_id", "state_id", identity.norm(F.col("entity").cast("string")).alias("entity"), identity.norm(F.col("attribute")).alias("attribute"), spoken(F.col("value")).alias("value")).where("value <> ''").dropDuplicates(["group_id", "state_id"])
+    begins = known.select("group_id", F.length("value").alias("n"), F.substring("value", 1, HEAD).alias("h")).distinct().groupBy("group_id", "n")
+    lengths = begins.agg(F.when(F.count("*") <= HEADS, F.collect_list("h")).alias("heads"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), side(i + 1).alias("fragment")) for i, s in enumerate(SIDES)])
     f = said.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.side", "x.fragment").join(lengths, "group_id").where(F.length("fragment") >= F.col("n"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("fragment") - F.col("n") + 1), lambda i: F.substring("fragment", i, F.col("n")))
-    f = f.select(*keys, "side", F.explode(F.array_distinct(pieces)).alias("value"))
-    named = f.join(known, ["group_id", "value"]).groupBy(*keys, "side").agg(F.count("*").alias("_n"), F.first(F.struct("state_id", "entity", "attribute", "value")).alias("_state")).where("_n = 1")
-    end = lambda s: named.where(F.col("side") == s).select(*keys, F.col("_state").alias(f"_{s}"))
-    both = end("downstream").join(end("prerequisite"), keys)
+    places = F.sequence(F.lit(1), F.length("fragment") - F.col("n") + 1)
+    likely = F.filter(places, lambda i: F.col("heads").isNull() | F.array_contains("heads", F.substring("fragment", i, F.least(F.lit(HEAD), F.col("n")))))
+    f = f.select(*keys, "side", F.explode(F.array_distinct(F.transform(likely, lambda i: F.substring("fragment", i, F.col("n"))))).alias("value"))
+    own = lambda s: F.col("side") == s
+    state = F.struct("state_id", "entity", "attribute", "value")
+    named = f.join(known, ["group_id", "value"]).groupBy(*keys).agg(*[x for s in SIDES for x in (F.count_if(own(s)).alias(f"_n_{s}"), F.first(F.when(own(s), state), ignorenulls=True).alias(f"_{s}"))])
     slot = lambda s: F.struct(*[F.col(f"_{s}.{c}") for c in ("entity", "attribute", "value")])
-    both = both.where(slot("downstream") != slot("prerequisite"))
-    return both.join(said.select(*keys, "reason"), keys).select(*keys, F.col("_downstream.state_id").alias("downstream"), F.col("_prerequisite.state_id").alias("prerequisite"), "reason")
+    both = named.where(F.col(f"_n_{SIDES[0]}") == 1).where(F.col(f"_n_{SIDES[1]}") == 1).where(slot("downstream") != slot("prerequisite"))
+    return both.join(said.select(*keys, reason()), keys).select(*keys, F.col("_downstream.state_id").alias("downstream"), F.col("_prerequisite.state_id").alias("prerequisite"), "reason")

@@ -40,3 +40,18 @@ def test_stated(spark):
 
 def test_empty(spark):
     assert intents.stated(spark.createDataFrame([("g", 1, "a depends on b")], OBS), spark.createDataFrame([], STATE)).count() == 0
+
+
+def test_pieces_are_looked_up_once_and_only_likely_ones(spark, monkeypatch):
+    """Every piece of every side was once dealt by its text, for each side anew."""
+    values = ["Customer#0001", "Customer#0002", "x", "Über#7", "abc"]
+    states = spark.createDataFrame([("g", i, f"e{i}", "a", v) for i, v in enumerate(values)], "group_id string, state_id long, entity string, attribute string, value string")
+    said = [f"The order of {a} depends on that of {b}. So it is!" for a in values for b in values]
+    obs = spark.createDataFrame([("g", i, t) for i, t in enumerate(said)], "group_id string, observation_id long, text string")
+    got = intents.stated(obs, states)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "filter(sequence" in plan
+    rows = {tuple(r) for r in got.collect()}
+    assert rows
+    monkeypatch.setattr(intents, "HEADS", 0)  # no piece is left out
+    assert {tuple(r) for r in intents.stated(obs, states).collect()} == rows
