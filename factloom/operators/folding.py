@@ -7,9 +7,9 @@ from collections import defaultdict
 from factloom.operators import conflict, linking
 
 ACTIVE = ("CURRENT", "UNCERTAIN")
-RESULT = """struct<outcomes array<struct<observation_id string, status string, reason string, stored boolean>>,
-states array<struct<state_id string, status string, uncertainty string, revalidate boolean, confidence double, evidence_ids array<string>, duplicate_of string>>,
-relations array<struct<source string, target string, relation_type string, strength string, reason string, evidence_id string, observation_id string>>>"""
+RESULT = """struct<outcomes array<struct<at int, observation_id string, status string, reason string, stored boolean>>,
+states array<struct<at int, status string, uncertainty string, revalidate boolean, confidence double, evidence_ids array<string>, duplicate_of string>>,
+relations array<struct<source string, target string, relation_type string, strength string, reason string, evidence_id string, at int>>, stopped boolean>"""
 CHANGING = ["status", "uncertainty", "revalidate", "confidence", "evidence_ids", "duplicate_of"]
 FIELDS = ("entity", "attribute", "value")
 
@@ -26,7 +26,7 @@ class Group:
                 self.new[s["place"]].append(s)
         self.pairs = defaultdict(list)
         for p in pairs:
-            self.pairs[p["n_state_id"]].append(p)
+            self.pairs[cells[p["n"]]["state_id"]].append({**p.asDict(), "o_state_id": cells[p["o"]]["state_id"]})
         self.edges = [(e["source"], e["target"], e["strength"]) for e in held]
         self.now, self.touched = {}, set()
         self.masks = {tuple(d[f] is not None for f in FIELDS) for s in every.values() for d in s["depends"]}
@@ -200,21 +200,36 @@ class Group:
         return relations + depends
 
 
-def fold(observations: list, cells: list | None, pairs: list | None, held: list | None) -> tuple:
-    """Outcomes, changed states and relations of one group's observations, in their order up to the first that fails."""
-    group = Group(cells or [], pairs or [], held or [])
-    outcomes, relations, last = [], [], observations[0]["last"]
-    for o in sorted(observations, key=lambda o: o["place"]):
+def fold(observations: list, cells: list, pairs: list | None, held: list, broken: list) -> tuple:
+    """Outcomes, changed states and relations of one group's observations, in their order up to the first that fails; whether it ended the group.
+
+    ``at`` is a place in ``observations`` or ``cells``. What lies behind an observation that has failed before waits until that one goes in.
+    """
+    group = Group(cells, pairs or [], held)
+    place = {c["state_id"]: i for i, c in enumerate(cells)}
+    broken = {b["observation_id"]: b["observation_index"] for b in broken}
+    order = sorted(range(len(observations)), key=lambda i: observations[i]["place"])
+    outcomes, relations, last, stopped = [], [], observations[order[0]]["last"], False
+    for i in order:
+        o = observations[i]
         name, index, fault = o["observation_id"], o["observation_index"], o["fault"]
+        if broken and (index is None or index > min(broken.values())):
+            stopped = True
+            continue
         if index is None or index <= last:
-            outcomes.append((name, "FAILED", "ORDER_GOES_BACK", False))
+            outcomes.append((i, name, "FAILED", "ORDER_GOES_BACK", False))
+            stopped = True
             break
         brought = None if fault else group.take(o["place"])
         if brought is None:
-            outcomes.append((name, "FAILED", fault or "TWO_ACTIVE_STATES_OF_ONE_SLOT", True))
+            outcomes.append((i, name, "FAILED", fault or "TWO_ACTIVE_STATES_OF_ONE_SLOT", True))
+            stopped = True
             break
-        outcomes.append((name, "COMMITTED", None, True))
-        relations += [(*r, name) for r in brought]
+        outcomes.append((i, name, "COMMITTED", None, True))
+        relations += [(*r, i) for r in brought]
+        broken.pop(name, None)
         last = index
-    states = [(i, *[group.was[i][c] for c in CHANGING]) for i in sorted(group.touched)]
-    return outcomes, states, relations
+    states = [(place[i], *[group.was[i][c] for c in CHANGING]) for i in sorted(group.touched)]
+    # the same source, target, type, strength and evidence is one relation
+    relations = list({(*r[:4], r[5]): r for r in reversed(relations)}.values())
+    return outcomes, states, relations, stopped

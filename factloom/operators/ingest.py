@@ -1,12 +1,14 @@
 """Ingest of observations in order, one transaction an observation, for many groups at once.
 
-A wave takes the next observations of every group that has any, up to ``BLOCK`` of them with ``CANDIDATES`` rows. What
-texts, times and names say of a candidate and the states it may meet is found by joins, for all groups and observations
-of the wave at once; the order of a group, in which an observation's candidates are linked against the states that were
-active before it and revise them, dependencies are resolved, stale states cascade and the active ones are checked, is a fold
-over those few figures (``folding``). One commit of the store ends the wave. An observation that fails (a candidate that can't be a state, two active states of one slot and value) leaves
-its group as it was: none of its states, evidence and relations are part of the commit, the log says why, and the group's
-later observations wait, in this call and in later ones, until it has come again and gone in. One whose index goes back
+The rows are dealt out by observation and then by group, once each, into blocks of up to ``BLOCK`` observations that
+follow one another in a group and about ``CANDIDATES`` rows: one row with its texts and candidates. A wave takes the next
+block of every group beside the group's states in the store. What texts, times and names say of a candidate and the
+states it may meet is found for all pairs of the block; the order of a group, in which an observation's candidates are
+linked against the states that were active before it and revise them, dependencies are resolved, stale states cascade
+and the active ones are checked, is a fold over those few figures (``folding``). What the fold leaves is read off the
+block, so texts and states aren't joined to it again. One commit of the store ends the wave. An observation that fails (a
+candidate that can't be a state, two active states of one slot and value) leaves its group as it was: none of its states,
+evidence and relations are part of the commit, the log says why, and the group's later observations wait, in this call and in later ones, until it has come again and gone in. One whose index goes back
 behind what has been committed is refused. What has been committed is a replay when it comes again and changes nothing.
 
 Rows: group_id, observation_id, observation_index, observed_at, text, and a candidate (null entity: the observation has
@@ -16,23 +18,28 @@ states it ends or contradicts), depends (selectors of states it rests on, each w
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from factloom.functions import evidence, identity, scope
 from factloom.operators import conflict, dependency, folding, linking, selectors
-from factloom.sources.durable import cut
+from factloom.sources.durable import removed, shared_folder, written
 from factloom.sources.store import CONDITIONS, Store
 
 SELECTOR = "struct<entity:string,attribute:string,value:string>"
 DEPENDENCY = "struct<entity:string,attribute:string,value:string,strength:string>"
 ROW = f"""group_id string, observation_id string, observation_index long, observed_at timestamp_ntz, text string, sequence_index long, entity string, attribute string, value string, t0 timestamp_ntz, t1 timestamp_ntz, cond {CONDITIONS}, confidence double, span string, effects array<{SELECTOR}>, conflicts array<{SELECTOR}>, depends array<{DEPENDENCY}>"""
-OBSERVATION = ["group_id", "observation_id", "observation_index", "observed_at", "text"]
-#: A group's share of a wave: so many observations and rows (one observation at least). Pairs within it grow with its square.
+NAME = ["group_id", "observation_id"]
+#: A group's share of a wave: so many observations, and rows but for what the first one has over; one with more rows than that is alone. Pairs within it grow with its square.
 BLOCK, CANDIDATES = 64, 512
 #: What a state is compared by (see ``conflict``).
 COMPARED = ["state_id", "entity", "attribute", "value", "t0", "t1", "cond", "confidence", "observed_at", "observation_index", "sequence_index", "span"]
+#: What a block holds of a state: its row in the store, and where its observation stands.
+STATE = "state_id version_id slot_id entity attribute value status uncertainty revalidate t0 t1 cond confidence observed_at observation_id observation_index sequence_index span evidence_ids duplicate_of place".split()
 
 
 def _id(prefix: str, *parts: Column) -> Column:
@@ -66,116 +73,150 @@ def prepared(rows: DataFrame) -> DataFrame:
     return r.withColumn("state_id", _id("state", F.col("version_id"), F.col("sequence_index"), F.col("attribute"), F.col("value")))
 
 
-def merged_in_observation(candidates: DataFrame) -> DataFrame:
-    """Candidates of one slot and value in one observation are one: the first, its confidence the greatest of them."""
-    w = W.partitionBy("version_id")
-    first = F.row_number().over(w.orderBy("sequence_index", "state_id"))
-    return candidates.withColumn("confidence", F.max("confidence").over(w)).withColumn("_n", first).where("_n = 1").drop("_n")
-
+def observations(rows: DataFrame) -> DataFrame:
+    """One row for each observation of ``rows``: index, time, its texts, n rows, fault, and its candidates as states to be.
 
-def asked(new: DataFrame, column: str) -> DataFrame:
-    """The selectors in ``column``, one a row."""
-    s = new.select("group_id", F.col("state_id").alias("n_state_id"), F.explode(column).alias("s"))
-    return s.select("group_id", "n_state_id", *[F.col(f"s.{f}").alias(f"sel_{f}") for f in selectors.FIELDS])
+    Candidates of one slot and value in one observation are one: the first, its confidence the greatest of them. ``tells``:
+    the candidate's span is evidence of its own. One shuffle, in which the rows of an observation travel together.
+    """
+    r = prepared(rows.repartition(*NAME))
+    one = W.partitionBy(*NAME, "is_candidate", "version_id")
+    first = F.row_number().over(one.orderBy("sequence_index", "state_id"))
+    r = r.withColumn("confidence", F.max("confidence").over(one)).withColumn("_kept", F.col("is_candidate") & (first == 1))
+    told = W.partitionBy(*NAME, "_kept", "evidence_id").orderBy("sequence_index", "state_id")
+    r = r.withColumn("tells", F.col("_kept") & F.col("span").isNotNull() & (F.row_number().over(told) == 1))
+    r = r.withColumn("source", F.col("text")).withColumn("evidence_ids", F.array("evidence_id")).withColumn("revalidate", F.lit(False)).withColumn("place", F.lit(0))
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    unset = ("status", "uncertainty", "duplicate_of")
+    state = F.struct(*[null(c) if c in unset else F.col(c) for c in STATE], "effects", "conflicts", "depends", "tells", "source")
+    o = r.groupBy(*NAME).agg(F.min("observation_index").alias("observation_index"), F.min("observed_at").alias("observed_at"), F.min("fault").alias("fault"), F.array_sort(F.collect_set("text")).alias("texts"), F.collect_list(F.when(F.col("_kept"), state)).alias("new"))
+    # a text is stated once: by its observation, not again by a span that is all of it or by each candidate
+    source = lambda x: F.when(~x["source"].eqNullSafe(F.get("texts", F.lit(0))), x["source"])
+    new = F.transform("new", lambda x: x.withField("tells", x["tells"] & ~F.coalesce(F.array_contains("texts", x["span"]), F.lit(False))).withField("source", source(x)))
+    return o.withColumn("new", F.when(F.col("fault").isNull(), new).otherwise(F.array().cast(o.schema["new"].dataType)))
+
+
+def planned(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """group_id, observation_id, place (their order in the group), block and last (the group's index before it) of what isn't in the log (committed observations)."""
+    every = rows.groupBy(*NAME).agg(F.min("observation_index").alias("observation_index"), F.count("*").alias("n"))
+    ahead = every.join(log.select(*NAME), NAME, "left_anti").join(log.groupBy("group_id").agg(F.max("observation_index").alias("_last")), "group_id", "left")
+    w = W.partitionBy("group_id").orderBy("observation_index", "observation_id")
+    before = F.max("observation_index").over(w.rowsBetween(W.unboundedPreceding, -1))
+    p = ahead.withColumn("place", F.row_number().over(w) - 1).withColumn("last", F.coalesce(F.greatest("_last", before), F.lit(-1))).withColumn("_part", F.floor(F.col("place") / BLOCK))
+    part, alone = W.partitionBy("group_id", "_part").orderBy("place"), (F.col("n") > CANDIDATES).cast("int")
+    p = p.withColumn("_full", F.floor((F.sum("n").over(part) - 1) / CANDIDATES)).withColumn("_cut", 2 * F.sum(alone).over(part) - alone)
+    return p.select(*NAME, "place", (F.dense_rank().over(W.partitionBy("group_id").orderBy("_part", "_full", "_cut")) - 1).alias("block"), "last")
 
 
-def _named(new: DataFrame, column: str, older: DataFrame, cases: list) -> DataFrame:
-    """(n_state_id, o_state_id, column) of the states that the selectors in ``column`` name."""
-    s = asked(new, column)
-    none = "n_state_id string, o_state_id string"
-    got = selectors.matches(s, older, cases).select("n_state_id", F.col("state_id").alias("o_state_id")) if cases else new.sparkSession.createDataFrame([], none)
-    return got.withColumn(column, F.lit(True))
+def blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """group_id, block, observations (in no order; each with its new states) of the observations in ``plan``."""
+    o = observations(rows).join(plan, NAME)
+    new = F.transform("new", lambda x: x.withField("place", F.col("place")))
+    one = F.struct("place", "observation_id", "observation_index", "observed_at", "last", "fault", "texts", new.alias("new"))
+    return o.groupBy("group_id", "block").agg(F.collect_list(one).alias("observations"))
 
 
-def weighed(new: DataFrame, older: DataFrame, cases: dict) -> DataFrame:
-    """group_id, n_state_id, o_state_id and what a link of the two would mean: of each new state and those of its subject, or named by it, that are placed before it.
+def pairs(groups: DataFrame) -> DataFrame:
+    """group_id and pairs: of each new state and those of its subject, or named by it, that are placed before it, what a link of the two would mean.
 
-    Pairs that can't be linked are left out. slot: one slot; named: an effect or a conflict names the old one; score as in
-    the pool; conflict, polarity, ended, other_field as ``conflict.revised`` needs them.
+    groups: group_id, observations, states. A pair holds the places of the two in ``states`` (n, o); pairs that can't be linked are left
+    out. slot: one slot; named: an effect or a conflict names the old one; score as in the pool; conflict, polarity, ended,
+    other_field as ``conflict.revised`` needs them.
     """
-    ids = ["n_state_id", "o_state_id"]
-    subject = identity.norm(F.col("entity")).alias("subject")
-    mine = new.select("group_id", subject, F.col("state_id").alias("n_state_id"), F.col("place").alias("_n"))
-    by_subject = mine.join(older.select("group_id", subject, F.col("state_id").alias("o_state_id"), F.col("place").alias("_o")), ["group_id", "subject"]).where("_o < _n").select(*ids)
-    effect, against = (_named(new, c, older, cases[c]) for c in ("effects", "conflicts"))
-    pair = by_subject.unionByName(effect, allowMissingColumns=True).unionByName(against, allowMissingColumns=True) if cases["effects"] or cases["conflicts"] else by_subject.withColumn("effects", F.lit(None).cast("boolean")).withColumn("conflicts", F.lit(None).cast("boolean"))
-    pair = pair.groupBy(*ids).agg(F.coalesce(F.max(F.coalesce("effects", F.lit(False)) | F.coalesce("conflicts", F.lit(False))), F.lit(False)).alias("named"))
-    # what tells most pairs that can't be linked is read once a row, before texts are compared
-    parts, negative = identity.attribute_parts(F.col("attribute")), evidence.negative(F.col("attribute"), F.col("value").cast("string"), F.col("span"))
-    side = lambda df, p, *more: df.select(*[F.col(c).alias(f"{p}_{c}") for c in [*COMPARED, "place"]], parts.alias(f"{p}_parts"), *more)
-    pair = pair.join(side(new, "n", F.col("effects").alias("n_effects"), F.col("group_id").alias("n_group_id"), negative.alias("n_negative")), "n_state_id").join(side(older, "o"), "o_state_id").where("o_place < n_place")
+    norm = lambda c: identity.norm(c.cast("string"))
+    asked = lambda x: F.transform(F.concat(*[F.transform(x[c], lambda s: F.struct(*[s[f].alias(f) for f in selectors.FIELDS])) for c in ("effects", "conflicts")]), lambda s: F.struct(*[norm(s[f]).alias(f) for f in selectors.FIELDS]))
+    # what texts, names and times say of one state alone is read before any are paired
+    own = lambda x: {**{c: x[c] for c in [*COMPARED, "place"]}, **linking.read_once(lambda c: x[c])}
+    older = lambda x: {**own(x), "names": F.struct(*[norm(x[f]).alias(f) for f in selectors.FIELDS])}
+    newer = lambda x: {**own(x), "effects": x["effects"], "asked": asked(x)}
+    side = lambda p, said, which: F.filter(F.transform("states", lambda x, i: F.when(which(x), F.struct(i.alias(f"{p}_at"), *[v.alias(f"{p}_{c}") for c, v in said(x).items()]))), lambda x: x.isNotNull())
+    new = lambda x: x["place"] >= 0
+    before = F.array_max(F.transform("observations", lambda o: o["place"]))
+    each = groups.select("group_id", side("o", older, lambda x: F.when(new(x), x["place"] < before).otherwise(x["status"].isin(dependency.ACTIVE))).alias("old"), side("n", newer, new).alias("new"))
+    each = each.select("group_id", "old", F.inline("new"))
+    each = each.select(*[c for c in each.columns if c != "old"], F.inline("old")).where("o_place < n_place")
+    hit = lambda s: reduce(Column.__and__, [s[f].isNull() | (s[f] == F.col(f"o_names.{f}")) for f in selectors.FIELDS])
+    pair = each.withColumn("named", F.coalesce(F.exists("n_asked", hit), F.lit(False))).where("named or n_subject = o_subject")
+    # what most of the rest fail by, before texts are compared
     pair = pair.where(F.col("named") | F.coalesce("n_negative", F.lit(False)) | (identity.parts_compatible(F.col("n_parts"), F.col("o_parts")) & conflict.same_scope()))
     pair = linking.weighed(pair.withColumn("linked", F.lit(False))).where("eligible")
     none = F.array().cast("array<string>")
-    links = pair.withColumn("slot", conflict.same_slot()).withColumn("linked", F.lit(True)).withColumn("n_invalidates", none).withColumn("n_conflicts", none)
+    links = pair.withColumn("slot", (F.col("n_subject") == F.col("o_subject")) & identity.parts_compatible(F.col("n_parts"), F.col("o_parts")) & conflict.same_scope()).withColumn("linked", F.lit(True)).withColumn("n_invalidates", none).withColumn("n_conflicts", none)
     ended = F.coalesce((F.col("conflict") == "CONSISTENT") & (F.col("o_t1") <= F.col("n_observed_at")), F.lit(False))
     other = F.lower("o_attribute") != F.lower("n_attribute")
-    return conflict.classified(links).select(F.col("n_group_id").alias("group_id"), *ids, "score", "slot", "named", "conflict", "polarity", ended.alias("ended"), other.alias("other_field"))
+    said = F.struct(F.col("n_at").alias("n"), F.col("o_at").alias("o"), "score", "slot", "named", "conflict", "polarity", ended.alias("ended"), other.alias("other_field"))
+    return conflict.classified(links).groupBy("group_id").agg(F.collect_list(said).alias("pairs"))
 
 
-def cells(states: DataFrame) -> DataFrame:
-    """group_id and a struct of what the fold needs of a state: status and what follows it, its slot and value as keys, what selectors compare."""
-    norm = lambda c: identity.norm(F.col(c).cast("string"))
-    t0, t1 = scope.semantic_scope(F.col("t0"), F.col("t1"), F.col("observed_at"))
+def cell(x: Column) -> Column:
+    """What the fold needs of a state: status and what follows it, its slot and value as keys, what selectors compare."""
+    norm = lambda c: identity.norm(x[c].cast("string"))
+    t0, t1 = scope.semantic_scope(x["t0"], x["t1"], x["observed_at"])
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    key = F.concat_ws("\x1f", norm("entity"), identity.attribute_id(F.col("attribute")), value_key())
-    depends = F.transform("depends", lambda s: F.struct(*[identity.norm(s[f]).alias(f) for f in selectors.FIELDS], s["strength"].alias("strength")))
+    key = F.concat_ws("\x1f", norm("entity"), identity.attribute_id(x["attribute"]), identity.state_value(x["attribute"], x["value"]))
+    depends = F.transform(x["depends"], lambda s: F.struct(*[identity.norm(s[f]).alias(f) for f in selectors.FIELDS], s["strength"].alias("strength")))
     kept = ["state_id", "version_id", "slot_id", "status", "uncertainty", "revalidate", "confidence", "evidence_ids", "duplicate_of", "observation_index", "sequence_index", "cond", "place"]
-    cell = F.struct(*kept, norm("entity").alias("entity"), norm("attribute").alias("attribute"), norm("value").alias("value"), key.alias("key"), micros(t0).alias("t0"), micros(t1).alias("t1"), depends.alias("depends"))
-    return states.select("group_id", cell.alias("cell"))
+    return F.struct(*[x[c].alias(c) for c in kept], norm("entity").alias("entity"), norm("attribute").alias("attribute"), norm("value").alias("value"), key.alias("key"), micros(t0).alias("t0"), micros(t1).alias("t1"), depends.alias("depends"))
 
 
 def with_relation_ids(relations: DataFrame) -> DataFrame:
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("group_id", "relation_type", "source", "target", "strength", "evidence_id")]
-    return relations.withColumn("relation_id", identity.uuid5(F.concat_ws("|", F.lit("relation"), *parts))).dropDuplicates(["relation_id"])
-
-
-def wave(store: Store, rows: DataFrame, blocks: DataFrame, cases: dict) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables to commit, failures (group_id, observation_id, reason)) of the next observations of each group.
-
-    ``rows`` as ``prepared``; ``blocks``: group_id, observation_id, observation_index, place (from 0, their order in the
-    group), last (the group's index so far), cut; ``cases``: the patterns of the selectors in each of effects, conflicts
-    and depends.
-    """
-    name = ["group_id", "observation_id"]
-    groups = blocks.select("group_id").distinct()
-    known = cut(store.states(groups))
-    rows = cut(rows.join(blocks.select(*name, "place"), name))
-    faults = rows.where("fault is not null").groupBy(*name).agg(F.min("fault").alias("fault"))
-    new = merged_in_observation(rows.where("is_candidate and fault is null").join(faults, name, "left_anti"))
-    new = cut(new.withColumn("status", F.lit(None).cast("string")).withColumn("uncertainty", F.lit(None).cast("string")).withColumn("duplicate_of", F.lit(None).cast("string")).withColumn("revalidate", F.lit(False)).withColumn("evidence_ids", F.array("evidence_id")))
-    base = known.withColumn("place", F.lit(-1)).withColumn("depends", F.array().cast(f"array<{DEPENDENCY}>"))
-    active = F.col("status").isin(dependency.ACTIVE)
-    both = [c for c in base.columns if c in new.columns]
-    older = base.where(active).select(*both).unionByName(new.select(*both))
-    pairs = weighed(new, older, cases)
+    return relations.withColumn("relation_id", identity.uuid5(F.concat_ws("|", F.lit("relation"), *parts)))
+
+
+def beside_the_store(store: Store, block: DataFrame) -> DataFrame:
+    """The blocks with ``states`` (those of the group that an observation may touch, then the new ones), ``held`` (its dependencies) and ``broken`` (its failed observations)."""
+    kind = block.schema["observations"].dataType.elementType["new"].dataType
+    new = F.flatten("observations.new")
+    edge, bar = "array<struct<source:string,target:string,strength:string>>", "array<struct<observation_id:string,observation_index:bigint>>"
+    if not store.load():
+        return block.select("group_id", "observations", new.alias("states"), F.array().cast(edge).alias("held"), F.array().cast(bar).alias("broken"))
+    groups = written(block.select("group_id").distinct())
+    known, held = store.states(groups), store.relations(groups, ["depends-on"]).select("group_id", "source", "target", "strength")
     # besides active states those of versions that a dependency has at an end
-    held = store.relations(groups, ["depends-on"]).select("group_id", "source", "target", "strength")
-    ends = held.select(F.explode(F.array("source", "target")).alias("state_id")).distinct()
-    versions = known.join(ends, "state_id").select("version_id", F.lit(True).alias("_end")).distinct()
-    met = base.join(versions, "version_id", "left").where(active | F.col("_end")).select(*both).unionByName(new.select(*both))
+    ends = held.select("group_id", F.explode(F.array("source", "target")).alias("state_id")).distinct()
+    versions = known.join(ends, ["group_id", "state_id"]).select("group_id", "version_id", F.lit(True).alias("_end")).distinct()
+    met = known.join(versions, ["group_id", "version_id"], "left").where(F.col("status").isin(dependency.ACTIVE) | F.col("_end"))
+    fill = {"place": F.lit(-1), "tells": F.lit(False), **{c: F.array() for c in ("effects", "conflicts", "depends")}}
+    old = F.struct(*[(fill[f.name] if f.name in fill else F.col(f.name) if f.name in met.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields])
     listed = lambda df, what, column: df.groupBy("group_id").agg(F.collect_list(column).alias(what))
-    seen = listed(blocks.join(faults, name, "left"), "observations", F.struct("place", "observation_id", "observation_index", "last", "fault"))
-    seen = seen.join(listed(cells(met), "cells", "cell"), "group_id", "left")
-    seen = seen.join(listed(pairs, "pairs", F.struct(*[c for c in pairs.columns if c != "group_id"])), "group_id", "left")
-    seen = seen.join(listed(held, "held", F.struct("source", "target", "strength")), "group_id", "left")
-    done = cut(seen.select("group_id", F.udf(folding.fold, folding.RESULT, useArrow=False)("observations", "cells", "pairs", "held").alias("r")))
-    part = lambda what: done.select("group_id", F.explode(f"r.{what}").alias("x")).select("group_id", "x.*")
-    outcome = part("outcomes")
-    observation = rows.select(*OBSERVATION).dropDuplicates(name)
-    went_in = outcome.where("status = 'COMMITTED'").select(*name)
-    whole = observation.where("text is not null").select("group_id", _id("evidence", F.col("group_id"), F.col("observation_id"), F.col("text")).alias("evidence_id"), "observation_id", "observed_at", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("span"))
-    spans = new.where("span is not null").select("group_id", "evidence_id", "observation_id", "observed_at", F.col("text").alias("source_text"), "span")
-    changed = part("states")
-    fixed = [c for c in known.columns if c not in changed.columns or c in ("group_id", "state_id")]
-    related = part("relations").join(observation.select(*name, F.col("observed_at").alias("created_at")), name).drop("observation_id")
+    failed = store.table("observations", groups).where("status = 'FAILED'")
+    out = block.join(listed(met, "old", old), "group_id", "left").join(listed(held, "held", F.struct("source", "target", "strength")), "group_id", "left")
+    out = out.join(listed(failed, "broken", F.struct("observation_id", "observation_index")), "group_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select("group_id", "observations", F.concat(F.coalesce("old", F.array().cast(kind)), new).alias("states"), empty("held", edge), empty("broken", bar))
+
+
+def wave(store: Store, block: DataFrame, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables to commit, group_id and what ended it: observation_id, reason) of one block (see ``blocks``) of each group; ``folder`` is for what it keeps."""
+    seen = beside_the_store(store, block)
+    if store.load():
+        seen = written(seen, f"{folder}/seen")
+    seen = seen.join(pairs(seen), "group_id", "left")
+    brief = F.transform("observations", lambda o: F.struct(*[o[c].alias(c) for c in ("place", "observation_id", "observation_index", "last", "fault")]))
+    done = seen.select("group_id", "observations", "states", F.udf(folding.fold, folding.RESULT, useArrow=False)(brief, F.transform("states", cell), "pairs", "held", "broken").alias("r"))
+    done = written(done, f"{folder}/done")
+    # the fold tells by places in states and observations
+    at = lambda x: F.get("observations", x["at"])
+    part = lambda what, *columns: done.select("group_id", F.explode(F.transform(f"r.{what}", lambda x: F.struct(*[c(x).alias(n) for n, c in columns]))).alias("x")).select("group_id", "x.*")
+    own = lambda *names: [(c, lambda x, c=c: x[c]) for c in names]
+    of = lambda *names: [(c, lambda x, c=c: at(x)[c]) for c in names]
+    outcome = part("outcomes", *own("observation_id", "status", "reason", "stored"), *of("observation_index", "observed_at"))
+    went_in = part("outcomes", *own("observation_id", "status"), *of("observed_at", "texts", "new")).where("status = 'COMMITTED'")
+    null = F.lit(None).cast("string")
+    whole = F.transform("texts", lambda t: F.struct(_id("evidence", F.col("group_id"), F.col("observation_id"), t).alias("evidence_id"), F.col("observed_at"), t.alias("source_text"), null.alias("span")))
+    spans = F.transform(F.filter("new", lambda x: x["tells"]), lambda x: F.struct(x["evidence_ids"][0].alias("evidence_id"), x["observed_at"].alias("observed_at"), F.coalesce(x["source"], F.get("texts", F.lit(0))).alias("source_text"), x["span"].alias("span")))
+    told = went_in.select(*NAME, F.explode(F.concat(whole, spans)).alias("x"))
+    fixed = [c for c in STATE if c not in folding.CHANGING and c != "place"]
     tables = {
-        "observations": outcome.where("stored").join(observation, name).select(*name, "observation_index", "observed_at", "status", "reason"),
-        "evidence": whole.unionByName(spans).join(went_in, name, "left_semi").dropDuplicates(["group_id", "evidence_id"]),
-        "states": known.select(*fixed).unionByName(new.select(*fixed)).join(changed, ["group_id", "state_id"]),
-        "relations": with_relation_ids(related),
+        "observations": outcome.where("stored").drop("stored"),
+        "evidence": told.select(*NAME, "x.*"),
+        "states": part("states", *[(c, lambda x, c=c: F.get("states", x["at"])[c]) for c in fixed], *own(*folding.CHANGING)),
+        "relations": with_relation_ids(part("relations", *own("source", "target", "relation_type", "strength", "reason", "evidence_id"), ("created_at", lambda x: at(x)["observed_at"]))),
     }
-    return tables, outcome.where("status = 'FAILED'").select(*name, "reason")
+    failures = outcome.where("status = 'FAILED'").select(*NAME, "reason")
+    stopped = done.where("r.stopped").select("group_id").join(failures, "group_id", "left")
+    return tables, stopped
 
 
 def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
@@ -184,33 +225,30 @@ def ingest(store: Store, rows: DataFrame, key: str) -> DataFrame:
     status: COMMITTED, REPLAYED (it was in the store), FAILED (with a reason) or WAITING (behind one that failed). The
     store's commits are named by ``key`` and their number, and a run that is repeated goes on where the first one ended.
     """
-    rows = cut(prepared(rows))
-    cases = {c: selectors.patterns(asked(rows, c)) for c in ("effects", "conflicts", "depends")}
-    name = ["group_id", "observation_id"]
-    every = cut(rows.groupBy(*name).agg(F.min("observation_index").alias("observation_index"), F.count("*").alias("n")))
+    spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    rows = written(rows, f"{folder}/rows")
     done = lambda: store.table("observations").where("status = 'COMMITTED'")
-    log = done()
-    replayed = cut(every.join(log.select(*name), name, "left_semi").select(*name))
-    failed = rows.sparkSession.createDataFrame([], "group_id string, observation_id string, reason string")
-    number = len(store.load())
-    w = W.partitionBy("group_id").orderBy("observation_index", "observation_id")
-    while True:
-        ahead = every.join(log.select(*name), name, "left_anti").join(failed.select("group_id"), "group_id", "left_anti")
-        last = log.groupBy("group_id").agg(F.max("observation_index").alias("last"))
-        broken = store.table("observations").where("status = 'FAILED'").groupBy("group_id").agg(F.min("observation_index").alias("broken"))
-        ahead = ahead.join(broken, "group_id", "left").where("broken is null or observation_index <= broken")
-        placed = ahead.withColumn("place", F.row_number().over(w) - 1).withColumn("_sum", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        blocks = placed.where((F.col("place") == 0) | ((F.col("place") < BLOCK) & (F.col("_sum") <= CANDIDATES))).join(last, "group_id", "left")
-        blocks = cut(blocks.select(*name, "observation_index", "place", F.coalesce("last", F.lit(-1)).alias("last")))
-        if blocks.isEmpty():
+    every = rows.select(*NAME).distinct()
+    replayed = written(every.join(done().select(*NAME), NAME, "left_semi"))
+    every = written(every)
+    plan = written(planned(rows, done()), f"{folder}/plan")
+    stopped = spark.createDataFrame([], "group_id string, observation_id string, reason string")
+    first = len(store.load())
+    last = plan.agg(F.max("block")).first()[0]
+    ahead = written(blocks(rows, plan), f"{folder}/blocks")
+    for k in range(0 if last is None else last + 1):
+        block = ahead.where(F.col("block") == k).join(stopped, "group_id", "left_anti")
+        if block.isEmpty():
             break
-        tables, failures = wave(store, rows, blocks, cases)
-        number += 1
-        store.commit(tables, f"{key}-{number}")
-        if not failures.isEmpty():
-            failed = cut(failed.unionByName(failures))
-        log = done()
-    out = every.join(log.select(*name, F.lit(True).alias("_in")), name, "left").join(replayed.withColumn("_was", F.lit(True)), name, "left").join(failed, name, "left")
+        number = first + k + 1
+        tables, ended = wave(store, block, f"{folder}/{number}")
+        store.commit(tables, f"{key}-{number}", dealt=True)
+        if not ended.isEmpty():
+            stopped = written(stopped.unionByName(ended))
+        removed(spark, f"{folder}/{number}")
+    failed = stopped.where("observation_id is not null")
+    out = every.join(done().select(*NAME, F.lit(True).alias("_in")), NAME, "left").join(replayed.withColumn("_was", F.lit(True)), NAME, "left").join(failed, NAME, "left")
+    removed(spark, folder)
     status = F.when(F.col("_was"), "REPLAYED").when(F.col("_in"), "COMMITTED").when(F.col("reason").isNotNull(), "FAILED").otherwise("WAITING")
     return out.select("group_id", "observation_id", status.alias("status"), "reason")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -14,27 +16,46 @@ from factloom.sources.durable import written
 POOL, LEAD = 8, 0.5
 
 
+def read_once(c: Callable[[str], Column]) -> dict[str, Column]:
+    """What ``weighed`` and ``conflict`` read off one state alone, from its columns ``c``, to be made once a state where states are compared in pairs."""
+    entity, span = c("entity").cast("string"), c("span")
+    return {
+        "subject": identity.norm(entity),
+        "parts": identity.attribute_parts(c("attribute")),
+        "value_key": identity.state_value(c("attribute"), c("value")),
+        "negative": evidence.negative(c("attribute"), c("value").cast("string"), span),
+        "revoked": evidence.revoked(span, c("attribute"), c("value")),
+        "direct": evidence.directness(span, entity),
+        "apart": evidence.has(F.coalesce(span, F.lit("")), evidence.INDEPENDENT),
+        "times": evidence.temporal_tokens(span),
+        "words": identity.words(span),
+        "subject_words": identity.words(entity),
+    }
+
+
 def weighed(pairs: DataFrame) -> DataFrame:
     """pairs of one subject (columns as in ``conflict``) with ``eligible`` and ``score``.
 
     A pair that isn't the same slot, and isn't a grounded negation of a direct statement with a time in common, stays
     with score 0: it is seen, but decides nothing. Where pairs have a column ``named`` (an effect or a conflict of the
-    new state names the old one), such a pair counts too, also of another subject.
+    new state names the old one), such a pair counts too, also of another subject. What ``read_once`` makes is taken
+    from columns n_* and o_* of its names where they are there.
     """
     n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
-    slot = conflict.same_slot()
+    made = {"n": read_once(n), "o": read_once(o)}
+    of = lambda p, c: F.col(f"{p}_{c}") if f"{p}_{c}" in pairs.columns else made[p][c]
+    subject, alike = of("n", "subject") == of("o", "subject"), identity.parts_compatible(of("n", "parts"), of("o", "parts"))
+    slot = subject & alike & conflict.same_scope()
     named = F.coalesce("named", F.lit(False)) if "named" in pairs.columns else F.lit(False)
-    subject = identity.norm(n("entity").cast("string")) == identity.norm(o("entity").cast("string"))
-    direct = evidence.directness(o("span"), o("entity").cast("string"))
-    apart = evidence.has(F.coalesce(o("span"), F.lit("")), evidence.INDEPENDENT)
-    times = evidence.temporal_overlap(n("span"), o("span"))
-    crossed = subject & ~slot & evidence.negative(n("attribute"), n("value").cast("string"), n("span")) & (direct > 0) & ~apart & (times > 0)
-    shared = evidence.overlap(n("span"), o("span"), n("entity").cast("string"), o("entity").cast("string"))
+    direct, apart = of("o", "direct"), of("o", "apart")
+    times = F.size(F.array_intersect(of("n", "times"), of("o", "times")))
+    crossed = subject & ~slot & of("n", "negative") & (direct > 0) & ~apart & (times > 0)
+    shared = evidence.shared(of("n", "words"), of("o", "words"), of("n", "subject_words"), of("o", "subject_words"))
     yes = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
     score = (
         yes(subject, 2.0)
         + yes(crossed, 0.75)
-        + yes(identity.attributes_compatible(n("attribute"), o("attribute")), 1.0)
+        + yes(alike, 1.0)
         + yes(scope.overlaps(n("t0"), n("t1"), o("t0"), o("t1")), 0.5)
         + yes(scope.conditions_overlap(n("cond"), o("cond")), 0.5)
         + F.least(F.lit(1.5), 0.75 * shared)

@@ -29,12 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """As ``cut``, as Parquet, for what a loop joins again and again.
 
     A checkpoint keeps its plan's estimated size. Estimates of joins are products, so in a loop their digits multiply
     with each round, which fills the driver after a dozen; files have the size they have. How rows were dealt is lost.
+    ``path``: a new folder within the shared one, for what is ``removed`` before the session ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``written`` rows that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -131,13 +131,15 @@ class Store:
         rows = reduce(DataFrame.unionByName, parts).collect() if parts else []
         return {r["name"]: (r["n"], f"{int(r['a'] or 0):x}.{int(r['b'] or 0):x}") for r in rows}
 
-    def commit(self, tables: dict[str, DataFrame], key: str, base: bool = False) -> int:
-        """Appends rows (new, or changed ones in whole) and returns the commit's number."""
+    def commit(self, tables: dict[str, DataFrame], key: str, base: bool = False, dealt: bool = False) -> int:
+        """Appends rows (new, or changed ones in whole) and returns the commit's number. ``dealt``: the rows lie in parts of a size to be files already."""
         log = self.load()
         written = {}
         paths = {table: f"data/{table}/{uuid.uuid4().hex}" for table in tables}
         for table, df in tables.items():
-            df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)]).hint("rebalance").write.parquet(f"{self.path}/{paths[table]}")
+            rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)])
+            # ids are hex digits, which only an entropy coder makes shorter
+            (rows if dealt else rows.hint("rebalance")).write.option("compression", "zstd").parquet(f"{self.path}/{paths[table]}")
         for table, (rows, digest) in self._digests({t: self._data(t, p) for t, p in paths.items()}).items():
             if rows:
                 written[table] = {"path": paths[table], "rows": rows, "digest": digest}
@@ -151,8 +153,8 @@ class Store:
         self._put(f"commits/{number:012d}.json", json.dumps(manifest, sort_keys=True))
         return number
 
-    def table(self, name: str) -> DataFrame:
-        """The last row of each id."""
+    def table(self, name: str, groups: DataFrame | None = None) -> DataFrame:
+        """The last row of each id, of all groups or those in ``groups`` (group_id): others are left out before rows are dealt by id."""
         log = self.load()
         start = max((i for i, m in enumerate(log) if m["base"]), default=0)
         parts = [(m["number"], m["tables"][name]["path"]) for m in log[start:] if name in m["tables"]]
@@ -160,11 +162,13 @@ class Store:
             return self.spark.createDataFrame([], schema(name))
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/[a-z]+/([0-9a-f]{32})/", 1)
         order = F.create_map(*[F.lit(x) for n, p in parts for x in (p.rsplit("/", 1)[1], n)])
-        read = self.spark.read.schema(schema(name)).parquet(*[f"{self.path}/{p}" for _, p in parts])
-        if len(parts) == 1:
-            return read
+        read = self.spark.read.schema(schema(name)).parquet(*[f"{self.path}/{p}" for _, p in parts]).withColumn("_commit", order[folder])
+        if groups is not None:
+            read = read.join(groups.select("group_id").distinct(), "group_id", "left_semi")
         row = F.struct(*[f.name for f in schema(name)])
-        last = read.withColumn("_commit", order[folder]).groupBy(*TABLES[name][1]).agg(F.max_by(row, "_commit").alias("_row"))
+        if len(parts) == 1:
+            return read.select(*[f.name for f in schema(name)])
+        last = read.groupBy(*TABLES[name][1]).agg(F.max_by(row, "_commit").alias("_row"))
         return last.select("_row.*")
 
     def compact(self) -> int:
@@ -174,15 +178,11 @@ class Store:
 
     def states(self, groups: DataFrame | None = None, statuses: list[str] | None = None) -> DataFrame:
         """States of the groups (group_id) with one of the statuses."""
-        out = self.table("states")
-        if groups is not None:
-            out = out.join(groups.select("group_id").distinct(), "group_id", "left_semi")
+        out = self.table("states", groups)
         return out if statuses is None else out.where(F.col("status").isin(statuses))
 
     def relations(self, groups: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
-        out = self.table("relations")
-        if groups is not None:
-            out = out.join(groups.select("group_id").distinct(), "group_id", "left_semi")
+        out = self.table("relations", groups)
         return out if types is None else out.where(F.col("relation_type").isin(types))
 
     def evidence_of(self, wanted: DataFrame) -> DataFrame:
