@@ -12,7 +12,7 @@ from factloom.operators import consolidation, discovery, filling, ingest, interv
 from factloom.plans.catalogue import query
 from factloom.plans.state_queries import FS
 from factloom.sources import adapters as S
-from factloom.sources.durable import shared_folder
+from factloom.sources.durable import shared_folder, written
 from factloom.sources.store import Store
 
 
@@ -160,11 +160,11 @@ def canonical_facts(spark, d):
 
 @query()
 def hub_paths(spark, d):
-    """From every order, over whom it was written by and the nation they live in, to a neighbour's orders: walked both ways through hubs, the best way to each node kept (paths are tested against plain ones)."""
-    facts = canonical_facts(spark, d)
+    """From every order, over whom it was written by and whom they are married to, to where a neighbour lives: walked both ways through hubs, all ways of four facts, which none is longer than (paths are tested against plain ones)."""
+    facts = written(canonical_facts(spark, d))
     steps = relations.both_ways(facts).select("subject", F.when(F.col("reverse"), F.concat(F.lit("of_"), "relation")).otherwise(F.col("relation")).alias("relation"), "object", "state_id", "score")
     anchors = facts.where("relation = 'author'").select(F.col("subject").alias("anchor")).distinct()
-    return paths.goal_paths(steps, anchors, "residence", ["author", "spouse"], max_hops=3, prune=True)
+    return paths.goal_paths(steps, anchors, "residence", ["author", "spouse"], max_hops=4, prune=True)
 
 
 @query(f"""WITH {CURRENT}, s AS (SELECT 'u' || entity % 50 AS e, 'f' || value % 3 AS f, CAST(value // 3 AS VARCHAR) AS v, state_id AS id, observed_at AS o, CASE WHEN k % 3 <> 0 THEN observed_at + to_hours(1) END AS t0, CASE WHEN k % 4 = 0 THEN observed_at + to_hours(k + 1) ELSE observed_at + to_hours(6) END AS t1, cond, confidence FROM cu),
